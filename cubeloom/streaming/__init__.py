@@ -1,0 +1,2 @@
+"""The row-local operators (``functions``, rule maps, palettes) are pure column expressions, so they
+run unchanged on a stream of pixel files; there are no stateful stream operators."""
