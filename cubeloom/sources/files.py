@@ -75,11 +75,16 @@ def sink_matrix(features: DataFrame, path: str, width: int, vector: str = "v", i
     matrix_lines(features, width, vector, ident).write.mode(mode).option("sep", delimiter).csv(path)
 
 
-def scan_matrix(spark: SparkSession, path: str, width: int, ident: str = "emb_idx", delimiter: str = ",") -> DataFrame:
-    """features(emb_idx, v ARRAY<FLOAT>) from delimited text."""
-    schema = ", ".join([f"{ident} long"] + [f"c{i} float" for i in range(width)])
-    rows = spark.read.schema(schema).option("sep", delimiter).csv(path)
-    return rows.select(ident, F.array(*[f"c{i}" for i in range(width)]).alias("v"))
+def parse_matrix(lines: DataFrame, line: str = "line", ident: str = "emb_idx", delimiter: str = ",") -> DataFrame:
+    """features(emb_idx, v ARRAY<FLOAT>) of delimited lines whose first field is the key."""
+    parts = F.split(F.col(line), f"\\Q{delimiter}\\E")
+    values = F.slice(parts, F.lit(2), F.size(parts) - 1)
+    return lines.select(parts[0].cast("long").alias(ident), F.transform(values, lambda x: x.cast("float")).alias("v"))
+
+
+def scan_matrix(spark: SparkSession, path: str, ident: str = "emb_idx", delimiter: str = ",") -> DataFrame:
+    """Feature table from delimited text files."""
+    return parse_matrix(spark.read.text(path).withColumnRenamed("value", "line"), "line", ident, delimiter)
 
 
 def scan_points(points: DataFrame) -> DataFrame:
