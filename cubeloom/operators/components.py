@@ -66,7 +66,7 @@ def contract(edges: DataFrame, keys: Sequence[str] = (), small: int = SMALL_GRAP
             return nodes[names + ["node", "root"]]
 
         # one bounded group: its size was checked above
-        return links.groupBy(F.lit(0)).applyInPandas(solve if names else _solve_plain, schema)
+        return links.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve if names else _solve_plain, schema)
     return _star_contraction(links, keys)
 
 

@@ -51,7 +51,7 @@ def order_cycles(walk: DataFrame, small: int = SMALL_WALK) -> DataFrame:
     schema = "state long, cycle long, pos long"
     walk = cut_lineage(walk.select("state", "next"))
     if walk.count() <= small:
-        return walk.groupBy(F.lit(0)).applyInPandas(_order_small, schema)
+        return walk.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_order_small, schema)
     current = walk.select("state", F.col("next").alias("jump"), F.col("state").alias("m"))
     while True:
         ahead = current.select(F.col("state").alias("jump"), F.col("jump").alias("_j"), F.col("m").alias("_m"))
