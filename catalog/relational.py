@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog import views as V
@@ -83,12 +84,15 @@ def polygon_positions(spark, d):
     return polygons.polygon_positions(mask, cols, 40).select("row", "col")
 
 
-# checksum of a patch: weights every cell and band differently
 def checks(df, p, *names):
-    weights = F.aggregate(
-        F.transform("cube", lambda x, i: x * ((i % (p * p) + 1) + F.floor(i / (p * p)) * 0.01)), F.lit(0.0), lambda s, x: s + x
-    )
-    return df.select(*names, "n_inside", r6(vsum(F.col("cube"))).alias("total"), F.round(weights, 4).alias("weighted"))
+    """Checksums of every patch; the weighted one depends on each cell's and band's place."""
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        i = np.arange(x.shape[1])
+        return np.column_stack([x.sum(axis=1), x @ (i % (p * p) + 1 + (i // (p * p)) * 0.01)])
+
+    summed = reduce.map_vectors(df.select(*names, "n_inside", "cube"), "cube", "_s", sums, reduce.DOUBLES)
+    return summed.select(*names, "n_inside", r6(F.col("_s")[0]).alias("total"), F.round(F.col("_s")[1], 4).alias("weighted"))
 
 
 def patch_sql(centres: str, names: str, p: int, *views: str) -> str:

@@ -9,20 +9,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BandLookup = Callable[[int], Column]
+# 1-based band number -> SQL expression of its value
+BandLookup = Callable[[int], str]
 
 # Fixed value: int16 reflectance is stored in units of 1/10000.
 REFLECTANCE_SCALE = 1e-4
 
 
 def array_bands(column: str = "spectrum", wrap: int | None = None) -> BandLookup:
-    """1-based band number -> element of an array column (``wrap`` folds numbers into a short spectrum)."""
-    return lambda n: F.col(column)[(n - 1) % wrap if wrap else n - 1].cast("double")
+    """Element of an array column (``wrap`` folds numbers into a short spectrum)."""
+    return lambda n: f"CAST({column}[{(n - 1) % wrap if wrap else n - 1}] AS DOUBLE)"
 
 
 def wide_bands(prefix: str = "b") -> BandLookup:
-    """1-based band number -> column ``b001`` ...; Parquet then reads only the bands a rule names."""
-    return lambda n: F.col(f"{prefix}{n:03d}").cast("double")
+    """Columns ``b001`` ...; Parquet then reads only the bands a rule names."""
+    return lambda n: f"CAST({prefix}{n:03d} AS DOUBLE)"
 
 
 def scale_reflectance(spectrum: Column, dtype: str, scale: float = REFLECTANCE_SCALE) -> Column:
@@ -69,14 +70,11 @@ class BandRule:
 
     def satisfied(self, band: BandLookup) -> Column:
         """Number of satisfied terms."""
-        flags = [(band(hi) - band(lo) > 0).cast("int") for hi, lo in self.terms]
-        total = flags[0]
-        for flag in flags[1:]:
-            total = total + flag
-        return total
+        return F.expr(" + ".join(f"CAST({band(hi)} - {band(lo)} > 0 AS INT)" for hi, lo in self.terms))
 
     def hit(self, band: BandLookup) -> Column:
-        return self.satisfied(band) == len(self.terms)
+        """All terms hold; evaluation stops at the first one that does not."""
+        return F.expr(" AND ".join(f"({band(hi)} - {band(lo)} > 0)" for hi, lo in self.terms))
 
 
 # 1-based band pairs (high, low) of the mineral rules.
@@ -102,8 +100,8 @@ HEMATITE_THRESHOLD = 1.8
 
 def hematite_ratio(band: BandLookup) -> Column:
     """Ratio index on unscaled values (the offset is not scale free)."""
-    numerator, denominator = HEMATITE_BANDS
-    return band(numerator) / (band(denominator) + F.lit(HEMATITE_EPS))
+    numerator, denominator = (F.expr(band(n)) for n in HEMATITE_BANDS)
+    return numerator / (denominator + F.lit(HEMATITE_EPS))
 
 
 def hematite_hit(band: BandLookup) -> Column:

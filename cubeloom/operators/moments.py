@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cubeloom.functions.vectors import subtract
 
+DOUBLES = T.ArrayType(T.DoubleType())
 NOISE_DIRECTIONS = ("lowerright", "lowerleft", "right", "lower")
 
 
@@ -24,6 +26,13 @@ def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def list_array(matrix: np.ndarray) -> pa.ListArray:
+    """(rows, width) matrix -> ARRAY<DOUBLE> column without a Python loop."""
+    matrix = np.ascontiguousarray(matrix, dtype=np.float64)
+    offsets = np.arange(0, matrix.size + 1, matrix.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+
+
 def group_slices(table: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     """(key values, row positions) of each key combination in one Arrow batch."""
     if not keys:
@@ -83,8 +92,6 @@ def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names + ["i", "n", "s", "cross"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     key_types = [to_arrow_type(df.schema[k].dataType) for k in keys]
     parts = df.select(*keys, vector).mapInArrow(partial, schema)
     width = vector_width(df, vector)
@@ -93,7 +100,7 @@ def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (
     summed = parts.groupBy(*keys, "i").agg(
         F.sum("n").alias("n"),
         F.sum("s").alias("s"),
-        F.array(*[F.sum(F.col("cross")[j]) for j in range(width)]).alias("cross"),
+        F.expr("array(" + ", ".join(f"sum(cross[{j}])" for j in range(width)) + ")").alias("cross"),
     )
     return summed
 

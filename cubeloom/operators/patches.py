@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key
-from cubeloom.operators.moments import matrix_of, vector_width
+from cubeloom.operators.moments import DOUBLES, list_array, matrix_of, vector_width
 
 
 def patch_gather(
@@ -27,7 +28,7 @@ def patch_gather(
     """Adds cube (band-major, p*p per band) and n_inside to every centre.
 
     The p*p window cells of the centres are joined with the pixels, so only pixels near a centre
-    move; a centre's group has exactly p*p rows. Cells outside the scene are padded.
+    move; a centre's group has at most p*p rows. Cells outside the scene are padded.
     """
     before = geo.patch_radius(p)[0]
     width = bands or vector_width(pixels, "spectrum")
@@ -38,16 +39,39 @@ def patch_gather(
     )
     source = pixels.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("spectrum").alias("_s"))
     found = cells.join(source, [*keys, "_r", "_c"], "left")
-    grouped = found.groupBy(*names).agg(
-        F.array_sort(F.collect_list(F.struct("_k", "_s"))).alias("_cells"), F.count("_s").cast("int").alias("n_inside")
+    held = F.struct("_k", F.transform("_s", lambda x: x.cast("double")).alias("_s"))
+    grouped = found.groupBy(*names).agg(F.collect_list(F.when(F.col("_s").isNotNull(), held)).alias("_cells"))
+    packed = grouped.select(
+        *names,
+        F.size("_cells").cast("int").alias("n_inside"),
+        F.lit(p).alias("p"),
+        F.transform("_cells", lambda c: c["_k"]).alias("_at"),
+        F.flatten(F.transform("_cells", lambda c: c["_s"])).alias("_values"),
     )
-    cube = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda b: F.transform(F.col("_cells"), lambda c: F.coalesce(F.get(c["_s"], b).cast("double"), F.lit(fill))),
-        )
-    )
-    return grouped.select(*names, "n_inside", F.lit(p).alias("p"), cube.alias("cube"))
+    return _assemble(packed, [*names, "n_inside", "p"], p * p, width, fill)
+
+
+def _assemble(packed: DataFrame, names: Sequence[str], cells: int, width: int, fill: float) -> DataFrame:
+    """Places the found spectra of each patch into its cube, whole batches at a time."""
+    names = list(names)
+    schema = T.StructType([packed.schema[n] for n in names] + [T.StructField("cube", DOUBLES)])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            at = batch.column("_at")
+            owner = np.repeat(np.arange(n), at.value_lengths().to_numpy(zero_copy_only=False))
+            where = at.flatten().to_numpy()
+            values = batch.column("_values").flatten().to_numpy().reshape(len(where), width) if len(where) else None
+            cube = np.full((n, width, cells), float(fill))
+            if values is not None:
+                cube[owner, :, where] = values
+            columns = [batch.column(c) for c in names] + [list_array(cube.reshape(n, -1))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return packed.mapInArrow(place, schema)
 
 
 def patch_gather_points(
@@ -90,7 +114,11 @@ def patch_center_spectrum(cube: Column, p: int) -> Column:
     return F.transform(F.sequence(F.lit(0), bands - 1), lambda b: F.get(cube, b * (p * p) + c * p + c))
 
 
-# --- augmentation: pure functions of (patch id, round, element) ---------------------------------
+# --- augmentation: pure functions of (patch id, seed, element), whole batches at a time -----------
+
+# (patches, per-patch 64-bit hash) -> patches
+CubeMap = Callable[[np.ndarray, np.ndarray], np.ndarray]
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -98,19 +126,52 @@ def unit_hash(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
 
 
-def permute(cube: Column, p: int, order: Sequence[int]) -> Column:
-    """Reorders the p*p cells of every band: output cell k takes input cell order[k]."""
-    pp = p * p
-    table = F.array(*[F.lit(int(o)) for o in order])
-    return F.transform(cube, lambda _, i: F.get(cube, (i - i % pp) + F.get(table, i % pp)))
+def uniform(keys: np.ndarray, stream: int, count: int = 1) -> np.ndarray:
+    """(len(keys), count) uniform values in [0, 1): a mix of key, stream and position only."""
+    with np.errstate(over="ignore"):
+        z = keys.astype(np.uint64)[:, None] + np.uint64(stream + 1) * _MIX[2]
+        z = z + np.arange(1, count + 1, dtype=np.uint64) * _MIX[0]
+        z = (z ^ (z >> np.uint64(30))) * _MIX[1]
+        z = (z ^ (z >> np.uint64(27))) * _MIX[2]
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)) * (1.0 / (1 << 53))
+
+
+def normal(keys: np.ndarray, stream: int, count: int) -> np.ndarray:
+    """Standard normal values (Box-Muller on two streams)."""
+    radius = np.sqrt(-2.0 * np.log(1.0 - uniform(keys, 2 * stream + 1000, count)))
+    return radius * np.cos(2.0 * np.pi * uniform(keys, 2 * stream + 1001, count))
+
+
+def map_cubes(df: DataFrame, ident: str | None, function: CubeMap, seed: int = 0, cube: str = "cube") -> DataFrame:
+    """Replaces the cubes by ``function`` of them and of a hash of (ident, seed); one Arrow pass."""
+    key = F.xxhash64(F.col(ident), F.lit(seed)) if ident else F.lit(0).cast("long")
+    prepared = df.withColumn("_h", key)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            result = function(matrix_of(batch.column(cube)), batch.column("_h").to_numpy().view(np.uint64))
+            columns = [list_array(result) if n == cube else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([T.StructField(f.name, DOUBLES) if f.name == cube else f for f in df.schema.fields])
+    return prepared.mapInArrow(run, schema)
+
+
+def permute(x: np.ndarray, order: Sequence[int]) -> np.ndarray:
+    """Reorders the cells of every band: output cell k takes input cell order[k]."""
+    n, pp = len(x), len(order)
+    return x.reshape(n, -1, pp)[:, :, np.asarray(order)].reshape(n, -1)
 
 
 def flip_order(p: int, axis: str) -> list[int]:
     """Cell order of a flip along the rows or the columns."""
-    grid = np.arange(p * p).reshape(p, p)
     if axis not in ("rows", "cols"):
         raise ValueError("axis is 'rows' or 'cols'")
-    return np.flip(grid, 0 if axis == "rows" else 1).ravel().tolist()
+    return np.flip(np.arange(p * p).reshape(p, p), 0 if axis == "rows" else 1).ravel().tolist()
 
 
 def rot_order(p: int, quarter_turns: int) -> list[int]:
@@ -119,104 +180,72 @@ def rot_order(p: int, quarter_turns: int) -> list[int]:
 
 
 def augment_flip(df: DataFrame, p: int, axis: str = "cols", cube: str = "cube") -> DataFrame:
-    return df.withColumn(cube, permute(F.col(cube), p, flip_order(p, axis)))
+    order = flip_order(p, axis)
+    return map_cubes(df, None, lambda x, _: permute(x, order), cube=cube)
 
 
 def augment_rot90(df: DataFrame, p: int, quarter_turns: int = 1, cube: str = "cube") -> DataFrame:
-    return df.withColumn(cube, permute(F.col(cube), p, rot_order(p, quarter_turns)))
+    order = rot_order(p, quarter_turns)
+    return map_cubes(df, None, lambda x, _: permute(x, order), cube=cube)
 
 
-def gaussian(ident: Column, seed: int, i: Column) -> Column:
-    """Standard normal value of element i (Box-Muller on two hashes)."""
-    u1 = 1.0 - unit_hash(ident, F.lit(seed), i, F.lit(1))
-    u2 = unit_hash(ident, F.lit(seed), i, F.lit(2))
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * np.pi * u2)
+def random_flip(p: int, probability: float) -> CubeMap:
+    order = flip_order(p, "cols")
 
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.where(uniform(h, 0) < probability, permute(x, order), x)
 
-def augment_noise(
-    df: DataFrame, ident: str, std: float | tuple[float, float] = 0.02, seed: int = 0, cube: str = "cube"
-) -> DataFrame:
-    """Adds gaussian noise; a (low, high) pair draws one strength per patch."""
-    key = F.col(ident)
-    if isinstance(std, tuple):
-        strength: Column = F.lit(std[0]) + (std[1] - std[0]) * unit_hash(key, F.lit(seed), F.lit("std"))
-    else:
-        strength = F.lit(float(std))
-    return df.withColumn(cube, F.transform(cube, lambda x, i: x + strength * gaussian(key, seed, i)))
+    return run
 
 
-def augment_erase(
-    df: DataFrame,
-    ident: str,
-    p: int,
-    probability: float = 0.5,
-    scale: tuple[float, float] = (0.02, 0.33),
-    ratio: tuple[float, float] = (0.3, 3.3),
-    value: float = 0.0,
-    seed: int = 0,
-    cube: str = "cube",
-) -> DataFrame:
-    """Erases a random rectangle of some patches, never the centre pixel."""
-    key = F.col(ident)
-
-    def draw(tag: str) -> Column:
-        return unit_hash(key, F.lit(seed), F.lit(tag))
-
-    area = (F.lit(scale[0]) + (scale[1] - scale[0]) * draw("area")) * float(p * p)
-    aspect = F.lit(ratio[0]) + (ratio[1] - ratio[0]) * draw("ratio")
-    height = F.least(F.greatest(F.floor(F.sqrt(area * aspect)), F.lit(1)), F.lit(p)).cast("int")
-    width = F.least(F.greatest(F.floor(F.sqrt(area / aspect)), F.lit(1)), F.lit(p)).cast("int")
-    top = F.floor(draw("top") * (F.lit(p) - height + 1)).cast("int")
-    left = F.floor(draw("left") * (F.lit(p) - width + 1)).cast("int")
-    boxed = df.withColumns(
-        {"_h": height, "_w": width, "_t": top, "_l": left, "_on": draw("apply") < probability}
-    )
+def noise(std: float | tuple[float, float], probability: float = 1.0) -> CubeMap:
+    """Additive gaussian noise; a (low, high) pair draws one strength per patch."""
+
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = std if isinstance(std, tuple) else (std, std)
+        strength = (low + (high - low) * uniform(h, 1)) * (uniform(h, 2) < probability)
+        return x + strength * normal(h, 0, x.shape[1])
+
+    return run
+
+
+def erase(p: int, probability: float, scale: tuple[float, float], ratio: tuple[float, float], value: float = 0.0) -> CubeMap:
+    """A random rectangle of some patches becomes ``value``, never the centre pixel."""
     c = geo.patch_radius(p)[0]
-    pp = p * p
 
-    def cell(x: Column, i: Column) -> Column:
-        k = i % pp
-        r, q = F.floor(k / p), k % p
-        hit = (
-            F.col("_on")
-            & (r >= F.col("_t")) & (r < F.col("_t") + F.col("_h"))
-            & (q >= F.col("_l")) & (q < F.col("_l") + F.col("_w"))
-            & (k != c * p + c)
-        )
-        return F.when(hit, F.lit(value)).otherwise(x)
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        area = (scale[0] + (scale[1] - scale[0]) * uniform(h, 3)) * p * p
+        aspect = ratio[0] + (ratio[1] - ratio[0]) * uniform(h, 4)
+        height = np.clip(np.floor(np.sqrt(area * aspect)), 1, p)
+        width = np.clip(np.floor(np.sqrt(area / aspect)), 1, p)
+        top, left = np.floor(uniform(h, 5) * (p - height + 1)), np.floor(uniform(h, 6) * (p - width + 1))
+        r, q = np.divmod(np.arange(p * p), p)
+        hit = (r >= top) & (r < top + height) & (q >= left) & (q < left + width) & (uniform(h, 7) < probability)
+        hit[:, c * p + c] = False
+        return np.where(hit[:, None, :], value, x.reshape(len(x), -1, p * p)).reshape(x.shape)
 
-    return boxed.withColumn(cube, F.transform(cube, cell)).drop("_h", "_w", "_t", "_l", "_on")
+    return run
 
 
-def augment_spectral_mask(
-    df: DataFrame, ident: str, mask_prob: float = 0.5, keep: float = 0.5, seed: int = 0, cube: str = "cube"
-) -> DataFrame:
+def spectral_mask(mask_prob: float, keep: float) -> CubeMap:
     """Keeps each element with probability ``keep``; a patch drawn with ``mask_prob`` stays whole."""
-    if mask_prob == 0:
-        return df
-    key = F.col(ident)
-    whole = unit_hash(key, F.lit(seed), F.lit("whole")) < mask_prob
-    return df.withColumn(
-        cube,
-        F.transform(
-            cube,
-            lambda x, i: F.when(whole | (unit_hash(key, F.lit(seed), i) < keep), x).otherwise(F.lit(0.0)),
-        ),
-    )
 
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return np.where((uniform(h, 8, x.shape[1]) < keep) | (uniform(h, 9) < mask_prob), x, 0.0)
 
-def augment_band_dropout(
-    df: DataFrame, ident: str, p: int, drop: float = 0.2, drop_prob: float = 0.5, seed: int = 0, cube: str = "cube"
-) -> DataFrame:
+    return run
+
+
+def band_dropout(p: int, drop: float, drop_prob: float, seed: int) -> CubeMap:
     """Zeroes whole bands for a share of the patches; the dropped bands are the same for a seed."""
-    chosen = unit_hash(F.col(ident), F.lit(seed), F.lit("drop")) < drop_prob
-    pp = p * p
 
-    def cell(x: Column, i: Column) -> Column:
-        kept = unit_hash(F.lit(seed), F.lit("band"), F.floor(i / pp)) > drop
-        return F.when(chosen & ~kept, F.lit(0.0)).otherwise(x)
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        bands = x.shape[1] // (p * p)
+        dropped = uniform(np.array([seed]), 10, bands) <= drop
+        gone = np.repeat(dropped, p * p, axis=1) & (uniform(h, 11) < drop_prob)
+        return np.where(gone, 0.0, x)
 
-    return df.withColumn(cube, F.transform(cube, cell))
+    return run
 
 
 def rotate_cubes(values: np.ndarray, angles: np.ndarray, p: int) -> np.ndarray:
@@ -240,30 +269,42 @@ def rotate_cubes(values: np.ndarray, angles: np.ndarray, p: int) -> np.ndarray:
     return out.reshape(n, -1)
 
 
-def augment_rotate(
-    df: DataFrame, ident: str, p: int, degrees: float = 90.0, probability: float = 0.5, seed: int = 0, cube: str = "cube"
+def random_rotation(p: int, degrees: float, probability: float) -> CubeMap:
+    """Rotation of some patches by an angle in [-degrees, degrees]."""
+
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        turned = uniform(h, 12)[:, 0] < probability
+        angles = (2.0 * uniform(h, 13)[:, 0] - 1.0) * degrees
+        out = x.copy()
+        if turned.any():
+            out[turned] = rotate_cubes(x[turned], angles[turned], p)
+        return out
+
+    return run
+
+
+def augment_rotate(df: DataFrame, ident: str, p: int, degrees: float = 90.0, probability: float = 0.5, seed: int = 0, cube: str = "cube") -> DataFrame:
+    return map_cubes(df, ident, random_rotation(p, degrees, probability), seed, cube)
+
+
+def augment_noise(df: DataFrame, ident: str, std: float | tuple[float, float] = 0.02, seed: int = 0, cube: str = "cube") -> DataFrame:
+    return map_cubes(df, ident, noise(std), seed, cube)
+
+
+def augment_erase(
+    df: DataFrame, ident: str, p: int, probability: float = 0.5, scale: tuple[float, float] = (0.02, 0.33),
+    ratio: tuple[float, float] = (0.3, 3.3), value: float = 0.0, seed: int = 0, cube: str = "cube",
 ) -> DataFrame:
-    """Rotates some patches by an angle in [-degrees, degrees]."""
-    key = F.col(ident)
-    angle = F.when(
-        unit_hash(key, F.lit(seed), F.lit("turn")) < probability,
-        (2.0 * unit_hash(key, F.lit(seed), F.lit("angle")) - 1.0) * float(degrees),
-    ).otherwise(0.0)
-    prepared = df.withColumn("_angle", angle)
-    names = prepared.columns
-
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            turned = rotate_cubes(matrix_of(batch.column(cube)), batch.column("_angle").to_numpy(), p)
-            columns = [
-                pa.array(list(turned), type=pa.list_(pa.float64())) if name == cube else batch.column(name)
-                for name in names
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    return map_cubes(df, ident, erase(p, probability, scale, ratio, value), seed, cube)
+
 
-    return prepared.mapInArrow(turn, prepared.schema).drop("_angle")
+def augment_spectral_mask(df: DataFrame, ident: str, mask_prob: float = 0.5, keep: float = 0.5, seed: int = 0, cube: str = "cube") -> DataFrame:
+    """With ``mask_prob`` 0 nothing is masked."""
+    return df if mask_prob == 0 else map_cubes(df, ident, spectral_mask(mask_prob, keep), seed, cube)
+
+
+def augment_band_dropout(df: DataFrame, ident: str, p: int, drop: float = 0.2, drop_prob: float = 0.5, seed: int = 0, cube: str = "cube") -> DataFrame:
+    return map_cubes(df, ident, band_dropout(p, drop, drop_prob, seed), seed, cube)
 
 
 # The options that are combined when a sample set is expanded.
@@ -286,39 +327,44 @@ def choose_combinations(factor: int, seed: int = 0) -> list[tuple]:
     return [options[i] for i in order[:factor]]
 
 
+def combination_order(p: int, flip: str | None, turn: int | None) -> np.ndarray:
+    """Cell order of a flip followed by quarter turns."""
+    grid = np.arange(p * p).reshape(p, p)
+    if flip is not None:
+        grid = np.flip(grid, 0 if flip == "rows" else 1)
+    return (grid if turn is None else np.rot90(grid, turn)).ravel()
+
+
 def augment_expand(
     df: DataFrame, ident: str, p: int, combinations: Sequence[tuple], seed: int = 0, cube: str = "cube"
 ) -> DataFrame:
     """Original rows (round -1) plus one transformed copy per combination (round 0, 1, ...).
 
-    One pass over the patches: a row is expanded into its rounds and each round picks its cell
-    order and noise strength by literal, so nothing is joined or re-read per round.
+    One pass: a batch of patches is read once and emits all its rounds, nothing is joined.
     """
-    pp = p * p
-    identity = list(range(pp))
-    orders, strengths = [identity], [0.0]
-    for flip, turn, noise in combinations:
-        grid = np.arange(pp).reshape(p, p)
-        if flip is not None:
-            grid = np.flip(grid, 0 if flip == "rows" else 1)
-        if turn is not None:
-            grid = np.rot90(grid, turn)
-        orders.append(grid.ravel().tolist())
-        strengths.append(noise or 0.0)
-    tables = F.array(*[F.array(*[F.lit(int(v)) for v in order]) for order in orders])
-    stds = F.array(*[F.lit(float(s)) for s in strengths])
-    rounds = df.withColumn("round", F.explode(F.sequence(F.lit(-1), F.lit(len(combinations) - 1))))
-    rounds = rounds.withColumn("_order", F.get(tables, F.col("round") + 1)).withColumn(
-        "_std", F.get(stds, F.col("round") + 1)
-    )
-    source = F.col(cube)
+    names = df.columns
+    prepared = df.withColumn("_h", F.xxhash64(F.col(ident), F.lit(seed)))
+    plans = [(combination_order(p, flip, turn), std) for flip, turn, std in combinations]
+    fields = [T.StructField(f.name, DOUBLES) if f.name == cube else f for f in df.schema.fields]
+    schema = T.StructType(fields + [T.StructField("round", T.IntegerType())])
 
-    def element(_: Column, i: Column) -> Column:
-        moved = F.get(source, (i - i % pp) + F.get(F.col("_order"), i % pp))
-        shake = F.col("_std") * gaussian(F.concat_ws("_", F.col(ident), F.col("round")), seed, i)
-        return F.when(F.col("_std") > 0, moved + shake).otherwise(moved)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, h = matrix_of(batch.column(cube)), batch.column("_h").to_numpy().view(np.uint64)
+            for number in range(-1, len(plans)):
+                out = x
+                if number >= 0:
+                    order, std = plans[number]
+                    out = permute(x, order)
+                    if std is not None:
+                        out = out + std * normal(h, 100 + number, x.shape[1])
+                columns = [list_array(out) if n == cube else batch.column(n) for n in names]
+                tag = pa.array(np.full(batch.num_rows, number, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(columns + [tag], names=names + ["round"])
 
-    return rounds.withColumn(cube, F.transform(source, element)).drop("_order", "_std")
+    return prepared.mapInArrow(run, schema)
 
 
 def augment_chain(
@@ -337,24 +383,27 @@ def augment_chain(
     spectral_mask_prob: float = 0.5,
     spectral_keep: float = 0.75,
     band_dropout_prob: float = 0.5,
-    band_dropout: float = 0.2,
+    band_drop: float = 0.2,
     cube: str = "cube",
 ) -> DataFrame:
-    """Random flip, rotation, noise, erasing, spectral mask and band dropout, one after the other."""
-    key = F.col(ident)
-    flipped = permute(F.col(cube), p, flip_order(p, "cols"))
-    out = df.withColumn(
-        cube, F.when(unit_hash(key, F.lit(seed), F.lit("flip")) < flip_prob, flipped).otherwise(F.col(cube))
-    )
-    out = augment_rotate(out, ident, p, rotate_degrees, rotate_prob, seed, cube)
-    strength = F.when(unit_hash(key, F.lit(seed), F.lit("noise")) < noise_prob, noise_std).otherwise(0.0)
-    out = out.withColumn(cube, F.transform(cube, lambda x, i: x + strength * gaussian(key, seed, i)))
-    out = augment_erase(out, ident, p, erase_prob, erase_scale, erase_ratio, 0.0, seed, cube)
+    """Random flip, rotation, noise, erasing, spectral mask and band dropout in one pass."""
+    steps: list[CubeMap] = [
+        random_flip(p, flip_prob),
+        random_rotation(p, rotate_degrees, rotate_prob),
+        noise(noise_std, noise_prob),
+        erase(p, erase_prob, erase_scale, erase_ratio),
+    ]
     if spectral_mask_prob > 0:
-        out = augment_spectral_mask(out, ident, spectral_mask_prob, spectral_keep, seed, cube)
+        steps.append(spectral_mask(spectral_mask_prob, spectral_keep))
     if band_dropout_prob > 0:
-        out = augment_band_dropout(out, ident, p, band_dropout, band_dropout_prob, seed, cube)
-    return out
+        steps.append(band_dropout(p, band_drop, band_dropout_prob, seed))
+
+    def run(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        for step in steps:
+            x = step(x, h)
+        return x
+
+    return map_cubes(df, ident, run, seed, cube)
 
 
 def block_random_sample(

@@ -76,23 +76,30 @@ def flag_first(
     return df.join(cutoffs, list(groups), "left").withColumn(flag, chosen).drop("cutoff", "group_rows")
 
 
-def split_edges(df: DataFrame, column: str, pieces: int = 256) -> list[float]:
-    """Distinct approximate quantiles of a column (bounded list on the driver)."""
-    probabilities = [i / pieces for i in range(1, pieces)]
-    edges = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", probabilities, 0.001)
-    return sorted(set(edges))
+# Rows one value range of a numbering may hold before another range is opened.
+RANGE_ROWS = 500_000
+MAX_RANGES = 512
 
 
-def range_bucket(value: Column, edges: Sequence[float]) -> Column:
-    """Number of edges <= value, as a balanced decision expression (a pure function of the row)."""
+def split_edges(df: DataFrame, column: str, rows: int = RANGE_ROWS, most: int = MAX_RANGES) -> list[float]:
+    """Edges of value ranges with about ``rows`` rows each (a bounded list on the driver)."""
+    shares = [i / most for i in range(1, most)]
+    value = F.col(column).cast("double")
+    n, cuts = df.agg(F.count(value), F.percentile_approx(value, shares, F.lit(4 * most))).first()
+    pieces = min(most, -(-n // rows))
+    return sorted({cuts[i * most // pieces - 1] for i in range(1, pieces)}) if pieces > 1 else []
 
-    def branch(lo: int, hi: int) -> Column:
+
+def range_bucket(column: str, edges: Sequence[float]) -> Column:
+    """Number of edges <= the value, as a balanced decision expression (a pure function of the row)."""
+
+    def branch(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(value < F.lit(edges[mid]), branch(lo, mid)).otherwise(branch(mid + 1, hi))
+        return f"IF({column} < {edges[mid]!r}D, {branch(lo, mid)}, {branch(mid + 1, hi)})"
 
-    return branch(0, len(edges))
+    return F.expr(branch(0, len(edges)))
 
 
 def number_rows(df: DataFrame, order: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -101,7 +108,7 @@ def number_rows(df: DataFrame, order: str, name: str, groups: Sequence[str] = ()
     Rows are bucketed by value range; each bucket is numbered on its own and shifted by the sizes
     of the buckets before it.
     """
-    bucketed = df.withColumn("_b", range_bucket(F.col(order).cast("double"), split_edges(df, order)))
+    bucketed = df.withColumn("_b", range_bucket(order, split_edges(df, order)))
     sizes = bucketed.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     offsets = sizes.withColumn(

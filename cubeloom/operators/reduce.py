@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from cubeloom.functions import bands as band_fn
 from cubeloom.functions.vectors import dot, norm, subtract
-from cubeloom.operators.moments import Moments, collect_moments, matrix_of, moment_sums, noise_moments
+from cubeloom.operators.moments import DOUBLES, Moments, collect_moments, list_array, matrix_of, moment_sums, noise_moments
 
 REDUCTIONS = ("PCA", "MNF")
 
@@ -27,20 +27,12 @@ def map_vectors(df: DataFrame, vector: str, out: str, function, out_type: T.Data
             if batch.num_rows == 0:
                 continue
             result = function(matrix_of(batch.column(vector)))
-            if isinstance(out_type, T.ArrayType):
-                result = np.ascontiguousarray(result, dtype=np.float64)
-                offsets = np.arange(0, result.size + 1, result.shape[1], dtype=np.int32)
-                extra = pa.ListArray.from_arrays(pa.array(offsets), pa.array(result.ravel()))
-            else:
-                extra = pa.array(result)
+            extra = list_array(result) if isinstance(out_type, T.ArrayType) else pa.array(result)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [extra], names=names + [out])
 
     return df.mapInArrow(run, schema)
 
 
-DOUBLES = T.ArrayType(T.DoubleType())
-
-
 def project(df: DataFrame, matrix: np.ndarray, mean: np.ndarray | None = None, vector: str = "spectrum", out: str = "scores") -> DataFrame:
     """scores = (x - mean) @ matrix; the matrix (bands x components) travels with the task."""
     shift = 0.0 if mean is None else mean

@@ -141,11 +141,7 @@ def ppi(
 def segment_stats(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ("seg",)) -> DataFrame:
     """stats(keys..., area, var_sum): size and summed per-band population variance of a superpixel."""
     width = vector_width(df, vector)
-    x = [F.get(F.col(vector), F.lit(b)).cast("double") for b in range(width)]
-    spread = [F.var_pop(v) for v in x]
-    total: Column = spread[0]
-    for s in spread[1:]:
-        total = total + s
+    total = F.expr(" + ".join(f"var_pop(CAST({vector}[{b}] AS DOUBLE))" for b in range(width)))
     return df.groupBy(*keys).agg(F.count("*").alias("area"), total.alias("var_sum"))
 
 

@@ -9,11 +9,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.operators.quantiles import otsu_threshold
 from cubeloom.operators.tiles import TILE, by_tile, halo_tiles, line_windows, tile_apply, tile_array
+from cubeloom.session import cut_lineage
 
 SOBEL_LIMIT = 255
 
@@ -322,71 +323,59 @@ def swt_edge(df: DataFrame, rows: int, cols: int, level: int = 5, wavelet: str =
         strength = modulus_maxima(polar, tile=tile).select("row", "col", F.col("maxima").alias("strength"))
     else:
         strength = details.select("row", "col", F.sqrt(h * h + v * v + d * d).alias("strength"))
-    cropped = swt_crop(strength, rows, cols, level)
+    # read three times (extent, histogram, marking), so it is computed once
+    cropped = cut_lineage(swt_crop(strength, rows, cols, level))
     cut = otsu_threshold(cropped, "strength").withColumn("_one", F.lit(0))
     marked = cropped.withColumn("_one", F.lit(0)).join(F.broadcast(cut), "_one")
     return marked.select("row", "col", "strength", (F.col("strength") >= F.col("threshold")).cast("int").alias("edge"))
 
 
 DOWNSAMPLERS = ("NEAREST", "LINEAR", "CUBIC")
+# Fixed value: sharpness of the cubic kernel.
+CUBIC_A = -0.75
+
+
+def axis_weights(spark: SparkSession, size: int, count: int, method: str, name: str) -> DataFrame:
+    """weights(name, out_name, w_name): which source lines feed which output lines of one axis.
+
+    Taps beyond the border fall on the border line.
+    """
+    scale = size / count
+    lines = spark.range(count).select(F.col("id").cast("int").alias(f"out_{name}"))
+    place = F.col(f"out_{name}")
+    if method == "NEAREST":
+        source = F.least(F.floor(place * scale), F.lit(size - 1)).cast("int")
+        return lines.select(source.alias(name), f"out_{name}", F.lit(1.0).alias(f"w_{name}"))
+    reach = 1 if method == "LINEAR" else 2
+    centre = (place + 0.5) * scale - 0.5
+    taps = lines.withColumn("_tap", F.explode(F.sequence(F.lit(1 - reach), F.lit(reach)))).withColumn(
+        "_at", F.floor(centre) + F.col("_tap")
+    )
+    t = F.abs(centre - F.col("_at"))
+    if method == "LINEAR":
+        weight = 1.0 - t
+    else:
+        near = ((CUBIC_A + 2) * t - (CUBIC_A + 3)) * t * t + 1
+        far = ((CUBIC_A * t - 5 * CUBIC_A) * t + 8 * CUBIC_A) * t - 4 * CUBIC_A
+        weight = F.when(t <= 1, near).otherwise(far)
+    source = F.least(F.greatest(F.col("_at"), F.lit(0)), F.lit(size - 1)).cast("int")
+    return taps.select(source.alias(name), f"out_{name}", weight.alias(f"w_{name}"))
 
 
 def downsample(df: DataFrame, rows: int, cols: int, factor: float, method: str = "NEAREST", value: str = "v") -> DataFrame:
     """Resizes to int(rows / factor) x int(cols / factor).
 
-    Every source pixel computes which outputs it feeds and with what weight, so the resize is one
-    expansion and one partial aggregate; NEAREST is a filter without any shuffle.
+    The weights of an axis are a table of one scene side; joining it drops every source line that
+    feeds nothing before the weighted sums are taken.
     """
     if method not in DOWNSAMPLERS:
         raise ValueError(f"method must be one of {DOWNSAMPLERS}")
-    new_rows, new_cols = int(rows / factor), int(cols / factor)
-    sr, sc = rows / new_rows, cols / new_cols
+    spark = df.sparkSession
+    by_row = axis_weights(spark, rows, int(rows / factor), method, "row")
+    by_col = axis_weights(spark, cols, int(cols / factor), method, "col")
+    fed = df.select("row", "col", F.col(value).cast("double").alias("_v")).join(by_row, "row").join(by_col, "col")
     if method == "NEAREST":
-        # the outputs whose floor(o * scale) is this pixel
-        def owned(position: str, scale: float, count: int, size: int) -> Column:
-            first = F.ceil(F.col(position) / scale).cast("int")
-            near = F.sequence(F.greatest(first - 1, F.lit(0)), F.greatest(first - 1, F.lit(0)) + int(np.ceil(1 / scale)) + 1)
-            return F.explode(
-                F.filter(near, lambda o: (o < count) & (F.least(F.floor(o * scale), F.lit(size - 1)) == F.col(position)))
-            )
-
-        out = df.withColumn("_or", owned("row", sr, new_rows, rows)).withColumn("_oc", owned("col", sc, new_cols, cols))
-        return out.select(F.col("_or").alias("row"), F.col("_oc").alias("col"), F.col(value).cast("double").alias(value))
-    reach = 1 if method == "LINEAR" else 2
-
-    def weight(t: Column) -> Column:
-        t = F.abs(t)
-        if method == "LINEAR":
-            return F.greatest(1.0 - t, F.lit(0.0))
-        a = -0.75
-        near = ((a + 2) * t - (a + 3)) * t * t + 1
-        far = ((a * t - 5 * a) * t + 8 * a) * t - 4 * a
-        return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
-
-    def fed(position: str, scale: float, count: int, size: int) -> Column:
-        """(output, weight) pairs; taps beyond the border fall on the border pixel."""
-        low = F.floor((F.col(position) - reach + 0.5) / scale - 0.5).cast("int") - 1
-        span = int(np.ceil((2 * reach) / scale)) + 3
-        near_edge = (F.col(position) == 0) | (F.col(position) == size - 1)
-        reach_edge = int(np.ceil(reach / scale)) + 2
-        start = F.when(F.col(position) == 0, F.lit(0)).otherwise(F.greatest(low, F.lit(0)))
-        stop = F.when(near_edge, F.least(low + span + reach_edge, F.lit(count - 1))).otherwise(F.least(low + span, F.lit(count - 1)))
-
-        def taps(o: Column) -> Column:
-            centre = (o + 0.5) * scale - 0.5
-            base = F.floor(centre)
-            total = None
-            for k in range(1 - reach, reach + 1):
-                tap = base + k
-                clipped = F.greatest(F.lit(0), F.least(tap, F.lit(size - 1)))
-                part = F.when(clipped == F.col(position), weight(centre - tap)).otherwise(0.0)
-                total = part if total is None else total + part
-            return F.struct(o.alias("o"), total.alias("w"))
-
-        pairs = F.when(start <= stop, F.transform(F.sequence(start, stop), taps))
-        return F.explode(F.filter(pairs, lambda t: t["w"] != 0.0))
-
-    spread = df.withColumn("_fr", fed("row", sr, new_rows, rows)).withColumn("_fc", fed("col", sc, new_cols, cols))
-    return spread.groupBy(F.col("_fr.o").alias("row"), F.col("_fc.o").alias("col")).agg(
-        F.sum(F.col(value) * F.col("_fr.w") * F.col("_fc.w")).alias(value)
+        return fed.select(F.col("out_row").alias("row"), F.col("out_col").alias("col"), F.col("_v").alias(value))
+    return fed.groupBy(F.col("out_row").alias("row"), F.col("out_col").alias("col")).agg(
+        F.sum(F.col("_v") * F.col("w_row") * F.col("w_col")).alias(value)
     )

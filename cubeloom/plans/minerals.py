@@ -13,7 +13,8 @@ from cubeloom.functions import color
 
 def rule_map(pixels: DataFrame, rule: band_fn.BandRule, band: band_fn.BandLookup) -> DataFrame:
     """Adds hit (0 / 1) and n_terms (satisfied terms) of one rule."""
-    return pixels.withColumn("hit", rule.hit(band).cast("int")).withColumn("n_terms", rule.satisfied(band))
+    counted = pixels.withColumn("n_terms", rule.satisfied(band))
+    return counted.withColumn("hit", (F.col("n_terms") == len(rule.terms)).cast("int"))
 
 
 def hematite_map(pixels: DataFrame, band: band_fn.BandLookup) -> DataFrame:
@@ -34,11 +35,12 @@ def rule_hits(pixels: DataFrame, rules: Sequence[band_fn.BandRule], band: band_f
     """
     results = F.array(
         *[
-            F.struct(F.lit(r.name).alias("rule"), r.satisfied(band).alias("n_terms"), r.hit(band).cast("int").alias("hit"))
+            F.struct(F.lit(r.name).alias("rule"), r.satisfied(band).alias("n_terms"), F.lit(len(r.terms)).alias("_all"))
             for r in rules
         ]
     )
-    return pixels.select(ident, F.explode(results).alias("_r")).select(ident, "_r.*")
+    rows = pixels.select(ident, F.explode(results).alias("_r")).select(ident, "_r.*")
+    return rows.select(ident, "rule", "n_terms", (F.col("n_terms") == F.col("_all")).cast("int").alias("hit"))
 
 
 def rule_counts(pixels: DataFrame, rules: Sequence[band_fn.BandRule], band: band_fn.BandLookup) -> DataFrame:
