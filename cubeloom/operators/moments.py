@@ -143,17 +143,29 @@ def band_stats(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()
     )
 
 
-def collect_moments(df: DataFrame, vector: str = "spectrum") -> Moments:
-    """Moments of one group on the driver: B rows of B numbers, independent of the pixel count."""
-    rows = sorted(moment_sums(df, vector).collect(), key=lambda r: r["i"])
-    if not rows:
-        raise ValueError("no rows to take statistics of")
+def _moments(rows: list) -> Moments:
+    rows = sorted(rows, key=lambda r: r["i"])
     n = int(rows[0]["n"])
     s = np.array([r["s"] for r in rows])
     cross = np.array([r["cross"] for r in rows])
-    mean = s / n
     cov = (cross - np.outer(s, s) / n) / max(n - 1, 1)
-    return Moments(n, mean, (cov + cov.T) / 2)
+    return Moments(n, s / n, (cov + cov.T) / 2)
+
+
+def collect_moments(df: DataFrame, vector: str = "spectrum") -> Moments:
+    """Moments of one group on the driver: B rows of B numbers, independent of the pixel count."""
+    rows = moment_sums(df, vector).collect()
+    if not rows:
+        raise ValueError("no rows to take statistics of")
+    return _moments(rows)
+
+
+def collect_moments_by(df: DataFrame, key: str, vector: str = "spectrum") -> dict[int, Moments]:
+    """Moments of every value of a key with few values (blocks of a scene), in one job."""
+    rows: dict[int, list] = {}
+    for row in moment_sums(df, vector, [key]).collect():
+        rows.setdefault(row[key], []).append(row)
+    return {k: _moments(v) for k, v in rows.items()}
 
 
 def noise_differences(

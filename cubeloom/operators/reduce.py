@@ -12,7 +12,17 @@ from pyspark.sql import types as T
 
 from cubeloom.functions import bands as band_fn
 from cubeloom.functions.vectors import dot, norm, subtract
-from cubeloom.operators.moments import DOUBLES, Moments, collect_moments, list_array, matrix_of, moment_sums, noise_moments
+from cubeloom.operators.moments import (
+    DOUBLES,
+    Moments,
+    collect_moments,
+    collect_moments_by,
+    list_array,
+    matrix_of,
+    moment_sums,
+    noise_differences,
+    noise_moments,
+)
 
 REDUCTIONS = ("PCA", "MNF")
 
@@ -93,6 +103,30 @@ def mnf(
     return project(pixels, mnf_transform(signal, noise, k), signal.mean, vector, out)
 
 
+def mnf_by_block(df: DataFrame, block: str, k: int, vector: str = "spectrum", out: str = "scores") -> DataFrame:
+    """MNF of every block with its own statistics; all blocks share the two statistics jobs."""
+    noise = collect_moments_by(noise_differences(df, valid=None, vector=vector, keys=[block]), block, "delta")
+    signal = collect_moments_by(df, block, vector)
+    plan = {
+        b: (m.mean, mnf_transform(m, Moments(noise[b].n, noise[b].mean, noise[b].cov / 2.0), k)) for b, m in signal.items()
+    }
+    names = df.columns
+    schema = T.StructType(df.schema.fields + [T.StructField(out, DOUBLES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, blocks = matrix_of(batch.column(vector)), batch.column(block).to_numpy()
+            scores = np.zeros((len(x), k))
+            for b in np.unique(blocks):
+                mean, matrix = plan[int(b)]
+                scores[blocks == b, : matrix.shape[1]] = (x[blocks == b] - mean) @ matrix
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [list_array(scores)], names=names + [out])
+
+    return df.mapInArrow(run, schema)
+
+
 def enhance(df: DataFrame, method: str = "PCA", k: int = 10, **kw) -> DataFrame:
     """PCA or MNF scores by name; any other name is an error."""
     if method not in REDUCTIONS:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key, dot, sqnorm
-from cubeloom.operators.moments import group_slices, matrix_of, vector_width
+from cubeloom.operators.moments import group_slices, list_array, matrix_of, moment_sums, vector_width
 from cubeloom.operators.ranking import flag_first, top_per_group
 from cubeloom.session import cut_lineage
 
@@ -203,11 +202,11 @@ def argmax_pixel(df: DataFrame, score: Column, ident: str = "pix", keys: Sequenc
 
 def smacc(
     df: DataFrame,
-    endmembers: int | dict[int, int],
+    endmembers: int | dict[int, int] | None = None,
     vector: str = "spectrum",
     ident: str = "pix",
     block: str | None = None,
-    max_residual: float = float("inf"),
+    max_residual: float | None = float("inf"),
     cut_every: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """Sequential maximum-angle endmembers: (abundances, endmembers).
@@ -216,7 +215,8 @@ def smacc(
     residual by aggregation and sends one vector per block to the rows. Blocks advance together.
     Returns abundances(block, ident, f, residual, is_endmember) and
     endmembers(block, step, ident, spectrum). A block is done when it has its number of
-    endmembers and no residual norm above ``max_residual``.
+    endmembers (the rank of its vectors by default) and no residual norm above ``max_residual``
+    (None: its largest norm divided by that number).
     """
     spark = df.sparkSession
     source = df.select(
@@ -225,7 +225,13 @@ def smacc(
         F.transform(vector, lambda x: x.cast("double")).alias("h"),
     )
     state = cut_lineage(source.withColumn("r", F.col("h")).withColumn("f", F.array().cast("array<double>")))
-    wanted = lambda b: endmembers.get(b, 0) if isinstance(endmembers, dict) else endmembers
+    if endmembers is None:
+        endmembers = vector_ranks(source)
+
+    def wanted(b: int) -> int:
+        return endmembers.get(b, 0) if isinstance(endmembers, dict) else endmembers
+
+    limits: dict[int, float] = {}
     chosen: list[tuple[int, int, int, list[float]]] = []
     per_block: dict[int, int] = {}
     schema = state.schema
@@ -239,7 +245,11 @@ def smacc(
         for row in best:
             b, m = row["block"], row["m"]
             count = per_block.get(b, 0)
-            if count >= wanted(b) and not m["n"] > max_residual:
+            if max_residual is None:
+                limit = limits.setdefault(b, m["n"] / max(wanted(b), 1))
+            else:
+                limit = max_residual
+            if count >= wanted(b) and not m["n"] > limit:
                 continue
             if m["n"] == 0.0:
                 continue
@@ -263,6 +273,19 @@ def smacc(
     return abundances, picks
 
 
+def vector_ranks(source: DataFrame) -> dict[int, int]:
+    """Rank of the vectors of every block, from their cross products."""
+    rows: dict[int, list] = {}
+    for row in moment_sums(source, "h", ["block"]).collect():
+        rows.setdefault(row["block"], []).append((row["i"], row["cross"]))
+    # singular values are square roots of these eigenvalues, so the cut is the square of the usual one
+    ranks = {}
+    for b, parts in rows.items():
+        values = np.linalg.eigvalsh(np.array([c for _, c in sorted(parts)]))
+        ranks[b] = int((values > values.max() * 1e-13).sum())
+    return ranks
+
+
 def _smacc_step(active: dict, ident: str, names: list[str]):
     """One oblique projection of every row of the active blocks."""
 
@@ -293,7 +316,7 @@ def _smacc_step(active: dict, ident: str, names: list[str]):
                 for i, values in zip(rows, np.column_stack([f, fn])):
                     abundance[i] = values
             columns = {
-                "r": pa.array(list(residual), type=pa.list_(pa.float64())),
+                "r": list_array(residual),
                 "f": pa.array(abundance, type=pa.list_(pa.float64())),
             }
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in names], names=names)

@@ -49,21 +49,15 @@ def smacc_block_sampling(pixels: DataFrame, rows: int, cols: int, blocks: tuple[
                          samples: int = 4000) -> DataFrame:
     """Endmember pixels of every block of an MNF-reduced scene, shared out by block area."""
     height, width = -(-rows // blocks[0]), -(-cols // blocks[1])
-    shares: dict[int, int] = {}
-    parts = []
-    for i in range(blocks[0]):
-        for j in range(blocks[1]):
-            h, w = min(height, rows - i * height), min(width, cols - j * width)
-            if h <= 0 or w <= 0:
-                continue
-            number = i * blocks[1] + j
-            shares[number] = int(samples * (h * w) / (rows * cols))
-            inside = F.col("row").between(i * height, i * height + h - 1) & F.col("col").between(j * width, j * width + w - 1)
-            block = pixels.filter(inside)
-            parts.append(reduce.mnf(block, k, valid=None).select("pix", "scores", F.lit(number).alias("block")))
-    from cubeloom.operators.infer import assemble_blocks
-
-    _, chosen = sampling.smacc(assemble_blocks(parts), shares, "scores", block="block")
+    number = F.floor(F.col("row") / height) * blocks[1] + F.floor(F.col("col") / width)
+    shares = {
+        i * blocks[1] + j: int(samples * min(height, rows - i * height) * min(width, cols - j * width) / (rows * cols))
+        for i in range(-(-rows // height))
+        for j in range(-(-cols // width))
+    }
+    numbered = pixels.select("pix", "row", "col", "spectrum", number.cast("int").alias("block"))
+    reduced = reduce.mnf_by_block(numbered, "block", k)
+    _, chosen = sampling.smacc(reduced, shares, "scores", block="block")
     return chosen
 
 
