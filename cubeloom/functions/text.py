@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LOG_TARGETS = ("Accuracy: ", "Loss: ")
 
@@ -36,14 +38,19 @@ def log_phase(line: Column) -> Column:
     return F.when(F.startswith(F.trim(line), F.lit("Test")), "test").otherwise("train")
 
 
-def percent_text(value: Column) -> Column:
-    """Share as a percentage: whole numbers bare, up to two decimals -> one, more -> two, zero -> 0.0."""
+def _percent(value: float) -> str:
     percent = value * 100
-    digits = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", percent), "0+$", ""), r"\.$", "")
-    decimals = F.length(F.regexp_extract(digits, r"\.(\d+)$", 1))
-    return (
-        F.when(percent == 0, F.lit("0.0"))
-        .when(decimals == 0, digits)
-        .when(decimals > 2, F.format_string("%.2f", percent))
-        .otherwise(F.format_string("%.1f", percent))
-    )
+    if percent == 0:
+        return "0.0"
+    places = len(f"{percent:.10f}".rstrip("0").split(".")[1])
+    return f"{percent:.{min(places, 2) if places > 2 else min(places, 1)}f}"
+
+
+@F.pandas_udf(StringType())
+def percent_text(value: pd.Series) -> pd.Series:
+    """Share as a percentage: whole numbers bare, up to two decimals -> one, more -> two, zero -> 0.0.
+
+    Rounds the exact binary value, ties to even; Spark's own formatting rounds the printed digits
+    up instead.
+    """
+    return value.map(_percent, na_action="ignore")
