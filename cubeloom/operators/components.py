@@ -14,7 +14,7 @@ from cubeloom.operators.tiles import TILE, tile_apply, tile_array
 from cubeloom.session import cut_lineage
 
 # Links up to this many are contracted in one task; more stay distributed.
-SMALL_GRAPH = 200_000
+SMALL_GRAPH = 1_000_000
 
 
 def min_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ from cubeloom.operators.tiles import TILE, by_tile, halo_tiles, line_windows, ti
 from cubeloom.session import cut_lineage
 
 SOBEL_LIMIT = 255
+# Deep wavelet levels need wide halos, so their tiles are larger.
+SWT_TILE = 512
 
 
 def edge_mask(df: DataFrame, rows: int, cols: int, top=0, bottom=0, left=0, right=0, value: str = "v") -> DataFrame:
@@ -242,17 +244,21 @@ def swt_details_haar(padded: DataFrame, height: int, width: int, level: int, val
     return details.filter("core AND _real").select("row", "col", "h", "v", "d")
 
 
-def swt_details(padded: DataFrame, height: int, width: int, level: int, wavelet: str = "haar", value: str = "v",
-                tile: int = TILE) -> DataFrame:
-    """(row, col, h, v, d) of any supported wavelet: a-trous filtering of halo tiles."""
+def _swt_tiles(padded: DataFrame, height: int, width: int, level: int, wavelet: str, value: str, tile: int,
+               finish, names: str, ring: int) -> DataFrame:
+    """A-trous filtering of halo tiles: one shuffle, then ``finish(h, v, d, inside)`` on each tile.
+
+    ``ring`` extra cells around the tile keep correct details for finishes that look at neighbours;
+    ``inside`` marks the cells of the grid itself (the rest are periodic copies).
+    """
     name = WAVELET_ALIASES.get(wavelet, wavelet)
     if name not in WAVELETS:
         raise ValueError(f"wavelet must be one of {sorted([*WAVELETS, *WAVELET_ALIASES])}")
     low, high = (np.array(f) for f in WAVELETS[name])
     n = len(low)
     # output o of a level with spacing g takes input o + g*n/2 - g*j for tap j
-    before = sum(2**j * (n - 1 - n // 2) for j in range(level))
-    after = sum(2**j * (n // 2) for j in range(level))
+    before = sum(2**j * (n - 1 - n // 2) for j in range(level)) + ring
+    after = sum(2**j * (n // 2) for j in range(level)) + ring
     grid = _wrapped(padded.select("row", "col", F.col(value).alias("x")), height, width, before, after)
 
     def taps(a: np.ndarray, f: np.ndarray, gap: int, axis: int) -> np.ndarray:
@@ -265,16 +271,63 @@ def swt_details(padded: DataFrame, height: int, width: int, level: int, wavelet:
         a, r0, c0 = tile_array(pdf, "x", 0.0)
         for j in range(level):
             gap = 2**j
-            lo_r, hi_r = taps(a, low, gap, 0), taps(a, high, gap, 0)
-            h, v, d = taps(hi_r, low, gap, 1), taps(lo_r, high, gap, 1), taps(hi_r, high, gap, 1)
+            lo_r = taps(a, low, gap, 0)
+            if j == level - 1:
+                hi_r = taps(a, high, gap, 0)
+                h, v, d = taps(hi_r, low, gap, 1), taps(lo_r, high, gap, 1), taps(hi_r, high, gap, 1)
             a = taps(lo_r, low, gap, 1)
+        rows, cols = np.arange(r0, r0 + a.shape[0]) - before, np.arange(c0, c0 + a.shape[1]) - before
+        inside = ((rows >= 0) & (rows < height))[:, None] & ((cols >= 0) & (cols < width))[None, :]
         core = pdf[pdf["core"] & pdf["_real"]]
         i, k = core["row"].to_numpy() - r0, core["col"].to_numpy() - c0
-        return pd.DataFrame(
-            {"row": core["row"] - before, "col": core["col"] - before, "h": h[i, k], "v": v[i, k], "d": d[i, k]}
-        )
+        frame = {"row": core["row"] - before, "col": core["col"] - before}
+        for out, array in zip(names.split(), finish(h, v, d, inside)):
+            frame[out] = array[i, k]
+        return pd.DataFrame(frame)
+
+    schema = "row int, col int, " + ", ".join(f"{c} double" for c in names.split())
+    return tile_apply(grid, run, schema, tile, before=before, after=after)
+
 
-    return tile_apply(grid, run, "row int, col int, h double, v double, d double", tile, before=before, after=after)
+def swt_details(padded: DataFrame, height: int, width: int, level: int, wavelet: str = "haar", value: str = "v",
+                tile: int = SWT_TILE) -> DataFrame:
+    """(row, col, h, v, d) of any supported wavelet at the coarsest level."""
+    return _swt_tiles(padded, height, width, level, wavelet, value, tile, lambda h, v, d, _: (h, v, d), "h v d", 0)
+
+
+def octant_maxima(modulus: np.ndarray, angle: np.ndarray) -> np.ndarray:
+    """Modulus where neither neighbour along the angle's octant is larger, else 0.
+
+    Angles outside 0..2pi have no octant and keep their modulus. Cells of -inf never compete.
+    """
+    around = np.pad(modulus, 1, constant_values=-np.inf)
+    h, w = modulus.shape
+
+    def at(dr: int, dc: int) -> np.ndarray:
+        return around[1 + dr: 1 + dr + h, 1 + dc: 1 + dc + w]
+
+    octant = np.floor((angle + np.pi / 8) / (np.pi / 4)).astype(int) % 4
+    rivals = np.select(
+        [octant == 0, octant == 1, octant == 2],
+        [np.maximum(at(0, -1), at(0, 1)), np.maximum(at(1, -1), at(-1, 1)), np.maximum(at(1, 0), at(-1, 0))],
+        np.maximum(at(-1, -1), at(1, 1)),
+    )
+    free = (angle < 0) | (angle >= 2 * np.pi)
+    return np.where(free | ~(rivals > modulus), modulus, 0.0)
+
+
+def swt_strength(padded: DataFrame, height: int, width: int, level: int, wavelet: str, use_modulus_maxima: bool,
+                 value: str = "v", tile: int = SWT_TILE) -> DataFrame:
+    """(row, col, strength): detail norm, or modulus maxima of the first two details, in the same pass."""
+
+    def norm(h, v, d, inside):
+        return (np.sqrt(h * h + v * v + d * d),)
+
+    def maxima(h, v, d, inside):
+        return (octant_maxima(np.where(inside, np.sqrt(h * h + v * v), -np.inf), np.arctan2(v, h)),)
+
+    finish = maxima if use_modulus_maxima else norm
+    return _swt_tiles(padded, height, width, level, wavelet, value, tile, finish, "strength", int(use_modulus_maxima))
 
 
 def modulus_maxima(df: DataFrame, modulus: str = "m", angle: str = "theta", wrap_angle: bool = False,
@@ -308,21 +361,12 @@ def modulus_maxima(df: DataFrame, modulus: str = "m", angle: str = "theta", wrap
 
 
 def swt_edge(df: DataFrame, rows: int, cols: int, level: int = 5, wavelet: str = "haar", use_modulus_maxima: bool = True,
-             value: str = "v", tile: int = TILE) -> DataFrame:
+             value: str = "v", tile: int = SWT_TILE) -> DataFrame:
     """(row, col, strength, edge): coarsest wavelet details, Otsu threshold, edge = 1 at or above it."""
     top, bottom, left, right = swt_padding(rows, cols, level)
     height, width = rows + top + bottom, cols + left + right
     padded = swt_pad(df, rows, cols, level, value)
-    if WAVELET_ALIASES.get(wavelet, wavelet) == "haar":
-        details = swt_details_haar(padded, height, width, level, value, tile)
-    else:
-        details = swt_details(padded, height, width, level, wavelet, value, tile)
-    h, v, d = F.col("h"), F.col("v"), F.col("d")
-    if use_modulus_maxima:
-        polar = details.select("row", "col", F.sqrt(h * h + v * v).alias("m"), F.atan2(v, h).alias("theta"))
-        strength = modulus_maxima(polar, tile=tile).select("row", "col", F.col("maxima").alias("strength"))
-    else:
-        strength = details.select("row", "col", F.sqrt(h * h + v * v + d * d).alias("strength"))
+    strength = swt_strength(padded, height, width, level, wavelet, use_modulus_maxima, value, tile)
     # read three times (extent, histogram, marking), so it is computed once
     cropped = cut_lineage(swt_crop(strength, rows, cols, level))
     cut = otsu_threshold(cropped, "strength").withColumn("_one", F.lit(0))

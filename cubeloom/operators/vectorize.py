@@ -18,72 +18,156 @@ from cubeloom.operators.skeleton import RING
 from cubeloom.operators.tiles import TILE, tile_apply, tile_array
 from cubeloom.session import cut_lineage
 
-# Walks with up to this many states in total are ordered in one task; more stay distributed.
-SMALL_WALK = 200_000
+# Walk pieces up to this many in total are ordered in one task; more stay distributed.
+SMALL_WALK = 1_000_000
+WALK_SCHEMA = (
+    "state long, head long, off long, closed boolean, out long, length long, low long, low_off long"
+)
 
 
-def _order_small(pdf: pd.DataFrame) -> pd.DataFrame:
-    state = pdf["state"].to_numpy()
+def walk_pieces(state: np.ndarray, succ: np.ndarray) -> pd.DataFrame:
+    """Cuts the part of a walk that one tile sees into closed cycles and through-going pieces.
+
+    Every state gets the head of its piece and its offset from it. A closed cycle starts at its
+    smallest state. The head row of an open piece also carries where the piece leads (``out``),
+    its length, and its smallest state with that one's offset.
+    """
     order = np.argsort(state)
-    state = state[order]
+    state, succ = state[order], succ[order]
+    n = len(state)
+    spot = np.minimum(np.searchsorted(state, succ), max(n - 1, 0))
+    local = state[spot] == succ if n else np.zeros(0, bool)
+    me = np.arange(n)
+    prev = me.copy()
+    prev[spot[local]] = me[local]
+    open_head = np.ones(n, bool)
+    open_head[spot[local]] = False
+    # smallest state on the way back, over windows that double until they cover a whole cycle
+    jump, low, span = prev.copy(), me.copy(), 1
+    while span < n:
+        low, jump, span = np.minimum(low, low[jump]), jump[jump], span * 2
+    low = np.minimum(low, low[jump]) if n else low
+    closed = ~open_head[jump]
+    start = open_head | (closed & (low == me))
+    jump = np.where(start, me, prev)
+    off = (~start).astype(np.int64)
+    while True:
+        step = off[jump]
+        if not step.any():
+            break
+        off, jump = off + step, jump[jump]
+    head = jump
+    frame = pd.DataFrame({"state": state, "head": state[head] if n else state, "off": off, "closed": closed})
+    for name in ("out", "length", "low", "low_off"):
+        frame[name] = np.int64(-1)
+    tails = np.flatnonzero(~closed & ~local)
+    if len(tails):
+        rows = head[tails]
+        pieces = pd.DataFrame({"head": head, "state": state, "off": off})[~closed]
+        least = pieces.loc[pieces.groupby("head")["state"].idxmin()].set_index("head")
+        frame.loc[rows, "out"] = succ[tails]
+        frame.loc[rows, "length"] = off[tails] + 1
+        frame.loc[least.index, "low"] = least["state"].to_numpy()
+        frame.loc[least.index, "low_off"] = least["off"].to_numpy()
+    return frame
+
+
+def _order_small(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Orders pieces (state, next, w, low, low_off) that fit one task."""
+    order = np.argsort(pdf["state"].to_numpy())
+    state, w, low, low_off = (pdf[c].to_numpy()[order] for c in ("state", "w", "low", "low_off"))
     succ = np.searchsorted(state, pdf["next"].to_numpy()[order])
     n = len(state)
-    smallest, jump = np.arange(n), succ.copy()
-    span = 1
+    place = np.empty(n, dtype=np.int64)
+    place[np.argsort(low)] = np.arange(n)
+    best, jump, span = place, succ.copy(), 1
     while span < n:
-        smallest, jump, span = np.minimum(smallest, smallest[jump]), jump[jump], span * 2
-    smallest = np.minimum(smallest, smallest[jump])
-    # steps left until the walk is back at its smallest state
-    ends = succ == smallest
-    left = np.where(ends, 0, 1)
-    jump = np.where(ends, np.arange(n), succ)
+        best, jump, span = np.minimum(best, best[jump]), jump[jump], span * 2
+    best = np.minimum(best, best[jump])
+    anchor = np.argsort(low)[best]
+    # length still to walk until the anchor is reached again
+    last = succ == anchor
+    left, jump = np.where(last, 0, w), np.where(last, np.arange(n), succ)
     while True:
-        moved = left[jump]
-        if not moved.any():
+        step = left[jump]
+        if not step.any():
             break
-        left, jump = left + moved, jump[jump]
-    total = left[smallest]
-    return pd.DataFrame({"state": state, "cycle": state[smallest], "pos": (total - left).astype(np.int64)})
-
-
-def order_cycles(walk: DataFrame, small: int = SMALL_WALK) -> DataFrame:
-    """walk(state, next), a permutation -> (state, cycle, pos): cycle = its smallest state, pos from 0."""
-    schema = "state long, cycle long, pos long"
-    walk = cut_lineage(walk.select("state", "next"))
-    if walk.count() <= small:
-        return walk.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_order_small, schema)
-    current = walk.select("state", F.col("next").alias("jump"), F.col("state").alias("m"))
+        left, jump = left + step, jump[jump]
+    total = left[anchor] + w[jump[anchor]]
+    start = total - left - w[jump]
+    return pd.DataFrame({"state": state, "cycle": low[anchor], "start": start, "total": total, "shift": low_off[anchor]})
+
+
+def order_pieces(pieces: DataFrame, small: int = SMALL_WALK) -> DataFrame:
+    """pieces(state, next, w, low, low_off), a permutation of pieces -> (state, cycle, start, total, shift).
+
+    cycle is the smallest state of the whole walk, start the piece's distance from its anchor (the
+    piece with that state), total the walk's length and shift the smallest state's place in the
+    anchor. Larger inputs are ordered by pointer doubling.
+    """
+    schema = "state long, cycle long, start long, total long, shift long"
+    pieces = cut_lineage(pieces)
+    if pieces.count() <= small:
+        return pieces.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_order_small, schema)
+    current = pieces.select("state", F.col("next").alias("jump"), "low")
     while True:
-        ahead = current.select(F.col("state").alias("jump"), F.col("jump").alias("_j"), F.col("m").alias("_m"))
-        doubled = current.join(ahead, "jump").select(
-            "state", F.col("_j").alias("jump"), F.least("m", "_m").alias("m"), (F.col("_m") < F.col("m")).alias("changed")
+        ahead = current.select(F.col("state").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_m"))
+        doubled = cut_lineage(
+            current.join(ahead, "jump").select(
+                "state", F.col("_j").alias("jump"), F.least("low", "_m").alias("low"), (F.col("_m") < F.col("low")).alias("changed")
+            )
         )
-        doubled = cut_lineage(doubled)
         settled = doubled.filter("changed").isEmpty()
         current = doubled.drop("changed")
         if settled:
             break
-    named = walk.join(current.select("state", F.col("m").alias("cycle")), "state")
-    ends = F.col("next") == F.col("cycle")
+    named = pieces.select("state", "next", "w", F.col("low").alias("own"), "low_off").join(
+        current.select("state", F.col("low").alias("cycle")), "state"
+    )
+    anchors = named.filter(F.col("own") == F.col("cycle")).select("cycle", F.col("state").alias("anchor"), F.col("low_off").alias("shift"))
+    named = named.join(anchors, "cycle")
+    last = F.col("next") == F.col("anchor")
     rank = cut_lineage(
         named.select(
-            "state", "cycle", F.when(ends, F.col("state")).otherwise(F.col("next")).alias("jump"),
-            F.when(ends, 0).otherwise(1).cast("long").alias("left"),
+            "state", "cycle", "anchor", "shift", "w",
+            F.when(last, F.col("state")).otherwise(F.col("next")).alias("jump"),
+            F.when(last, F.lit(0)).otherwise(F.col("w")).cast("long").alias("left"),
         )
     )
     while True:
+        # final pieces point to themselves with nothing left; every piece joins exactly one row
         ahead = rank.select(F.col("state").alias("jump"), F.col("jump").alias("_j"), F.col("left").alias("_l"))
-        # final states point to themselves with 0 steps left; every state joins exactly one row
-        moved = rank.join(ahead, "jump").select(
-            "state", "cycle", F.col("_j").alias("jump"), (F.col("left") + F.col("_l")).alias("left"), (F.col("_l") > 0).alias("moved")
+        moved = cut_lineage(
+            rank.join(ahead, "jump").select(
+                "state", "cycle", "anchor", "shift", "w", F.col("_j").alias("jump"),
+                (F.col("left") + F.col("_l")).alias("left"), (F.col("_l") > 0).alias("moved"),
+            )
         )
-        moved = cut_lineage(moved)
         done = moved.filter("moved").isEmpty()
         rank = moved.drop("moved")
         if done:
             break
-    heads = rank.filter(F.col("state") == F.col("cycle")).select("cycle", F.col("left").alias("_total"))
-    return rank.join(heads, "cycle").select("state", "cycle", (F.col("_total") - F.col("left")).alias("pos"))
+    ends = rank.filter(F.col("jump") == F.col("state")).select("cycle", F.col("w").alias("_last"))
+    heads = rank.filter(F.col("state") == F.col("anchor")).select("cycle", F.col("left").alias("_all"))
+    totals = heads.join(ends, "cycle").select("cycle", (F.col("_all") + F.col("_last")).alias("total"), "_last")
+    return rank.join(totals, "cycle").select(
+        "state", "cycle", (F.col("total") - F.col("left") - F.col("_last")).alias("start"), "total", "shift"
+    )
+
+
+def order_walks(states: DataFrame, small: int = SMALL_WALK) -> DataFrame:
+    """Output of :func:`walk_pieces` -> adds cycle (smallest state of the walk) and pos (0 at it).
+
+    Walks inside one tile are already ordered; only pieces that cross tiles are linked up.
+    """
+    rest = [c for c in states.columns if c not in ("head", "off", "closed", "out", "length", "low", "low_off")]
+    inner = states.filter("closed").select(*rest, F.col("head").alias("cycle"), F.col("off").alias("pos"))
+    across = states.filter("NOT closed")
+    pieces = across.filter("state = head").select("state", F.col("out").alias("next"), F.col("length").alias("w"), "low", "low_off")
+    linked = order_pieces(pieces, small).withColumnRenamed("state", "head")
+    place = F.pmod(F.col("start") + F.col("off") - F.col("shift"), F.col("total"))
+    outer = across.join(linked, "head").select(*rest, "cycle", place.alias("pos"))
+    return inner.unionByName(outer)
 
 
 def skeleton_to_lines(skeleton: DataFrame, cols: int, gt: geo.GeoTransform, tile: int = TILE, small: int = SMALL_WALK) -> DataFrame:
@@ -111,12 +195,10 @@ def skeleton_to_lines(skeleton: DataFrame, cols: int, gt: geo.GeoTransform, tile
                 chosen[hit] = e
             states.append((r[there].astype(np.int64) * cols + c[there]) * 8 + d)
             nexts.append((qr.astype(np.int64) * cols + qc) * 8 + chosen)
-        if not states:
-            return pd.DataFrame({"state": [], "next": []})
-        return pd.DataFrame({"state": np.concatenate(states), "next": np.concatenate(nexts)})
+        return walk_pieces(np.concatenate(states), np.concatenate(nexts))
 
-    walk = tile_apply(skeleton.select("row", "col"), successors, "state long, next long", tile, 2)
-    ordered = cut_lineage(order_cycles(walk, small))
+    walk = cut_lineage(tile_apply(skeleton.select("row", "col"), successors, WALK_SCHEMA, tile, 2))
+    ordered = cut_lineage(order_walks(walk, small))
     lengths = ordered.groupBy("cycle").agg(F.count("*").alias("_n"))
     lines = ordered.join(lengths.filter((F.col("_n") >= 2) & (F.col("_n") != 3)).select("cycle"), "cycle")
     pix = F.floor(F.col("state") / 8)
@@ -141,7 +223,7 @@ SIDES = (
 
 
 def region_sides(classes: DataFrame, cols: int, value: str = "label", tile: int = TILE) -> DataFrame:
-    """sides(row, col, side, state, next, corner): exposed cell sides and the side that follows each.
+    """Exposed cell sides (row, col, side, corner) as pieces of walks around the regions.
 
     Ahead free: turn around the own cell; ahead taken but ahead-left free: go straight; both
     taken: turn left. So a walk stays inside one 4-connected region. ``corner`` marks a turn.
@@ -164,18 +246,22 @@ def region_sides(classes: DataFrame, cols: int, value: str = "label", tile: int
             frames.append(
                 pd.DataFrame(
                     {
-                        "row": rr, "col": cc, "side": np.int32(side),
                         "state": (rr.astype(np.int64) * cols + cc) * 4 + side,
                         "next": (nr * cols + nc) * 4 + ns,
                         "corner": ns != side,
                     }
                 )
             )
-        return pd.concat(frames, ignore_index=True)
+        sides = pd.concat(frames, ignore_index=True)
+        pieces = walk_pieces(sides["state"].to_numpy(), sides["next"].to_numpy())
+        return pieces.merge(sides[["state", "corner"]], on="state")
 
     slim = classes.select("row", "col", F.col(value).cast("double").alias("_v"))
-    schema = "row int, col int, side int, state long, next long, corner boolean"
-    return tile_apply(slim, expose, schema, tile, 1)
+    sides = tile_apply(slim, expose, WALK_SCHEMA + ", corner boolean", tile, 1)
+    pix = F.floor(F.col("state") / 4)
+    return sides.withColumns(
+        {"row": geo.row_of(pix, cols), "col": geo.col_of(pix, cols), "side": F.pmod("state", F.lit(4)).cast("int")}
+    )
 
 
 def polygonize(
@@ -197,16 +283,16 @@ def polygonize(
     if background is not None:
         kept = kept.filter(F.col("value") != background)
     labelled = cut_lineage(connected_components(kept, cols, 4, "value", tile=tile, out="region"))
-    sides = cut_lineage(
-        region_sides(kept, cols, "value", tile).join(labelled.select("row", "col", "region"), ["row", "col"])
+    sides = cut_lineage(region_sides(kept, cols, "value", tile))
+    walked = cut_lineage(
+        order_walks(sides, small).join(labelled.select("row", "col", "region"), ["row", "col"])
     )
-    perimeters = sides.groupBy("region").agg(F.count("*").alias("perimeter"))
+    perimeters = walked.groupBy("region").agg(F.count("*").alias("perimeter"))
     regions = labelled.groupBy("region", "value").agg(F.count("*").alias("area")).join(perimeters, "region")
     label = F.lit(None).cast("string")
     for key, text in (names or {}).items():
         label = F.when(F.col("value") == key, F.lit(text)).otherwise(label)
     regions = regions.withColumn("name", label)
-    walked = cut_lineage(sides.join(order_cycles(sides, small), "state"))
     side, row, col = F.col("side"), F.col("row"), F.col("col")
     # twice-free shoelace sum: right sides run down, left sides run up
     swept = F.when(side == 1, col + 1).when(side == 3, -col).otherwise(0)

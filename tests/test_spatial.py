@@ -208,13 +208,27 @@ def test_isolated_short_line_is_removed_and_dot_stays(spark):
 
 
 @pytest.mark.parametrize("small", [0, 1000])
-def test_cycle_order(spark, small):
-    cycles = [[5, 9, 2, 7, 11], [3], [20, 21], list(range(40, 53))]
-    walk = [(a, c[(i + 1) % len(c)]) for c in cycles for i, a in enumerate(c)]
-    got = {r["state"]: (r["cycle"], r["pos"]) for r in vectorize.order_cycles(spark.createDataFrame(walk, "state long, next long"), small).collect()}
+def test_walks_are_ordered_across_groups(spark, small):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    numbers = rng.permutation(400)
+    cycles, at = [], 0
+    for size in (1, 2, 3, 57, 120):
+        cycles.append(numbers[at: at + size].tolist())
+        at += size
+    walk = [(a, c[(i + 1) % len(c)], int(g)) for c in cycles for i, (a, g) in enumerate(zip(c, rng.integers(0, 4, len(c))))]
+
+    def cut(pdf):
+        return vectorize.walk_pieces(pdf["state"].to_numpy(), pdf["next"].to_numpy())
+
+    df = spark.createDataFrame(walk, "state long, next long, g long")
+    states = df.groupBy("g").applyInPandas(cut, vectorize.WALK_SCHEMA)
+    got = {r["state"]: (r["cycle"], r["pos"]) for r in vectorize.order_walks(states, small).collect()}
+    assert isinstance(cut(pd.DataFrame({"state": [4], "next": [4]})), pd.DataFrame) and len(got) == at
     for c in cycles:
-        start = c.index(min(c))
-        for i, a in enumerate(c[start:] + c[:start]):
+        first = c.index(min(c))
+        for i, a in enumerate(c[first:] + c[:first]):
             assert got[a] == (min(c), i)
 
 
