@@ -129,17 +129,61 @@ def covariance(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()
     )
 
 
+def band_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()) -> DataFrame:
+    """sums(keys..., band, n, s, m2): count, sum and summed squared deviation of every band.
+
+    A batch emits one row per key and band with its own centred squares; Spark adds them up, map
+    side first, so a key that holds most rows costs no more than its batches.
+    """
+    names = list(keys)
+    fields = [df.schema[k] for k in keys]
+    key_types = [to_arrow_type(f.dataType) for f in fields]
+    schema = T.StructType(
+        fields
+        + [T.StructField("band", T.IntegerType()), T.StructField("n", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("s", "inner", "outer")]
+    )
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = matrix_of(batch.column(vector))
+            if names:
+                frame = batch.select(names).to_pandas()
+                group = frame.groupby(names, sort=False, dropna=False)
+                code = group.ngroup().to_numpy()
+                heads = frame.loc[~frame.duplicated()]
+            else:
+                code, heads = np.zeros(len(x), dtype=np.int64), None
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            n = np.diff(starts, append=len(x))
+            s = np.add.reduceat(x[order], starts, axis=0)
+            centred = x - (s / n[:, None])[code]
+            inner = np.add.reduceat((centred * centred)[order], starts, axis=0)
+            width = x.shape[1]
+            columns = [pa.array(np.repeat(heads[k].to_numpy(), width), type=t, from_pandas=True) for k, t in zip(names, key_types)]
+            columns += [
+                pa.array(np.tile(np.arange(width, dtype=np.int32), len(n))),
+                pa.array(np.repeat(n, width)),
+                pa.array(s.ravel()),
+                pa.array(inner.ravel()),
+                pa.array((s * s / n[:, None]).ravel()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    parts = df.select(*keys, vector).mapInArrow(partial, schema)
+    added = parts.groupBy(*keys, "band").agg(*[F.sum(c).alias(c) for c in ("n", "s", "inner", "outer")])
+    m2 = F.greatest(F.col("inner") + F.col("outer") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0))
+    return added.select(*keys, "band", "n", "s", m2.alias("m2"))
+
+
 def band_stats(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()) -> DataFrame:
     """stats(keys..., band, n, mean, var): 0-based band, sample variance."""
-    sums = moment_sums(df, vector, keys)
     n = F.col("n")
-    own = F.get("cross", F.col("i"))
-    return sums.select(
-        *keys,
-        F.col("i").alias("band"),
-        "n",
-        (F.col("s") / n).alias("mean"),
-        ((own - F.col("s") * F.col("s") / n) / (n - 1)).alias("var"),
+    return band_sums(df, vector, keys).select(
+        *keys, "band", "n", (F.col("s") / n).alias("mean"), (F.col("m2") / (n - 1)).alias("var")
     )
 
 

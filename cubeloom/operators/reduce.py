@@ -15,11 +15,11 @@ from cubeloom.functions.vectors import dot, norm, subtract
 from cubeloom.operators.moments import (
     DOUBLES,
     Moments,
+    band_sums,
     collect_moments,
     collect_moments_by,
     list_array,
     matrix_of,
-    moment_sums,
     noise_differences,
     noise_moments,
 )
@@ -144,13 +144,10 @@ def cube_at_mask(scores: DataFrame, labels: DataFrame, keys: Sequence[str] = ("s
 
 def mean_std(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()) -> DataFrame:
     """One row per key with the arrays mean and std (population)."""
-    sums = moment_sums(df, vector, keys)
-    n = F.col("n")
-    mean = F.col("s") / n
-    variance = F.greatest((F.get("cross", F.col("i")) - F.col("s") * mean) / n, F.lit(0.0))
-    packed = F.array_sort(F.collect_list(F.struct("i", mean.alias("m"), F.sqrt(variance).alias("d"))))
+    sums = band_sums(df, vector, keys)
+    entry = F.struct("band", (F.col("s") / F.col("n")).alias("m"), F.sqrt(F.col("m2") / F.col("n")).alias("d"))
     # collect_list holds one entry per band
-    grouped = sums.groupBy(*keys).agg(packed.alias("_p"))
+    grouped = sums.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_p"))
     return grouped.select(
         *keys, F.transform("_p", lambda e: e["m"]).alias("mean"), F.transform("_p", lambda e: e["d"]).alias("std")
     )

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.storagelevel import StorageLevel
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key, dot, sqnorm
-from cubeloom.operators.moments import group_slices, list_array, matrix_of, moment_sums, vector_width
+from cubeloom.operators.moments import band_sums, group_slices, list_array, matrix_of, moment_sums, vector_width
 from cubeloom.operators.ranking import flag_first, top_per_group
 from cubeloom.session import cut_lineage
 
@@ -139,9 +140,8 @@ def ppi(
 
 def segment_stats(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ("seg",)) -> DataFrame:
     """stats(keys..., area, var_sum): size and summed per-band population variance of a superpixel."""
-    width = vector_width(df, vector)
-    total = F.expr(" + ".join(f"var_pop(CAST({vector}[{b}] AS DOUBLE))" for b in range(width)))
-    return df.groupBy(*keys).agg(F.count("*").alias("area"), total.alias("var_sum"))
+    sums = band_sums(df, vector, keys)
+    return sums.groupBy(*keys).agg(F.max("n").alias("area"), F.sum(F.col("m2") / F.col("n")).alias("var_sum"))
 
 
 def segment_sample_counts(stats: DataFrame, max_samples: int = 20) -> DataFrame:
@@ -235,6 +235,7 @@ def smacc(
     chosen: list[tuple[int, int, int, list[float]]] = []
     per_block: dict[int, int] = {}
     schema = state.schema
+    held = []
     step = 0
     while True:
         best = state.groupBy("block").agg(
@@ -258,10 +259,16 @@ def smacc(
             chosen.append((b, count, m[ident], list(m["h"])))
         if not active:
             break
-        state = state.mapInArrow(_smacc_step(active, ident, schema.names), schema)
+        # a step is kept for the next one only; a lost block is redone from the last checkpoint
+        state = state.mapInArrow(_smacc_step(active, ident, schema.names), schema).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(state)
         step += 1
         if step % cut_every == 0:
             state = cut_lineage(state)
+            while held:
+                held.pop().unpersist()
+        elif len(held) > 2:
+            held.pop(0).unpersist()
     picks = spark.createDataFrame(chosen, f"block int, step int, {ident} long, spectrum array<double>")
     marked = picks.select("block", ident, F.col("step").alias("_step"))
     # an endmember is wholly itself: its abundances become a unit vector
