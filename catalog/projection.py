@@ -126,7 +126,7 @@ def sink_matrix(spark, d):
     return files.matrix_lines(flags, 8)
 
 
-@query("pack_samples")
+@query("pack_samples", with_views("SELECT concat('/p/', pix, '.tif') AS path, label, CAST(len(spectrum) AS INT) AS width FROM px", "px"))
 def pack_samples(spark, d):
     p = V.px(spark, d)
     path = F.concat(F.lit("/p/"), "pix", F.lit(".tif"))
@@ -344,8 +344,21 @@ def downsample_linear(spark, d):
     return stencil.downsample(g, rows, cols, 2.5, "LINEAR").select("row", "col", r6("v").alias("v"))
 
 
-@query("downsample_cubic")
+def _cubic_axis(position: str, scale: str, count: str, size: str, name: str) -> str:
+    """Four taps of one axis with their kernel weights."""
+    return f"""(SELECT {position}, CAST(greatest(0, least({size} - 1, floor(s) + k)) AS INT) AS src_{name},
+ CASE WHEN abs(s - floor(s) - k) <= 1 THEN (1.25::DOUBLE * abs(s - floor(s) - k) - 2.25::DOUBLE) * abs(s - floor(s) - k) ** 2 + 1
+  ELSE -0.75::DOUBLE * (abs(s - floor(s) - k) ** 3 - 5 * abs(s - floor(s) - k) ** 2 + 8 * abs(s - floor(s) - k) - 4) END AS w_{name}
+ FROM (SELECT {position}, nrows, ({position} + 0.5::DOUBLE) * {scale} - 0.5::DOUBLE AS s FROM gdim, range(0, 2000) t({position}) WHERE {position} < {count}), (VALUES (-1), (0), (1), (2)) kk(k))"""
+
+
+_cub = f"""SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, round(sum(v * w_r * w_c), 6) + 0.0 AS v FROM
+ {_cubic_axis("r", "(nrows / CAST(nrows * 2 // 5 AS DOUBLE))", "nrows * 2 // 5", "nrows", "r")} a,
+ {_cubic_axis("c", "2.5::DOUBLE", "40", "100", "c")} b JOIN gridv g ON g.row = a.src_r AND g.col = b.src_c GROUP BY 1, 2"""
+
+
+@query("downsample_cubic", with_views(_cub, "gridv", "gdim"))
 def downsample_cubic(spark, d):
     g = V.gridv(spark, d)
     rows, cols = V.grid_dims(g)
-    return stencil.downsample(g, rows, cols, 2.5, "CUBIC")
+    return stencil.downsample(g, rows, cols, 2.5, "CUBIC").select("row", "col", r6("v").alias("v"))

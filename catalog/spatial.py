@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import views as V
@@ -246,10 +247,23 @@ def polygonize(spark, d):
     return regions.select("region", "value", "name", "area", "perimeter")
 
 
-@query("polygonize_rings")
+_corner = """co AS (SELECT c.label, CAST(sum(CASE WHEN v.k IS NULL AND h.k IS NULL THEN 1 WHEN v.k IS NOT NULL AND h.k IS NOT NULL AND x.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_points
+ FROM cc c, (VALUES (-1, -1), (-1, 1), (1, -1), (1, 1)) o(dr, dc) LEFT JOIN fg v ON v.row = c.row + dr AND v.col = c.col AND v.k = c.k
+ LEFT JOIN fg h ON h.row = c.row AND h.col = c.col + dc AND h.k = c.k LEFT JOIN fg x ON x.row = c.row + dr AND x.col = c.col + dc AND x.k = c.k GROUP BY c.label)"""
+
+
+@query("polygonize_rings", _extra(with_views("SELECT label AS region, n_points, area::DOUBLE AS area FROM co JOIN (SELECT label, count(*) AS area FROM cc GROUP BY label) USING (label)", "gridv"), *_closure(_cls, same="AND n.k = w.k"), _one(_corner), recursive=True))
 def polygonize_rings(spark, d):
+    """Turning points per region, and its area by the shoelace sum over all of its rings."""
     _, rings = vectorize.polygonize(classes(spark, d), V.GRID_COLS, V.GT)
-    return rings
+    ring = Window.partitionBy("ring").orderBy("seq")
+    whole = Window.partitionBy("ring")
+    col, row = (F.col("x") - V.GT[0]) / V.GT[1], (F.col("y") - V.GT[3]) / V.GT[5]
+    points = rings.select("region", "ring", "seq", col.alias("c"), row.alias("r"))
+    nc = F.coalesce(F.lead("c").over(ring), F.min_by("c", "seq").over(whole))
+    nr = F.coalesce(F.lead("r").over(ring), F.min_by("r", "seq").over(whole))
+    swept = points.withColumn("_a", F.col("c") * nr - nc * F.col("r"))
+    return swept.groupBy("region").agg(F.count("*").alias("n_points"), (F.sum("_a") / 2).alias("area"))
 
 
 @query("smooth_polygons")

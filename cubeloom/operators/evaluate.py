@@ -150,17 +150,20 @@ def curve_confidence(df: DataFrame, vector: str = "spectrum", flag: str = "flag"
 
 def masked_infonce(
     df: DataFrame, batch_size: int, pair: str = "pair_id", view: str = "view", vector: str = "v",
-    temperature: float = 0.07, threshold: float | None = 0.9, batch: Column | None = None,
+    temperature: float = 0.07, threshold: float | None = 0.9,
 ) -> DataFrame:
     """score(batch, pair, view, loss): contrastive score of every row against its batch.
 
     ``view`` is 0 or 1; the other view of a pair is the positive, all other rows of the batch are
     negatives, and negatives more similar than ``threshold`` leave the soft-max. A batch holds
-    ``batch_size`` consecutive pairs by construction, so its similarity matrix is bounded.
+    ``batch_size`` consecutive pairs by construction, so its similarity matrix is bounded; a
+    repeated (pair, view) is an error.
     """
-    key = F.floor(F.col(pair) / batch_size).cast("long") if batch is None else batch
+    key = F.floor(F.col(pair) / batch_size).cast("long")
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > 2 * batch_size:
+            raise ValueError("a pair holds a view twice")
         pdf = pdf.sort_values(["_pair", "_view"], ignore_index=True)
         x = np.stack(pdf["_v"].to_numpy()).astype(float)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from cubeloom.functions.vectors import subtract
 
 DOUBLES = T.ArrayType(T.DoubleType())
+# Keys whose partial results a task holds before handing them on.
+HELD_KEYS = 64
 NOISE_DIRECTIONS = ("lowerright", "lowerleft", "right", "lower")
 
 
@@ -71,6 +73,20 @@ def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, list] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, (n, s, cross) in totals.items():
+                width = len(s)
+                columns = [pa.array([v] * width, type=t) for v, t in zip(key, key_types)]
+                columns += [
+                    pa.array(np.arange(width, dtype=np.int32)),
+                    pa.array(np.full(width, n, dtype=np.int64)),
+                    pa.array(s),
+                    list_array(cross),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names + ["i", "n", "s", "cross"])
+            totals.clear()
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -81,16 +97,10 @@ def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (
                 entry[0] += len(x)
                 entry[1] = entry[1] + x.sum(axis=0)
                 entry[2] = entry[2] + x.T @ x
-        for key, (n, s, cross) in totals.items():
-            width = len(s)
-            columns = [pa.array([v] * width, type=t) for v, t in zip(key, key_types)]
-            columns += [
-                pa.array(np.arange(width, dtype=np.int32)),
-                pa.array(np.full(width, n, dtype=np.int64)),
-                pa.array(s),
-                pa.array(list(cross), type=pa.list_(pa.float64())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names + ["i", "n", "s", "cross"])
+            # many keys in one partition: hand the partial sums on instead of holding them all
+            if len(totals) > HELD_KEYS:
+                yield from flush()
+        yield from flush()
 
     key_types = [to_arrow_type(df.schema[k].dataType) for k in keys]
     parts = df.select(*keys, vector).mapInArrow(partial, schema)

@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key, dot, sqnorm
-from cubeloom.operators.moments import band_sums, group_slices, list_array, matrix_of, moment_sums, vector_width
+from cubeloom.operators.moments import HELD_KEYS, band_sums, group_slices, list_array, matrix_of, moment_sums, vector_width
 from cubeloom.operators.ranking import flag_first, top_per_group
 from cubeloom.session import cut_lineage
 
@@ -63,6 +63,14 @@ def direction_extremes(
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, (hi, hp, lo, lp) in best.items():
+                columns = [pa.array([v] * count, type=t) for v, t in zip(key, key_types)]
+                columns += [pa.array(np.arange(count, dtype=np.int32)), pa.array(hi), pa.array(hp), pa.array(lo), pa.array(lp)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            best.clear()
+
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -81,10 +89,10 @@ def direction_extremes(
                 up = (new[0] > old[0]) | ((new[0] == old[0]) & (new[1] < old[1]))
                 down = (new[2] < old[2]) | ((new[2] == old[2]) & (new[3] < old[3]))
                 best[key] = [np.where(m, a, b) for m, a, b in zip((up, up, down, down), new, old)]
-        for key, (hi, hp, lo, lp) in best.items():
-            columns = [pa.array([v] * count, type=t) for v, t in zip(key, key_types)]
-            columns += [pa.array(np.arange(count, dtype=np.int32)), pa.array(hi), pa.array(hp), pa.array(lo), pa.array(lp)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            # many superpixels in one partition: hand the candidates on instead of holding them all
+            if len(best) > HELD_KEYS:
+                yield from flush()
+        yield from flush()
 
     parts = df.select(*keys, F.col(ident).cast("long").alias(ident), vector).mapInArrow(partial, schema)
     return parts.groupBy(*keys, "dir").agg(
