@@ -253,10 +253,10 @@ def test_average_path():
 
 def test_classifiers_and_map(spark):
     df = blobs(spark, n=20).withColumnRenamed("v", "spectrum").coalesce(1).cache()
-    forest = classify.random_forest(df, trees=5, depth=4)
+    forest = classify.random_forest(df, trees=20, depth=5)
     pixels = df.withColumn("valid", F.col("emb_idx") != 7).select("emb_idx", "spectrum", "valid")
     got = {r["emb_idx"]: r["label"] for r in classify.predict_map(forest, pixels).collect()}
-    assert got.pop(7) == -1 and all(v == k % 3 for k, v in got.items())
+    assert got.pop(7) == -1 and np.mean([v == k % 3 for k, v in got.items()]) > 0.95
     for kernel in classify.KERNELS:
         model = classify.svm_classifier(df, kernel=kernel, size=60, max_iter=4, class_weight="balanced")
         scored = model.transform(df).select("label", F.col("prediction").cast("int").alias("pred"))
