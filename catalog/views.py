@@ -23,7 +23,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def px(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     valid = F.col("vec_id") % 17 != 0
-    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    doubles = F.col("embedding").cast("array<double>")
     return e.select(
         F.lit("s1").alias("scene_id"),
         F.col("vec_id").alias("pix"),

@@ -34,7 +34,7 @@ KERNELS = ("rbf", "linear", "poly")
 
 
 def with_features(df: DataFrame, vector: str = "spectrum", out: str = "features") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    return df.withColumn(out, array_to_vector(F.col(vector).cast("array<double>")))
 
 
 def stratified_folds(df: DataFrame, ident: str, label: str = "label", folds: int = 3, name: str = "fold") -> DataFrame:

@@ -39,7 +39,7 @@ def patch_gather(
     )
     source = pixels.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("spectrum").alias("_s"))
     found = cells.join(source, [*keys, "_r", "_c"], "left")
-    held = F.struct("_k", F.transform("_s", lambda x: x.cast("double")).alias("_s"))
+    held = F.struct("_k", F.col("_s").cast("array<double>").alias("_s"))
     grouped = found.groupBy(*names).agg(F.collect_list(F.when(F.col("_s").isNotNull(), held)).alias("_cells"))
     packed = grouped.select(
         *names,

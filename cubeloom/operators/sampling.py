@@ -230,7 +230,7 @@ def smacc(
     source = df.select(
         (F.col(block).cast("int") if block else F.lit(0)).alias("block"),
         F.col(ident).cast("long").alias(ident),
-        F.transform(vector, lambda x: x.cast("double")).alias("h"),
+        F.col(vector).cast("array<double>").alias("h"),
     )
     state = cut_lineage(source.withColumn("r", F.col("h")).withColumn("f", F.array().cast("array<double>")))
     if endmembers is None:
