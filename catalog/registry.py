@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
     def register(function):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            ship_package(spark, os.path.dirname(__file__))
             return function(spark, sf_dir)
 
         QUERIES[name] = run

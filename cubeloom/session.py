@@ -48,18 +48,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of the session (once per application)."""
+def ship_package(spark: SparkSession, *folders: str) -> None:
+    """Makes this package and further package folders importable in the session's Python workers (once)."""
     context = spark.sparkContext
-    if getattr(context, "_cubeloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="cubeloom-"), "cubeloom.zip")
-    with zipfile.ZipFile(archive, "w") as target:
-        for folder, _, files in os.walk(root):
-            for name in files:
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    target.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(archive)
-    context._cubeloom_shipped = True
+    shipped = getattr(context, "_cubeloom_shipped", set())
+    wanted = {os.path.dirname(os.path.abspath(__file__)), *(os.path.abspath(f) for f in folders)} - shipped
+    for root in sorted(wanted):
+        archive = os.path.join(tempfile.mkdtemp(prefix="cubeloom-"), os.path.basename(root) + ".zip")
+        with zipfile.ZipFile(archive, "w") as target:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        target.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+    context._cubeloom_shipped = shipped | wanted
