@@ -14,6 +14,8 @@ import re
 from array import array
 from collections.abc import Sequence
 
+import numpy as np
+
 from tokenizers import Tokenizer
 
 # A cut lies before an ASCII blank that follows a character no white-space definition includes.
@@ -23,7 +25,7 @@ RUN = re.compile(r"\s ")
 BREAK = re.compile(r"[\t-\r]")
 # No token holds both a letter or digit and one of these marks behind it.
 STEM = re.compile(r"([^\W_]+)([,.;:!?*%$&#|]+)\Z")
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000  # of each of two generations
 
 
 class SegmentEncoder:
@@ -33,8 +35,10 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.entries = entries
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.spaced: dict[str, bytes] = {}  # piece between single spaces, meant with the space before it
         self.plain: dict[str, bytes] = {}  # segment as it stands
+        self.older: dict[str, bytes] = {}  # the generation before, from which words in use come back
 
     def _encode(self, segments: list[str]) -> list[bytes]:
         out = []
@@ -43,12 +47,30 @@ class SegmentEncoder:
             out.extend([array("I", f.ids).tobytes() for f in found])
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words meant with a space before them and without a line end, many in one text: the line ends between them part the ids."""
+        out = []
+        for start in range(0, len(words), 512):
+            chunk = words[start : start + 512]
+            ids = np.array(self.tokenizer.encode(" " + "\n ".join(chunk), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(chunk) - 1:
+                raise ValueError("the vocabulary joins a line end with other characters")
+            data = ids.tobytes()
+            cuts = (4 * ends).tolist()
+            out.extend([data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])])
+        return out
+
     def _learn(self, new_spaced: set[str], new_plain: set[str]) -> None:
         """Encodes what the caches lack: each distinct segment once."""
         spaced, plain = self.spaced, self.plain
         composed, cuts = [], {}
         words, marks = set(), set()
         for p in new_spaced:
+            old = self.older.get(p)
+            if old is not None:
+                spaced[p] = old
+                continue
             found = STEM.match(p)
             if found:
                 word, mark = found.groups()
@@ -63,8 +85,12 @@ class SegmentEncoder:
                 words.add(p)
         marks.update(s for found in cuts.values() for s in found if s not in plain)
         marks.update(new_plain)
-        for kept, names, lead in ((spaced, list(words), " "), (plain, list(marks), "")):
-            kept.update(zip(names, self._encode([lead + n for n in names] if lead else names)))
+        single = [w for w in words if w and not w[-1].isspace()]
+        others = [w for w in words if not w or w[-1].isspace()]
+        spaced.update(zip(single, self._encode_words(single)))
+        spaced.update(zip(others, self._encode([" " + w for w in others])))
+        names = list(marks)
+        plain.update(zip(names, self._encode(names)))
         for p, word, mark in composed:
             spaced[p] = spaced[word] + plain[mark]
         for p, found in cuts.items():
@@ -82,7 +108,7 @@ class SegmentEncoder:
 
     def _ids(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.spaced) > self.entries:
-            self.spaced.clear()
+            self.older, self.spaced = self.spaced, {}
         if len(self.plain) > self.entries:
             self.plain.clear()
         spaced, plain = self.spaced, self.plain
@@ -90,23 +116,27 @@ class SegmentEncoder:
         new_spaced, new_plain = set(), set()
         for text in texts:
             if not text:
-                split.append((None, ()))
-            elif RUN.search(text) is None:
+                split.append((None, (), [], []))
+                continue
+            single = RUN.search(text) is None
+            if single:
                 head, *pieces = text.split(" ")
-                new_spaced.update([p for p in pieces if p not in spaced])
-                new_plain.update([head] if head and head not in plain else ())
-                split.append((head, pieces))
+                if head and head not in plain:
+                    new_plain.add(head)
             else:
-                pieces = CUT.split(text)
-                new_plain.update([p for p in pieces if p not in plain])
-                split.append((None, pieces))
+                head, pieces = None, CUT.split(text)
+            found = list(map((spaced if single else plain).get, pieces))
+            missing = [i for i, f in enumerate(found) if f is None] if None in found else []
+            (new_spaced if single else new_plain).update([pieces[i] for i in missing])
+            split.append((head, pieces, found, missing))
         self._learn(new_spaced, new_plain)
-        return [
-            b"".join([plain[p] for p in pieces])
-            if head is None
-            else (plain[head] if head else b"") + b"".join([spaced[p] for p in pieces])
-            for head, pieces in split
-        ]
+        out = []
+        for head, pieces, found, missing in split:
+            known = plain if head is None else spaced
+            for i in missing:
+                found[i] = known[pieces[i]]
+            out.append((plain[head] if head else b"") + b"".join(found))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
