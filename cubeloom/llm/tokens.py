@@ -50,9 +50,9 @@ class SegmentEncoder:
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words meant with a space before them and without a line end, many in one text: the line ends between them part the ids."""
         out = []
-        for start in range(0, len(words), 512):
-            chunk = words[start : start + 512]
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(chunk), add_special_tokens=False).ids, "<u4")
+        parts = [words[start : start + 512] for start in range(0, len(words), 512)]
+        for chunk, found in zip(parts, self.tokenizer.encode_batch_fast([" " + "\n ".join(c) for c in parts], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(chunk) - 1:
                 raise ValueError("the vocabulary joins a line end with other characters")
