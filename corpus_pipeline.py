@@ -1 +1,73 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+quality       documents that the co-trained classifier rejects go
+near_copies   of each group of documents linked by 4-word shingles at 85 % one stays, the one with the smallest doc_id
+secrets       secrets and linked credential parts are masked in place
+mixture       sources are mixed to their target weights; documents repeat or pause as the weights ask
+packing       the mixture is cut and packed into sequences of 2048 tokens
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cubeloom.llm.common import query, table, work_path
+from cubeloom.llm.credentials import mask_secrets
+from cubeloom.llm.jaccard import similar_documents
+from cubeloom.llm.mixing import mix
+from cubeloom.llm.packing import packed_digest
+from cubeloom.llm.quality import keep_good
+from cubeloom.session import ship_package
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an id cannot be named as a copy and stay; equal rows of one id stay once."""
+    ship_package(spark)
+    found = similar_documents(docs)
+    # the smaller side: the ids that go
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    named = kept.filter("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return named.unionByName(kept.filter("doc_id IS NULL")).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return mask_secrets(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship_package(spark)
+    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]
+#: The classifier has no SQL form; tests compare each stage with a brute-force version.
+ORACLE_SQL = None
+
+
+@query("pipeline", ORACLE_SQL)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents of ``sf_dir``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = work_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
