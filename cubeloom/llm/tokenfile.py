@@ -39,20 +39,34 @@ def bit_width(values: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def pack_bits(values: np.ndarray, width: int) -> bytes:
-    """Rows of BLOCK numbers below 2**width, big-endian bit order."""
-    wide = ">u2" if width <= 16 else ">u4"
-    bits = np.unpackbits(values.astype(wide).view(np.uint8).reshape(len(values), BLOCK, -1), axis=2)
-    return np.packbits(bits[:, :, bits.shape[2] - width :].reshape(len(values), -1), axis=1).tobytes()
+def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of BLOCK numbers below 2**width as rows of bytes, first number in the highest bits."""
+    rows = len(values)
+    eight = values.reshape(rows, BLOCK // 8, 8)
+    wide = np.uint16 if width <= 8 else np.uint32 if width <= 24 else np.uint64
+    out = np.zeros((rows, BLOCK // 8, width), np.uint8)
+    for j in range(8):  # eight numbers fill ``width`` bytes
+        first, last = j * width // 8, ((j + 1) * width - 1) // 8
+        moved = eight[:, :, j].astype(wide) << wide((last + 1) * 8 - (j + 1) * width)
+        for byte in range(last, first - 1, -1):
+            out[:, :, byte] |= moved.astype(np.uint8)
+            moved >>= wide(8)
+    return out.reshape(rows, -1)
 
 
 def unpack_bits(data: np.ndarray, width: int) -> np.ndarray:
     """Inverse of pack_bits for rows of packed bytes."""
-    full = 16 if width <= 16 else 32
-    bits = np.unpackbits(data, axis=1).reshape(len(data), BLOCK, width)
-    padded = np.zeros((len(data), BLOCK, full), np.uint8)
-    padded[:, :, full - width :] = bits
-    return np.packbits(padded, axis=2).view(f">u{full // 8}").reshape(len(data), BLOCK).astype(np.uint32)
+    rows = len(data)
+    eight = data.reshape(rows, BLOCK // 8, width)
+    wide = np.uint32 if width <= 24 else np.uint64
+    out = np.empty((rows, BLOCK // 8, 8), np.uint32)
+    for j in range(8):
+        first, last = j * width // 8, ((j + 1) * width - 1) // 8
+        value = eight[:, :, first].astype(wide)
+        for byte in range(first + 1, last + 1):
+            value = (value << wide(8)) | eight[:, :, byte]
+        out[:, :, j] = (value >> wide((last + 1) * 8 - (j + 1) * width)) & wide((1 << width) - 1)
+    return out.reshape(rows, BLOCK)
 
 
 def encode_stream(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -70,21 +84,23 @@ def encode_stream(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     index["base"] = padded.min(axis=1)
     rest = padded - index["base"][:, None]
     place = min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)
-    index["width"] = bit_width(np.partition(rest, place, axis=1)[:, place])
-    limit = (np.uint64(1) << index["width"].astype(np.uint64)) - np.uint64(1)
-    out = rest.astype(np.uint64) > limit[:, None]
-    index["exceptions"] = out.sum(axis=1)
-    where, spot = np.nonzero(out)
+    narrow = rest.astype(np.uint16) if rest.max() < 1 << 16 else rest
+    index["width"] = bit_width(np.partition(narrow, place, axis=1)[:, place])
+    limit = ((np.uint64(1) << index["width"].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    out = rest > limit[:, None]
+    index["exceptions"] = np.count_nonzero(out, axis=1)
+    where, spot = np.divmod(np.flatnonzero(out), BLOCK)
     patches = np.zeros(len(where), [("spot", "u1"), ("rest", "<u4")])
     patches["spot"], patches["rest"] = spot, rest[where, spot]
-    low = np.where(out, 0, rest)
+    low = rest.copy()
+    low[where, spot] = 0
     sizes = index["width"].astype(np.int64) * (BLOCK // 8)
     index["start"] = np.cumsum(sizes) - sizes
     body = np.zeros(int(sizes.sum()), np.uint8)
     for width in np.unique(index["width"]):
         if width:
             mine = np.nonzero(index["width"] == width)[0]
-            packed = np.frombuffer(pack_bits(low[mine], int(width)), np.uint8).reshape(len(mine), -1)
+            packed = pack_bits(low[mine], int(width))
             body[index["start"][mine].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
     return STREAM.pack(n, blocks, len(patches)) + index.tobytes() + patches.tobytes() + body.tobytes()
 

@@ -25,9 +25,18 @@ RUN = re.compile(r"\s ")
 BREAK = re.compile(r"[\t-\r]")
 # No token holds both a letter or digit and one of these marks behind it.
 STEM = re.compile(r"([^\W_]+)([,.;:!?*%$&#|]+)\Z")
+# Letters of long-standing Latin blocks: with a space before them they are one pre-token under any Unicode version.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 CACHE_ENTRIES = 400_000  # of each of two generations
 
 
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class SegmentEncoder:
     """Encodes lists of texts to little-endian unsigned 32-bit ids."""
 
@@ -36,6 +45,8 @@ class SegmentEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.entries = entries
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.model = self.tokenizer.model
+        self.characters = byte_characters()
         self.spaced: dict[str, bytes] = {}  # piece between single spaces, meant with the space before it
         self.plain: dict[str, bytes] = {}  # segment as it stands
         self.older: dict[str, bytes] = {}  # the generation before, from which words in use come back
@@ -47,6 +58,15 @@ class SegmentEncoder:
             out.extend([array("I", f.ids).tobytes() for f in found])
         return out
 
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of letters, meant with a space before them: one pre-token each, so the model alone gives their ids."""
+        tokenize, characters = self.model.tokenize, self.characters
+        space = characters[32]
+        return [
+            array("I", [t.id for t in tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(characters)))]).tobytes()
+            for w in words
+        ]
+
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Words meant with a space before them and without a line end, many in one text: the line ends between them part the ids."""
         out = []
@@ -85,6 +105,9 @@ class SegmentEncoder:
                 words.add(p)
         marks.update(s for found in cuts.values() for s in found if s not in plain)
         marks.update(new_plain)
+        letters = [w for w in words if LETTERS.fullmatch(w)]
+        words.difference_update(letters)
+        spaced.update(zip(letters, self._encode_letters(letters)))
         single = [w for w in words if w and not w[-1].isspace()]
         others = [w for w in words if not w or w[-1].isspace()]
         spaced.update(zip(single, self._encode_words(single)))
