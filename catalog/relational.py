@@ -275,6 +275,16 @@ def block_random_sample(spark, d):
     return patches.block_random_sample(V.px(spark, d), 4, 3).select("block_row", "block_col", "pix")
 
 
+_draw = "SELECT {e} AS epoch, row // 4 AS block_row, col // 4 AS block_col, arg_min(pix, {{'a': {k}, 'b': pix}}) AS pix FROM px WHERE valid GROUP BY 2, 3"
+
+
+@query("block_random_sample_epochs", with_views(" UNION ALL ".join(_draw.format(e=e, k=V.key_sql("pix", e)) for e in (0, 1)), "px"))
+def block_random_sample_epochs(spark, d):
+    """The draws of two epochs: a block's pixel changes from one to the next."""
+    draws = [patches.block_random_sample(V.px(spark, d), 4, e).select(F.lit(e).alias("epoch"), "block_row", "block_col", "pix") for e in (0, 1)]
+    return draws[0].unionByName(draws[1])
+
+
 @query("pipeline_random_crop", patch_sql(f"SELECT row, col, 500000 + 30::DOUBLE * (col - 2) AS origin_x, 4000000 - 30::DOUBLE * (row - 2) AS origin_y FROM ({_mask}) WHERE valid", "row, col, origin_x, origin_y", 5, "dim"))
 def pipeline_random_crop(spark, d):
     p = V.px(spark, d)

@@ -237,4 +237,4 @@ def scene(pixels: DataFrame) -> Scene:
 
 
 def key_sql(ident: str, seed: int) -> str:
-    return f"((({ident}) % 2147483647) * 48271 + {seed * 69621}) % 2147483647"
+    return f"(CAST('0x' || substr(md5(concat('{seed}:', {ident})), 1, 8) AS BIGINT) % 2147483648)"

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 LOG_TARGETS = ("Accuracy: ", "Loss: ")
 
@@ -38,19 +36,41 @@ def log_phase(line: Column) -> Column:
     return F.when(F.startswith(F.trim(line), F.lit("Test")), "test").otherwise("train")
 
 
-def _percent(value: float) -> str:
-    percent = value * 100
-    if percent == 0:
-        return "0.0"
-    places = len(f"{percent:.10f}".rstrip("0").split(".")[1])
-    return f"{percent:.{min(places, 2) if places > 2 else min(places, 1)}f}"
+def _scaled(value: Column, digits: int) -> Column:
+    """value * 10^digits as a whole number: the exact product is rounded, ties to even.
 
-
-@F.pandas_udf(StringType())
-def percent_text(value: pd.Series) -> pd.Series:
+    The product of a double and a short factor is the sum of two doubles (the value is split into halves of 26 bits), so a tie is told
+    from its neighbours without more precision.
+    """
+    factor = float(10**digits)
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    product = value * F.lit(factor)
+    rest = (high * F.lit(factor) - product) + (value - high) * F.lit(factor)
+    base = F.floor(product)
+    part = product - base
+    up = (part > 0.5) | ((part == 0.5) & ((rest > 0) | ((rest == 0) & (base % 2 == 1))))
+    return base + up.cast("long")
+
+
+def percent_text(value: Column) -> Column:
     """Share as a percentage: whole numbers bare, up to two decimals -> one, more -> two, zero -> 0.0.
 
-    Rounds the exact binary value, ties to even; Spark's own formatting rounds the printed digits
-    up instead.
+    The decimals are those of the percentage at ten digits; the exact binary value is rounded, ties to even.
     """
-    return value.map(_percent, na_action="ignore")
+    percent = value.cast("double") * 100
+    size = F.abs(percent)
+    ten, one, two = (_scaled(size, digits) for digits in (10, 1, 2))
+    sign = F.when(percent < 0, "-").otherwise("")
+
+    def decimals(number: Column, digits: int) -> Column:
+        whole = F.floor(number / 10**digits).cast("long")
+        return F.concat(sign, whole.cast("string"), F.lit("."), F.lpad((number % 10**digits).cast("string"), digits, "0"))
+
+    return (
+        F.when(percent == 0, "0.0")
+        .when(F.isnan(percent), "nan")
+        .when(ten % 10**10 == 0, F.concat(sign, F.floor(ten / 10**10).cast("long").cast("string")))
+        .when(ten % 10**8 == 0, decimals(one, 1))
+        .otherwise(decimals(two, 2))
+    )

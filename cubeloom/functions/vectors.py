@@ -35,12 +35,12 @@ def as_double(a: Column) -> Column:
 
 
 def arith_key(ident: Column, seed: int) -> Column:
-    """Pseudo-random integer in [0, 2^31-1): one multiplicative step, so plain SQL can repeat it.
+    """Pseudo-random integer in [0, 2^31) of a row id and a seed: the first digits of an MD5, so plain SQL can repeat it.
 
-    Depends on the row only, never on the partitioning.
+    Depends on the row only, never on the partitioning; another seed gives an unrelated order.
     """
-    modulus = 2147483647
-    return (ident % F.lit(modulus) * F.lit(48271) + F.lit(seed * 69621)) % F.lit(modulus)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), ident.cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.lit(ARITH_KEY_RANGE)
 
 
-ARITH_KEY_RANGE = 2147483647
+ARITH_KEY_RANGE = 2147483648

@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 from cubeloom.operators.tiles import TILE, tile_apply, tile_array
 from cubeloom.session import cut_lineage
 
-# Links up to this many are contracted in one task; more stay distributed.
-SMALL_GRAPH = 1_000_000
-
 
 def min_labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Smallest node reachable from each of n nodes over the edges (u, v)."""
@@ -48,32 +45,10 @@ def adjacency(index: np.ndarray, value: np.ndarray, connectivity: int) -> tuple[
     return np.concatenate(us), np.concatenate(vs)
 
 
-def contract(edges: DataFrame, keys: Sequence[str] = (), small: int = SMALL_GRAPH) -> DataFrame:
+def contract(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """mapping(keys..., node, root): smallest node of each connected set of links (u, v)."""
-    schema = T.StructType([edges.schema[k] for k in keys] + [T.StructField("node", T.LongType()), T.StructField("root", T.LongType())])
     links = edges.select(*keys, "u", "v").distinct()
-    links = cut_lineage(links)
-    if links.count() <= small:
-        names = list(keys)
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            ends = pd.concat([pdf[names + ["u"]].set_axis(names + ["node"], axis=1), pdf[names + ["v"]].set_axis(names + ["node"], axis=1)])
-            nodes = ends.drop_duplicates().sort_values(names + ["node"]).reset_index(drop=True)
-            lookup = pd.MultiIndex.from_frame(nodes)
-            u = lookup.get_indexer(pd.MultiIndex.from_frame(pdf[names + ["u"]]))
-            v = lookup.get_indexer(pd.MultiIndex.from_frame(pdf[names + ["v"]]))
-            nodes["root"] = nodes["node"].to_numpy()[min_labels(len(nodes), u, v)]
-            return nodes[names + ["node", "root"]]
-
-        # one bounded group: its size was checked above
-        return links.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(solve if names else _solve_plain, schema)
-    return _star_contraction(links, keys)
-
-
-def _solve_plain(pdf: pd.DataFrame) -> pd.DataFrame:
-    nodes, flat = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
-    u, v = flat[: len(pdf)], flat[len(pdf):]
-    return pd.DataFrame({"node": nodes, "root": nodes[min_labels(len(nodes), u, v)]})
+    return _star_contraction(cut_lineage(links), keys)
 
 
 def _star_contraction(links: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,7 +83,6 @@ def connected_components(
     value: str | None = None,
     keys: Sequence[str] = (),
     tile: int = TILE,
-    small: int = SMALL_GRAPH,
     out: str = "label",
 ) -> DataFrame:
     """Adds label (``out``) = smallest flat index of the component to every given (foreground) pixel.
@@ -147,7 +121,7 @@ def connected_components(
     other = local.filter("NOT core").select(*keys, "row", "col", F.col("local").alias("v"))
     links = own.select(*keys, "row", "col", F.col("local").alias("u")).join(other, [*keys, "row", "col"])
     links = links.filter(F.col("u") != F.col("v")).select(*keys, "u", "v")
-    mapping = contract(links, keys, small)
+    mapping = contract(links, keys)
     labelled = own.join(mapping.withColumnRenamed("node", "local"), [*keys, "local"], "left").select(
         *keys, "row", "col", F.coalesce("root", "local").alias(out)
     )

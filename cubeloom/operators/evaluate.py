@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubeloom.operators.ranking import range_bucket, split_edges
+from cubeloom.operators.ranking import ranged
 
 # Fixed value: half width of the 95 % band in standard deviations.
 CONFIDENCE_Z = 1.96
@@ -120,7 +120,7 @@ def weighted_running_mean(df: DataFrame, order: str, value: str, weight: str) ->
     Running sums restart in every value range and are shifted by the totals of earlier ranges, so
     no task sees the whole log.
     """
-    bucketed = df.withColumn("_b", range_bucket(order, split_edges(df, order)))
+    bucketed = ranged(df, order)
     product = F.col(value) * F.col(weight)
     totals = bucketed.groupBy("_b").agg(F.sum(product).alias("_s"), F.sum(weight).alias("_w"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions.vectors import ARITH_KEY_RANGE
+from cubeloom.session import cut_lineage
 
 BUCKETS = 8192
 
@@ -76,39 +77,21 @@ def flag_first(
     return df.join(cutoffs, list(groups), "left").withColumn(flag, chosen).drop("cutoff", "group_rows")
 
 
-# Rows one value range of a numbering may hold before another range is opened.
-RANGE_ROWS = 500_000
-MAX_RANGES = 512
+def ranged(df: DataFrame, order: str, name: str = "_b") -> DataFrame:
+    """Rows dealt to value ranges of ``order``, numbered in order by ``name``: one range per partition, so ranges grow with the data.
 
-
-def split_edges(df: DataFrame, column: str, rows: int = RANGE_ROWS, most: int = MAX_RANGES) -> list[float]:
-    """Edges of value ranges with about ``rows`` rows each (a bounded list on the driver)."""
-    shares = [i / most for i in range(1, most)]
-    value = F.col(column).cast("double")
-    n, cuts = df.agg(F.count(value), F.percentile_approx(value, shares, F.lit(4 * most))).first()
-    pieces = min(most, -(-n // rows))
-    return sorted({cuts[i * most // pieces - 1] for i in range(1, pieces)}) if pieces > 1 else []
-
-
-def range_bucket(column: str, edges: Sequence[float]) -> Column:
-    """Number of edges <= the value, as a balanced decision expression (a pure function of the row)."""
-
-    def branch(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"IF({column} < {edges[mid]!r}D, {branch(lo, mid)}, {branch(mid + 1, hi)})"
-
-    return F.expr(branch(0, len(edges)))
+    The rows are checkpointed, which fixes the ranges.
+    """
+    return cut_lineage(df.repartitionByRange(order).withColumn(name, F.spark_partition_id()))
 
 
 def number_rows(df: DataFrame, order: str, name: str, groups: Sequence[str] = ()) -> DataFrame:
     """1-based consecutive numbers in the order of a unique column, without a global window.
 
-    Rows are bucketed by value range; each bucket is numbered on its own and shifted by the sizes
-    of the buckets before it.
+    Rows are dealt to value ranges; each range is numbered on its own and shifted by the sizes
+    of the ranges before it.
     """
-    bucketed = df.withColumn("_b", range_bucket(order, split_edges(df, order)))
+    bucketed = ranged(df, order)
     sizes = bucketed.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
     offsets = sizes.withColumn(

@@ -18,8 +18,6 @@ from cubeloom.operators.skeleton import RING
 from cubeloom.operators.tiles import TILE, tile_apply, tile_array
 from cubeloom.session import cut_lineage
 
-# Walk pieces up to this many in total are ordered in one task; more stay distributed.
-SMALL_WALK = 1_000_000
 WALK_SCHEMA = (
     "state long, head long, off long, closed boolean, out long, length long, low long, low_off long"
 )
@@ -72,43 +70,14 @@ def walk_pieces(state: np.ndarray, succ: np.ndarray) -> pd.DataFrame:
     return frame
 
 
-def _order_small(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Orders pieces (state, next, w, low, low_off) that fit one task."""
-    order = np.argsort(pdf["state"].to_numpy())
-    state, w, low, low_off = (pdf[c].to_numpy()[order] for c in ("state", "w", "low", "low_off"))
-    succ = np.searchsorted(state, pdf["next"].to_numpy()[order])
-    n = len(state)
-    place = np.empty(n, dtype=np.int64)
-    place[np.argsort(low)] = np.arange(n)
-    best, jump, span = place, succ.copy(), 1
-    while span < n:
-        best, jump, span = np.minimum(best, best[jump]), jump[jump], span * 2
-    best = np.minimum(best, best[jump])
-    anchor = np.argsort(low)[best]
-    # length still to walk until the anchor is reached again
-    last = succ == anchor
-    left, jump = np.where(last, 0, w), np.where(last, np.arange(n), succ)
-    while True:
-        step = left[jump]
-        if not step.any():
-            break
-        left, jump = left + step, jump[jump]
-    total = left[anchor] + w[jump[anchor]]
-    start = total - left - w[jump]
-    return pd.DataFrame({"state": state, "cycle": low[anchor], "start": start, "total": total, "shift": low_off[anchor]})
-
-
-def order_pieces(pieces: DataFrame, small: int = SMALL_WALK) -> DataFrame:
+def order_pieces(pieces: DataFrame) -> DataFrame:
     """pieces(state, next, w, low, low_off), a permutation of pieces -> (state, cycle, start, total, shift).
 
     cycle is the smallest state of the whole walk, start the piece's distance from its anchor (the
     piece with that state), total the walk's length and shift the smallest state's place in the
-    anchor. Larger inputs are ordered by pointer doubling.
+    anchor. The walks are ordered by pointer doubling.
     """
-    schema = "state long, cycle long, start long, total long, shift long"
     pieces = cut_lineage(pieces)
-    if pieces.count() <= small:
-        return pieces.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(_order_small, schema)
     current = pieces.select("state", F.col("next").alias("jump"), "low")
     while True:
         ahead = current.select(F.col("state").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_m"))
@@ -155,7 +124,7 @@ def order_pieces(pieces: DataFrame, small: int = SMALL_WALK) -> DataFrame:
     )
 
 
-def order_walks(states: DataFrame, small: int = SMALL_WALK) -> DataFrame:
+def order_walks(states: DataFrame) -> DataFrame:
     """Output of :func:`walk_pieces` -> adds cycle (smallest state of the walk) and pos (0 at it).
 
     Walks inside one tile are already ordered; only pieces that cross tiles are linked up.
@@ -164,13 +133,13 @@ def order_walks(states: DataFrame, small: int = SMALL_WALK) -> DataFrame:
     inner = states.filter("closed").select(*rest, F.col("head").alias("cycle"), F.col("off").alias("pos"))
     across = states.filter("NOT closed")
     pieces = across.filter("state = head").select("state", F.col("out").alias("next"), F.col("length").alias("w"), "low", "low_off")
-    linked = order_pieces(pieces, small).withColumnRenamed("state", "head")
+    linked = order_pieces(pieces).withColumnRenamed("state", "head")
     place = F.pmod(F.col("start") + F.col("off") - F.col("shift"), F.col("total"))
     outer = across.join(linked, "head").select(*rest, "cycle", place.alias("pos"))
     return inner.unionByName(outer)
 
 
-def skeleton_to_lines(skeleton: DataFrame, cols: int, gt: geo.GeoTransform, tile: int = TILE, small: int = SMALL_WALK) -> DataFrame:
+def skeleton_to_lines(skeleton: DataFrame, cols: int, gt: geo.GeoTransform, tile: int = TILE) -> DataFrame:
     """lines(id, seq, row, col, x, y): the outline walk around every skeleton part, at least 2 points.
 
     The walk leaves a pixel by the next neighbour after the one it came from; an open line is
@@ -198,11 +167,15 @@ def skeleton_to_lines(skeleton: DataFrame, cols: int, gt: geo.GeoTransform, tile
         return walk_pieces(np.concatenate(states), np.concatenate(nexts))
 
     walk = cut_lineage(tile_apply(skeleton.select("row", "col"), successors, WALK_SCHEMA, tile, 2))
-    ordered = cut_lineage(order_walks(walk, small))
-    lengths = ordered.groupBy("cycle").agg(F.count("*").alias("_n"))
-    lines = ordered.join(lengths.filter((F.col("_n") >= 2) & (F.col("_n") != 3)).select("cycle"), "cycle")
+    ordered = cut_lineage(order_walks(walk))
     pix = F.floor(F.col("state") / 8)
     row, col = geo.row_of(pix, cols), geo.col_of(pix, cols)
+    # three steps enclose a triangle: around a part one way, inside a corner the other way
+    first = F.when(F.col("pos") < 3, F.struct("pos", row.alias("r"), col.alias("c")))
+    lengths = ordered.groupBy("cycle").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list(first)).alias("_p"))
+    a, b, c3 = (F.get("_p", F.lit(i)) for i in range(3))
+    area = (b["r"] - a["r"]) * (c3["c"] - a["c"]) - (b["c"] - a["c"]) * (c3["r"] - a["r"])
+    lines = ordered.join(lengths.filter((F.col("_n") >= 2) & ((F.col("_n") != 3) | (area < 0))).select("cycle"), "cycle")
     located = lines.select(F.col("cycle").alias("id"), F.col("pos").alias("seq"), row.alias("row"), col.alias("col"))
     r, c = F.col("row"), F.col("col")
     return located.select(
@@ -272,7 +245,6 @@ def polygonize(
     background: int | None = 0,
     names: dict[int, str] | None = None,
     tile: int = TILE,
-    small: int = SMALL_WALK,
 ) -> tuple[DataFrame, DataFrame]:
     """(regions, rings) of the 4-connected equal-value areas of a class grid.
 
@@ -285,7 +257,7 @@ def polygonize(
     labelled = cut_lineage(connected_components(kept, cols, 4, "value", tile=tile, out="region"))
     sides = cut_lineage(region_sides(kept, cols, "value", tile))
     walked = cut_lineage(
-        order_walks(sides, small).join(labelled.select("row", "col", "region"), ["row", "col"])
+        order_walks(sides).join(labelled.select("row", "col", "region"), ["row", "col"])
     )
     perimeters = walked.groupBy("region").agg(F.count("*").alias("perimeter"))
     regions = labelled.groupBy("region", "value").agg(F.count("*").alias("area")).join(perimeters, "region")

@@ -121,10 +121,9 @@ def test_downsample_cubic_of_a_plane(spark):
 
 
 @pytest.mark.parametrize("connectivity", [4, 8])
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_components_match_flood_fill(spark, connectivity, small):
+def test_components_match_flood_fill(spark, connectivity):
     mask = np.random.default_rng(5).random((20, 23)) < 0.5
-    got = components.connected_components(points_df(spark, mask), 23, connectivity, tile=6, small=small)
+    got = components.connected_components(points_df(spark, mask), 23, connectivity, tile=6)
     assert np.array_equal(to_grid(got, "label", mask.shape, -1), flood(mask, connectivity))
 
 
@@ -138,9 +137,8 @@ def test_components_of_a_spiral_across_tiles(spark):
         mask[14 - ring, ring: 15 - ring] = True
         mask[ring + 2: 15 - ring, ring] = True
         mask[ring + 2, ring: ring + 3] = True
-    for small in (0, 1000):
-        got = components.connected_components(points_df(spark, mask), 15, 4, tile=4, small=small)
-        assert np.array_equal(to_grid(got, "label", mask.shape, -1), flood(mask, 4))
+    got = components.connected_components(points_df(spark, mask), 15, 4, tile=4)
+    assert np.array_equal(to_grid(got, "label", mask.shape, -1), flood(mask, 4))
 
 
 def test_equal_value_components(spark):
@@ -207,8 +205,7 @@ def test_isolated_short_line_is_removed_and_dot_stays(spark):
     assert pruned.sum() == 1 and pruned[4, 7]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_walks_are_ordered_across_groups(spark, small):
+def test_walks_are_ordered_across_groups(spark):
     import pandas as pd
 
     rng = np.random.default_rng(9)
@@ -224,7 +221,7 @@ def test_walks_are_ordered_across_groups(spark, small):
 
     df = spark.createDataFrame(walk, "state long, next long, g long")
     states = df.groupBy("g").applyInPandas(cut, vectorize.WALK_SCHEMA)
-    got = {r["state"]: (r["cycle"], r["pos"]) for r in vectorize.order_walks(states, small).collect()}
+    got = {r["state"]: (r["cycle"], r["pos"]) for r in vectorize.order_walks(states).collect()}
     assert isinstance(cut(pd.DataFrame({"state": [4], "next": [4]})), pd.DataFrame) and len(got) == at
     for c in cycles:
         first = c.index(min(c))
@@ -232,11 +229,10 @@ def test_walks_are_ordered_across_groups(spark, small):
             assert got[a] == (min(c), i)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_lines_follow_a_path_out_and_back(spark, small):
+def test_lines_follow_a_path_out_and_back(spark):
     mask = np.zeros((5, 8), bool)
     mask[2, 1:6] = True
-    lines = vectorize.skeleton_to_lines(points_df(spark, mask), 8, GT, tile=4, small=small).orderBy("id", "seq").collect()
+    lines = vectorize.skeleton_to_lines(points_df(spark, mask), 8, GT, tile=4).orderBy("id", "seq").collect()
     assert len({r["id"] for r in lines}) == 1 and len(lines) == 8
     assert {(r["row"], r["col"]) for r in lines} == {(2, c) for c in range(1, 6)}
     for a, b in zip(lines, lines[1:]):
@@ -244,13 +240,22 @@ def test_lines_follow_a_path_out_and_back(spark, small):
     assert lines[0]["x"] == GT[0] + lines[0]["col"] * 2.0
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_polygons_with_a_hole(spark, small):
+@pytest.mark.parametrize("part", [[(0, 0), (0, 1), (1, 0)], [(0, 0), (0, 1), (1, 1)], [(0, 1), (1, 0), (1, 1)], [(0, 0), (1, 0), (1, 1)]])
+def test_a_part_of_three_pixels_is_one_line(spark, part):
+    mask = np.zeros((6, 6), bool)
+    for r, c in part:
+        mask[r + 2, c + 2] = True
+    lines = vectorize.skeleton_to_lines(points_df(spark, mask), 6, GT, tile=4).collect()
+    assert len({x["id"] for x in lines}) == 1
+    assert {(x["row"] - 2, x["col"] - 2) for x in lines} == set(part) and len(lines) == 3
+
+
+def test_polygons_with_a_hole(spark):
     a = np.zeros((7, 7), int)
     a[1:6, 1:6] = 1
     a[3, 3] = 0
     a[3, 4] = 2
-    regions, rings = vectorize.polygonize(grid_df(spark, a, "label", "int"), 7, GT, names={1: "one"}, tile=3, small=small)
+    regions, rings = vectorize.polygonize(grid_df(spark, a, "label", "int"), 7, GT, names={1: "one"}, tile=3)
     got = {r["value"]: r for r in regions.collect()}
     assert got[1]["area"] == 23 and got[1]["perimeter"] == 20 + 6 and got[1]["name"] == "one"
     assert got[2]["area"] == 1 and got[2]["perimeter"] == 4 and got[2]["name"] is None

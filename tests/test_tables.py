@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from helpers import cube_df
@@ -25,7 +27,8 @@ def test_first_rows_per_group_exactly(spark):
         got = ranking.flag_first(df, ["g"], key, F.col("id"), quota).collect()
         want = {}
         for i, g in rows:
-            want.setdefault(g, []).append(((i % 2147483647 * 48271 + 9 * 69621) % 2147483647, i))
+            digest = hashlib.md5(f"9:{i}".encode()).hexdigest()
+            want.setdefault(g, []).append((int(digest[:8], 16) % 2147483648, i))
         chosen = {i for members in want.values() for _, i in sorted(members)[:quota]}
         assert {r["id"] for r in got if r["selected"]} == chosen
         assert len(got) == 3000
@@ -52,19 +55,18 @@ def test_split_and_complement_are_the_whole(spark):
     assert taken.select("fid").union(rest.select("fid")).distinct().count() == 100
 
 
-def test_numbering_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(ranking.split_edges, "__defaults__", (20, 16))
+def test_numbering_over_many_ranges(spark):
     values = np.random.default_rng(1).permutation(500) ** 2
     df = spark.createDataFrame([(int(v), int(v) % 2) for v in values], "v long, g long").repartition(6)
-    assert len(ranking.split_edges(df, "v")) > 5
+    spread = ranking.ranged(df, "v").groupBy("_b").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_b").collect()
+    assert all(x["hi"] < y["lo"] for x, y in zip(spread, spread[1:]))
     got = {r["v"]: r["n"] for r in ranking.number_rows(df, "v", "n").collect()}
     assert [got[v] for v in sorted(got)] == list(range(1, 501))
     grouped = ranking.number_rows(df, "v", "n", ["g"]).filter("g = 1").orderBy("v").collect()
     assert [r["n"] for r in grouped] == list(range(1, len(grouped) + 1))
 
 
-def test_running_mean_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(ranking.split_edges, "__defaults__", (10, 16))
+def test_running_mean_over_many_ranges(spark):
     df = spark.range(200).select("id", (F.col("id") % 7).cast("double").alias("v"), (F.col("id") % 3 + 1).alias("w")).repartition(5)
     got = evaluate.weighted_running_mean(df, "id", "v", "w").orderBy("id").collect()
     i = np.arange(200)
@@ -316,8 +318,14 @@ def test_highpass_matches_mirrored_convolution(spark):
     assert np.allclose(df.select(bands.spectral_highpass(F.col("s"), 1.5)).first()[0], want)
 
 
+def test_two_seeds_share_about_the_chance_number_of_rows(spark):
+    ids = spark.range(20_000)
+    picked = [{r["id"] for r in ids.orderBy(arith_key(F.col("id"), seed), "id").limit(2_000).collect()} for seed in (42, 43)]
+    assert 130 < len(picked[0] & picked[1]) < 280  # 200 by chance
+
+
 def test_percent_text(spark):
-    cases = {0.0: "0.0", 0.5: "50", 1.0: "100", 0.125: "12.5", 0.0625: "6.2", 0.33333: "33.33", 0.061234: "6.12"}
+    cases = {0.0: "0.0", 0.5: "50", 1.0: "100", 0.125: "12.5", 0.0625: "6.2", 0.33333: "33.33", 0.061234: "6.12", 0.02675: "2.67", 0.145: "14.5", 1e-13: "0", -0.5: "-50"}
     df = spark.createDataFrame([(k,) for k in cases], "v double")
     got = {r["v"]: r["t"] for r in df.select("v", text.percent_text(F.col("v")).alias("t")).collect()}
     assert got == cases
