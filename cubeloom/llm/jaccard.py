@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
 from cubeloom.llm.graph import components
-from cubeloom.llm.tokens import chunks
+from cubeloom.llm.tokens import release, text_chunks
 
 WORDS = 4
 PERCENT = 85
@@ -31,7 +31,8 @@ PERCENT = 85
 HOT_SHARE = 0.02
 BUCKET_SHINGLES = 1_000_000
 LEAST_BUCKETS = 48
-SEEN = 500_000
+SEEN = 200_000
+CHUNK_BYTES = 4_000_000
 HOT_DF = (1 << 31) - 1
 LOW48 = np.uint64((1 << 48) - 1)
 
@@ -64,10 +65,10 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """kind, doc_id, n, cid per document, and per chunk of documents the shingles that many of its sets hold (kind 1)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunks(texts, 8_000_000):
-                sets = [shingles(t, words) for t in texts[lo:hi]]
+            for lo, _, texts in text_chunks(batch.column(1), CHUNK_BYTES):
+                sets = [shingles(t, words) for t in texts]
                 n = len(sets)
                 distinct = {class_of(s): s for s in sets if len(s)}
                 every, counts = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
@@ -93,12 +94,12 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
         common = told.value
         part, made = TaskContext.get().partitionId(), 0
         seen: set[int] = set()
+        release()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunks(texts, 8_000_000):
-                for low in range(lo, hi, 60_000):
+            for _, _, texts in text_chunks(batch.column(0), CHUNK_BYTES):
+                for low in range(0, len(texts), 60_000):  # a set has 16 bits
                     sets, names = [], []
-                    for text in texts[low : min(hi, low + 60_000)]:
+                    for text in texts[low : low + 60_000]:
                         found = shingles(text, words)
                         # below six shingles only equal sets are similar enough
                         if len(found) < 6 or (name := class_of(found)) in seen:
@@ -129,8 +130,8 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
                     for b in range(buckets):
                         mine, warm = packed[edges[b] : edges[b + 1]], is_hot[edges[b] : edges[b + 1]]
                         if len(mine) or b == head_at:
-                            top = (heads.tobytes(), sizes.astype(np.int64).tobytes()) if b == head_at else (b"", b"")
-                            rows.append((b, ref, mine[~warm].tobytes(), mine[warm].tobytes(), *top))
+                            top = sizes.astype(np.int64).tobytes() if b == head_at else b""
+                            rows.append((b, ref, mine[~warm].tobytes(), mine[warm].tobytes(), heads.tobytes(), top))
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])],
@@ -142,18 +143,24 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
         own = {name: group.column(name).to_pylist() for name in group.column_names}
         rare = [np.frombuffer(x, np.uint64) for x in own["rare"]]
         values = np.concatenate(rare)
-        where = np.repeat(np.array(own["ref"], np.int64), [len(x) for x in rare]) | (values >> np.uint64(48)).astype(np.int64)
+        owner = (values >> np.uint64(48)).astype(np.int64)
+        where = np.repeat(np.array(own["ref"], np.int64), [len(x) for x in rare]) | owner
+        classes = np.concatenate([np.frombuffer(h, np.int64)[o] for h, o in zip(own["heads"], np.split(owner, np.cumsum([len(x) for x in rare])[:-1]))])
         names = values & LOW48
-        order = np.argsort(names, kind="stable")
-        names, where = names[order], where[order]
-        first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
-        runs = np.repeat(np.diff(np.append(first, len(names))), np.diff(np.append(first, len(names))))
+        order = np.lexsort((classes, names))
+        names, where, classes = names[order], where[order], classes[order]
+        new_name = np.append(True, names[1:] != names[:-1])[: len(names)]
+        new_pair = new_name | np.append(True, classes[1:] != classes[:-1])[: len(names)]
+        first = np.flatnonzero(new_name)
+        lengths = np.diff(np.append(first, len(names)))
+        # equal sets count once
+        runs = np.repeat(np.add.reduceat(new_pair.astype(np.int64), first) if len(first) else first, lengths)
         keep = runs > 1
         refs.append(where[keep]), shingle.append(names[keep].astype(np.int64)), df.append(runs[keep])
         for ref, warm, heads, sizes in zip(own["ref"], own["warm"], own["heads"], own["sizes"]):
             w = np.frombuffer(warm, np.uint64)
             refs.append(ref | (w >> np.uint64(48)).astype(np.int64)), shingle.append((w & LOW48).astype(np.int64)), df.append(np.full(len(w), HOT_DF))
-            h = np.frombuffer(heads, np.int64)
+            h = np.frombuffer(heads if sizes else b"", np.int64)
             refs.append(ref | np.arange(len(h))), shingle.append(h), df.append(-np.frombuffer(sizes, np.int64))
         return pa.table([pa.array(np.concatenate(refs), pa.int64()), pa.array(np.concatenate(df), pa.int64()), pa.array(np.concatenate(shingle), pa.int64())],
                         names=["ref", "df", "shingle"])
@@ -195,7 +202,7 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     central = F.struct((F.col("alone") / F.col("n")).alias("own"), "ref", "n")
     hubs = lists.groupBy("shingle").agg(F.count("*").alias("m"), F.min(central).alias("hub")).filter("m > 1")
     lists = lists.join(hubs.select("shingle", "m", F.col("hub.ref").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle")
-    lists = written(lists.withColumn("place", F.col("alone") + F.col("at")).drop("alone", "at"), "lists")
+    lists = written(lists.withColumn("place", F.col("alone") + F.col("at")).drop("at"), "lists")
 
     # every set of a list with the list's most central set
     hub_pairs = lists.filter((F.col("ref") != F.col("hub")) & _long_enough(F.col("n"), F.col("hub_n"), percent))
@@ -206,17 +213,23 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
 
     # what is left: sets of different components in one list
     more = lists.filter("m > 2").join(first.select(F.col("node").alias("ref"), "root"), "ref", "left").withColumn("root", F.coalesce("root", "ref"))
-    apart = tried.select("a", "b", (1 - F.col("inter") / F.col("union")).alias("far"))
+    apart = tried.select("a", "b", F.col("inter").alias("with_hub"))
     more = more.withColumns({"a": F.greatest("ref", "hub"), "b": F.least("ref", "hub")}).join(apart, ["a", "b"], "left").drop("a", "b")
-    more = more.withColumn("far", F.when(F.col("ref") == F.col("hub"), 0.0).otherwise(F.col("far")))
+    more = more.withColumn("with_hub", F.when(F.col("ref") == F.col("hub"), F.col("n")).otherwise(F.col("with_hub")))
     # blocks of sizes: a partner lies in the same block or the next
     block = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
-    more = more.select("shingle", "ref", "n", "place", "root", "far", block.alias("block"))
-    x = more.withColumn("block", F.explode(F.array("block", F.col("block") + 1))).select("shingle", "block", *[F.col(c).alias(f"x_{c}") for c in ("ref", "n", "place", "root", "far")])
-    y = more.select("shingle", "block", *[F.col(c).alias(f"y_{c}") for c in ("ref", "n", "place", "root", "far")])
+    more = more.select("shingle", "ref", "n", "place", "root", "alone", "with_hub", block.alias("block"))
+    names = ("ref", "n", "place", "root", "alone", "with_hub")
+    x = more.withColumn("block", F.explode(F.array("block", F.col("block") + 1))).select("shingle", "block", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = more.select("shingle", "block", *[F.col(c).alias(f"y_{c}") for c in names])
     need = F.col("x_n") * percent + F.col("y_n") * percent
-    reach = F.least("x_place", "y_place") + 1 + F.least(F.col("x_n") - F.col("x_place") - 1, F.col("y_n") - F.col("y_place") - 1)
-    bound = F.coalesce(F.abs(F.col("x_far") - F.col("y_far")), F.lit(0.0)) <= 1 - percent / 100 + 1e-9
+    # shared before this shingle: at most as many as either set has there, without what only it holds
+    reach = F.least(F.col("x_place") - F.col("x_alone"), F.col("y_place") - F.col("y_alone")) + 1 + F.least(F.col("x_n") - F.col("x_place") - 1, F.col("y_n") - F.col("y_place") - 1)
+    # what only one set holds is in no overlap; the rest is split by what is known of each set and the list's most central set
+    outside = [F.col(f"{s}_n") - F.col(f"{s}_with_hub") - F.col(f"{s}_alone") for s in "xy"]  # below 0 for the central set itself
+    known = F.col("x_with_hub").isNotNull() & F.col("y_with_hub").isNotNull()
+    through = F.when(known, F.least("x_with_hub", "y_with_hub") + F.greatest(F.least(*outside), F.lit(0))).otherwise(F.least("x_n", "y_n"))
+    bound = F.least(through, F.col("x_n") - F.col("x_alone"), F.col("y_n") - F.col("y_alone")) * (100 + percent) >= need
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_ref") < F.col("y_ref")))
     left = x.join(y, ["shingle", "block"]).filter(
         ahead & (F.col("x_root") != F.col("y_root")) & _long_enough(F.col("x_n"), F.col("y_n"), percent) & (reach * (100 + percent) >= need) & bound
