@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import chunks
+from cubeloom.llm.tokens import text_chunks
 
 SCOPE = 400
 KINDS = ("assign", "access", "hex")
@@ -81,10 +81,9 @@ def scan(docs: DataFrame) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for lo, hi in chunks(texts):
+            for lo, hi, texts in text_chunks(batch.column(2)):
                 bases, weaks, counts = [], [], np.zeros((hi - lo, 3), np.int64)
-                for i, text in enumerate(texts[lo:hi]):
+                for i, text in enumerate(texts):
                     lower = text.lower() if text else ""
                     strong = strong_spans(text, lower) if text else []
                     weak = weak_spans(text, lower, strong) if text else []

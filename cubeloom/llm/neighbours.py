@@ -45,20 +45,23 @@ def nearest(base: np.ndarray, queries: np.ndarray, k: int, skip_self: bool = Fal
 
 
 def balanced_parts(graph: np.ndarray, points: np.ndarray, parts: int, rng: np.random.Generator, slack: float = 0.05, rounds: int = 8) -> np.ndarray:
-    """Part of each node: halved along random directions to start with, then moved to the part of most neighbours where room is left."""
+    """Part of each node: cut along directions of wide spread to start with, then moved to the part of most neighbours where room is left."""
     n = len(graph)
     part = np.zeros(n, np.int64)
-    pieces = [np.arange(n)]
-    while len(pieces) < parts:
-        pieces.sort(key=len)
-        rows = pieces.pop()
+    pieces, open_ = [], [(np.arange(n), parts)]
+    while open_:
+        rows, share = open_.pop()
+        if share == 1:
+            pieces.append(rows)
+            continue
         centred = points[rows] - points[rows].mean(axis=0)
         axis = rng.standard_normal(points.shape[1])
         for _ in range(5):  # towards the direction of most spread
             axis = centred.T @ (centred @ axis)
             axis /= np.linalg.norm(axis) or 1.0
         order = rows[np.argsort(centred @ axis, kind="stable")]
-        pieces += [order[: len(order) // 2], order[len(order) // 2 :]]
+        half = len(order) * (share // 2) // share
+        open_ += [(order[:half], share // 2), (order[half:], share - share // 2)]
     for i, rows in enumerate(pieces):
         part[rows] = i
     back = [[] for _ in range(n)]

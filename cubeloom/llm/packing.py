@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import chunks, encoder
+from cubeloom.llm.tokens import encoder, text_chunks
 
 MAX_LEN = 2048
 END_ID = 1
@@ -70,10 +70,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_i
         seen = np.zeros(max_len + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
+            names = batch.column(0)
+            for lo, _, texts in text_chunks(batch.column(1)):
                 row, start, length, total, nth, ids = [], [], [], [], [], []
-                for i, found in enumerate(encode(texts[lo:hi]), lo):
+                for i, found in enumerate(encode(texts), lo):
                     found += end
                     n = len(found) // 4
                     for s in range(0, n, max_len):

@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import mixed_key, query, table
+from cubeloom.llm.tokens import release
 
 SEED = 3
 #: Labelled and unlabelled documents that the classifiers are fitted on.
-LABELLED = 12_000
-UNLABELLED = 12_000
+LABELLED = 8_000
+UNLABELLED = 8_000
+ROWS = 1_000  # scored at a time
 ROUNDS = 4
 SHARE = 0.1  # of the pool that a view may hand over in a round
 CONFIDENT = 0.97
@@ -211,9 +213,13 @@ def with_scores(docs: DataFrame, model: Model, name: str = "_quality") -> DataFr
 
     @F.pandas_udf(SCORES)
     def score(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, lang, source, n_chars in columns:
-            found = told.value.score(text_view(text.tolist()), page_view(lang.tolist(), source.tolist(), n_chars.tolist()))
-            yield pd.DataFrame(dict(zip(("text_score", "page_score", "score"), found)))
+        release()
+        for batch in columns:
+            parts = []
+            for at in range(0, max(len(batch[0]), 1), ROWS):
+                text, *page = (c.iloc[at : at + ROWS].tolist() for c in batch)
+                parts.append(np.column_stack(told.value.score(text_view(text), page_view(*page))))
+            yield pd.DataFrame(np.concatenate(parts), columns=["text_score", "page_score", "score"])
 
     return docs.withColumn(name, score(*_views(docs)))
 

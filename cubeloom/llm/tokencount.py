@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table
-from cubeloom.llm.tokens import chunks, encoder
+from cubeloom.llm.tokens import encoder, text_chunks
 
 RULES = ("first", "last", "most", "share")
 COUNTS = "doc_id long, section long, start long, end long, n_tokens double, n_crossing long, doc_tokens long"
@@ -87,13 +87,12 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes = encoder(tokenizer).ids, byte_lengths(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             given = batch.column(2) if sections else None
-            for lo, hi in chunks(texts):
+            for lo, _, texts in text_chunks(batch.column(1)):
                 out: list[tuple[np.ndarray, ...]] = []
                 rows = []
-                for i, found in enumerate(encode(texts[lo:hi]), lo):
-                    data = (texts[i] or "").encode()
+                for i, (text, found) in enumerate(zip(texts, encode(texts)), lo):
+                    data = (text or "").encode()
                     widths = sizes[np.frombuffer(found, "<u4")]
                     ends = np.cumsum(widths)
                     if sections:
@@ -113,7 +112,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
                     if not keep.any():
                         number, keep = np.zeros(1, np.int64), np.ones(1, bool)
                     # byte places back to code points
-                    if len(data) == len(texts[i] or ""):
+                    if len(data) == len(text or ""):
                         s, e = low, high
                     else:
                         points = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])

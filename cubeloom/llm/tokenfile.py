@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, work_path
-from cubeloom.llm.tokens import chunks, encoder
+from cubeloom.llm.tokens import encoder, text_chunks
 
 BLOCK = 256
 PERCENTILE = 95.0
@@ -172,9 +172,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return row
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts):
-                for key, found in zip(keys[lo:hi], encode(texts[lo:hi])):
+            keys = batch.column(0).to_pylist()
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                for key, found in zip(keys[lo:hi], encode(texts)):
                     found += end
                     if held and tokens + len(found) // 4 > shard_tokens:
                         yield flush()
