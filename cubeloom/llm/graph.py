@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = written(_between(edges), "links")
-    labels = None
+    labels, first = None, True
     while not edges.isEmpty():
         parent = written(edges.groupBy("u").agg(F.min("v").alias("p")), "parents")
         while True:
@@ -28,17 +28,16 @@ def components(edges: DataFrame) -> DataFrame:
                 break
         parent = parent.select("u", "p")
         if labels is None:
-            tops = parent.select(F.col("p").alias("node")).distinct()
-            after = parent.select(F.col("u").alias("node"), F.col("p").alias("root")).unionByName(tops.select("node", F.col("node").alias("root")))
-        else:
-            after = labels.join(parent.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+            nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).distinct()
+            labels = nodes.withColumn("root", F.col("node"))
+        after = labels.join(parent.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
         after = written(after, "labels")
         mapped = edges
         for end in ("u", "v"):
             mapped = mapped.join(parent.select(F.col("u").alias(end), F.col("p").alias("_p")), end, "left").withColumn(end, F.coalesce("_p", end)).drop("_p")
         left = written(_between(mapped), "links")
-        drop_written(spark, *([labels] if labels is not None else []), edges, parent)
-        labels, edges = after, left
+        drop_written(spark, *([] if first else [labels]), edges, parent)
+        labels, edges, first = after, left, False
     drop_written(spark, edges)
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
 

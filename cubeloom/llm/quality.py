@@ -31,12 +31,13 @@ SHARE = 0.1  # of the pool that a view may hand over in a round
 CONFIDENT = 0.97
 THRESHOLD = 0.5
 SOURCES, LANGS = 64, 16
+TEXT_FEATURES, PAGE_FEATURES = 256 + 10, SOURCES + LANGS + 12
 SCORES = "text_score double, page_score double, score double"
 
 
 def text_view(texts: list[str | None]) -> np.ndarray:
     """Rows of features of the whole text: byte shares, kinds of characters, repetition and word shape."""
-    out = np.zeros((len(texts), 256 + 10))
+    out = np.zeros((len(texts), TEXT_FEATURES))
     for row, text in zip(out, texts):
         data = (text or "").encode("utf-8", "surrogatepass")
         if not data:
@@ -60,7 +61,7 @@ def text_view(texts: list[str | None]) -> np.ndarray:
 def page_view(langs: list, sources: list, lengths: list) -> np.ndarray:
     """Rows of features of the recorded metadata; null has a place of its own."""
     n = len(langs)
-    out = np.zeros((n, SOURCES + LANGS + 12))
+    out = np.zeros((n, PAGE_FEATURES))
     rows = np.arange(n)
     for at, size, values in ((0, SOURCES, sources), (SOURCES, LANGS, langs)):
         spots = [0 if v is None or v != v else 1 + zlib.crc32(str(v).encode()) % (size - 1) for v in values]
@@ -188,9 +189,9 @@ def _sample_features(docs: DataFrame, ids: DataFrame, most: int) -> tuple[np.nda
 
     rows = docs.select(F.col("doc_id").cast("long"), *_views(docs)).join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
     found = rows.drop("doc_id").mapInPandas(features, "quality double, x binary").limit(most).toPandas()
-    x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(len(found), -1).astype(np.float64)
-    split = 256 + 10
-    return (x[:, :split], x[:, split:], found["quality"].to_numpy(np.float64)) if len(found) else (np.zeros((0, split)), np.zeros((0, SOURCES + LANGS + 12)), np.zeros(0))
+    split = TEXT_FEATURES
+    x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(len(found), split + PAGE_FEATURES).astype(np.float64)
+    return x[:, :split], x[:, split:], found["quality"].to_numpy(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED, seed: int = SEED) -> Model:
