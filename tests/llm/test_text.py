@@ -123,7 +123,7 @@ def test_mixing_meets_its_targets(spark, edge_docs, no_docs):
     mixed = mixing.mix(docs, block_words=100, blocks_per_shard=4)
     again = mixing.mix(docs.repartition(7), block_words=100, blocks_per_shard=4)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
-    assert mixed.groupBy("shard").agg(F.max("place") - F.count("*")).distinct().count() == 1
+    assert mixed.groupBy("shard").agg(F.max("place").alias("m"), F.count("*").alias("n")).filter("m <> n").isEmpty()
     assert mixing.mix(no_docs).count() == 0
     plain = edge_docs.drop(*CLASH)
     assert mixing.draw(plain, mixing.make_plan(plain)).count() == edge_docs.count()
@@ -176,9 +176,9 @@ def test_jaccard_matches_brute_force(spark, edge_docs, no_docs):
 
 
 def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(200, 260)] + [(1, 1), (300, 301), (301, 300), (259, 139)]
+    edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(200, 260)] + [(1, 1), (300, 301), (301, 300), (259, 139), (400, 398), (400, 399)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
-    want = {**{i: 5 for i in [5, *range(100, 141), *range(200, 260)]}, 300: 300, 301: 300}
+    want = {**{i: 5 for i in [5, *range(100, 141), *range(200, 260)]}, 300: 300, 301: 300, 398: 398, 399: 398, 400: 398}
     assert got == want
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
@@ -188,11 +188,11 @@ def labelled(spark):
     rng = np.random.default_rng(1)
     rows, labels = [], []
     for i in range(400):
-        good = i % 4 > 0
+        good = i % 3 > 0
         w = [f"word{rng.integers(0, 50)}" for _ in range(30)]
         text = " ".join(w) if good else " ".join(x.upper() + "!!" for x in w)
         rows.append((i, text, "en", "good" if good and rng.random() < 0.8 else "mixed", len(text)))
-        if i % 2:
+        if i % 8 < 5:
             labels.append((i, int(good)))
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int")
 
@@ -201,8 +201,8 @@ def test_cotraining_scores_held_out_documents(labelled):
     docs, labels = labelled
     got = quality.classify(docs, labels).collect()
     assert len(got) == 400
-    unseen = [r for r in got if r["doc_id"] % 2 == 0]
-    assert np.mean([r["keep"] == (r["doc_id"] % 4 > 0) for r in unseen]) >= 0.97
+    unseen = [r for r in got if r["doc_id"] % 8 >= 5]
+    assert np.mean([r["keep"] == (r["doc_id"] % 3 > 0) for r in unseen]) >= 0.97
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
