@@ -33,7 +33,7 @@ LOGIN = re.compile(r"""(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x
 #: Roles: i = identifier, s = secret, e = endpoint. A strong span plays its role too.
 ROLE = {"assign": "s", "access": "i", "hex": "s", "bare": "s", "endpoint": "e", "login": "i"}
 #: A weak part counts when one of these sets of roles stands near it.
-COMPLEMENTS = {"bare": ("i", "e"), "endpoint": ("is",), "login": ("se",)}
+COMPLEMENTS = {"bare": ("i", "e"), "endpoint": ("is",), "login": ("s",)}
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
 FOUND = f"doc_id long, n_assign long, n_access long, n_hex long, base array<{SPAN}>, weak array<{SPAN}>"
 

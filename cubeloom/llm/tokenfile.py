@@ -34,9 +34,18 @@ SHARD = "part int, shard int, n_docs long, n_tokens long, doc_ids array<bigint>,
 ROWS = "part int, shard int, doc_id long, in_shard long, n_tokens long, ids binary"
 
 
-def bit_width(values: np.ndarray) -> np.ndarray:
-    """Bits that hold each non-negative number (0 for 0)."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
+def percentile_widths(rest: np.ndarray, percentile: float) -> np.ndarray:
+    """Bits of each row that hold at least ``percentile`` of its numbers; the rest are outliers."""
+    allowed = BLOCK - min(BLOCK, int(np.ceil(BLOCK * percentile / 100)))
+    widths = np.zeros(len(rest), np.uint8)
+    left = np.arange(len(rest))
+    for width in range(int(rest.max()).bit_length(), 0, -1):
+        full = np.count_nonzero(rest[left] >= rest.dtype.type(1 << (width - 1)), axis=1) > allowed
+        widths[left[full]] = width
+        left = left[~full]
+        if len(left) == 0:
+            break
+    return widths
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,10 +92,9 @@ def encode_stream(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
         return STREAM.pack(0, 0, 0)
     index["base"] = padded.min(axis=1)
     rest = padded - index["base"][:, None]
-    place = min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)
-    narrow = rest.astype(np.uint16) if rest.max() < 1 << 16 else rest
-    index["width"] = bit_width(np.partition(narrow, place, axis=1)[:, place])
-    limit = ((np.uint64(1) << index["width"].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    rest = rest.astype(np.uint16) if rest.max() < 1 << 16 else rest
+    index["width"] = percentile_widths(rest, percentile)
+    limit = ((np.uint64(1) << index["width"].astype(np.uint64)) - np.uint64(1)).astype(rest.dtype)
     out = rest > limit[:, None]
     index["exceptions"] = np.count_nonzero(out, axis=1)
     where, spot = np.divmod(np.flatnonzero(out), BLOCK)
@@ -96,13 +104,13 @@ def encode_stream(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low[where, spot] = 0
     sizes = index["width"].astype(np.int64) * (BLOCK // 8)
     index["start"] = np.cumsum(sizes) - sizes
-    body = np.zeros(int(sizes.sum()), np.uint8)
+    body: list[bytes] = [b""] * blocks
     for width in np.unique(index["width"]):
         if width:
-            mine = np.nonzero(index["width"] == width)[0]
-            packed = pack_bits(low[mine], int(width))
-            body[index["start"][mine].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
-    return STREAM.pack(n, blocks, len(patches)) + index.tobytes() + patches.tobytes() + body.tobytes()
+            mine = np.flatnonzero(index["width"] == width)
+            for i, row in zip(mine.tolist(), pack_bits(low[mine], int(width))):
+                body[i] = row.tobytes()
+    return STREAM.pack(n, blocks, len(patches)) + index.tobytes() + patches.tobytes() + b"".join(body)
 
 
 def decode_stream(data: memoryview) -> tuple[np.ndarray, int]:
@@ -118,9 +126,9 @@ def decode_stream(data: memoryview) -> tuple[np.ndarray, int]:
     values = np.zeros((blocks, BLOCK), np.uint32)
     for width in np.unique(index["width"]):
         if width:
-            mine = np.nonzero(index["width"] == width)[0]
-            spots = index["start"][mine].astype(np.int64)[:, None] + np.arange(int(width) * BLOCK // 8)
-            values[mine] = unpack_bits(body[spots], int(width))
+            mine = np.flatnonzero(index["width"] == width)
+            size = int(width) * BLOCK // 8
+            values[mine] = unpack_bits(np.stack([body[at : at + size] for at in index["start"][mine].tolist()]), int(width))
     values[np.repeat(np.arange(blocks), index["exceptions"]), patches["spot"]] = patches["rest"]
     values += index["base"][:, None]
     return values.reshape(-1)[:n], at + total
