@@ -11,6 +11,7 @@ from cubeloom.functions import color, geo, text
 from cubeloom.functions.vectors import vsum
 from cubeloom.operators import layers, patches, stencil, tiles
 from cubeloom.plans import minerals
+from cubeloom.session import output_folder
 from cubeloom.sources import files, raster
 from cubeloom.sources import scene as scenes
 
@@ -48,9 +49,13 @@ def scan_window(spark, d):
     return scenes.scan_window(V.px(spark, d), 5, 3, 10, 8).select("row", "col", "pix")
 
 
-@query("scan_files")
+@query("scan_files", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def scan_files(spark, d):
-    return files.scan_files(spark, d, (".parquet",)).select(F.substring_index("path", "/", -1).alias("name"), "length")
+    """Texts are stored as one folder of files per source; the listing gives their sizes."""
+    path = output_folder(spark, "texts")
+    V.table(spark, d, "documents").select("source", "text").write.partitionBy("source").text(path)
+    found = files.scan_files(spark, path, (".txt",)).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "length")
+    return found.groupBy("source").agg(F.sum("length").alias("bytes"))
 
 
 @query("scan_sample_list", with_views("SELECT concat('/lists/img_', doc_id, '.tif') AS path, CAST(doc_id % 5 AS INT) AS label FROM samples_txt", "samples_txt"))
@@ -93,7 +98,10 @@ def scan_training_log(spark, d):
 def sink_raster(spark, d):
     p = V.px(spark, d)
     rows, cols = V.dims(p)
-    return raster.dense_grid(V.lab(spark, d), rows, cols, 0, mask=p.filter("valid"))
+    grid = raster.dense_grid(V.lab(spark, d), rows, cols, 0, mask=p.filter("valid"))
+    path = output_folder(spark, "raster")
+    raster.sink_raster(grid, path, V.scene(p), "uint8")
+    return raster.read_raster(spark, path)[0].select("row", "col", "label")
 
 
 @query("sink_palette_raster", with_views(
@@ -101,29 +109,42 @@ def sink_raster(spark, d):
  CAST(CASE label WHEN 0 THEN 255 WHEN 1 THEN 208 ELSE 200 END AS INT) AS g, CAST(CASE label WHEN 0 THEN 255 WHEN 1 THEN 0 ELSE 255 END AS INT) AS b
  FROM (SELECT row, col, CASE WHEN {sql_terms(B.CALCITE)} = 7 THEN 1 WHEN {sql_terms(B.DOLOMITE)} = 12 THEN 2 ELSE 0 END AS label FROM px)""", "px"))
 def sink_palette_raster(spark, d):
-    return minerals.coloured_carbonates(V.px(spark, d), BAND).select("row", "col", "label", "r", "g", "b")
+    p = V.px(spark, d)
+    path = output_folder(spark, "palette-raster")
+    colours = [color.MINERAL_PALETTE[i] for i in (0, 2, 3)]
+    raster.sink_palette_raster(minerals.carbonate_map(p, BAND).select("row", "col", "label"), path, V.scene(p), colours)
+    grid, _ = raster.read_raster(spark, path)
+    return color.label_to_rgb(grid, spark.read.parquet(f"{path}/palette")).select("row", "col", "label", "r", "g", "b")
 
 
 @query("sink_points", with_views("SELECT row, col, 500000 + 30::DOUBLE * col AS x, 4000000 - 30::DOUBLE * row AS y, CAST(label - 1 AS INT) AS class FROM lab", "lab"))
 def sink_points(spark, d):
-    return layers.labels_to_points(V.lab(spark, d), V.GT).select("row", "col", "x", "y", "class")
+    path = output_folder(spark, "points")
+    layers.labels_to_points(V.lab(spark, d), V.GT).write.parquet(path)
+    return files.scan_points(spark.read.parquet(path)).select("row", "col", "x", "y", "class")
 
 
 @query("sink_points_by_class", with_views("SELECT CAST(label - 1 AS INT) AS class, count(*) AS n, sum(500000 + 30::DOUBLE * col) AS x_total FROM lab GROUP BY 1", "lab"))
 def sink_points_by_class(spark, d):
-    points = layers.labels_to_points(V.lab(spark, d), V.GT)
-    return points.groupBy("class").agg(F.count("*").alias("n"), F.sum("x").alias("x_total"))
+    path = output_folder(spark, "points-by-class")
+    raster.sink_points_by_class(layers.labels_to_points(V.lab(spark, d), V.GT), path)
+    return spark.read.parquet(path).groupBy("class").agg(F.count("*").alias("n"), F.sum("x").alias("x_total"))
 
 
 @query("sink_sample_list", with_views("SELECT concat(split_part(line, ' ', 1), ' ', doc_id % 5) AS line FROM samples_txt", "samples_txt"))
 def sink_sample_list(spark, d):
-    return files.sample_lines(files.parse_samples(V.samples_txt(spark, d)))
+    path = output_folder(spark, "sample-list")
+    files.sink_sample_list(files.parse_samples(V.samples_txt(spark, d)), path)
+    return files.sample_lines(files.scan_sample_list(spark, path))
 
 
-@query("sink_matrix", with_views("SELECT pix + 1 AS emb_idx, " + ", ".join(f"CAST(spectrum[{i + 1}] > 0 AS INT) AS c{i}" for i in range(8)) + " FROM px", "px"))
+@query("sink_matrix", with_views("SELECT pix + 1 AS emb_idx, " + ", ".join(f"CAST(spectrum[{i + 1}] > 0 AS INT) AS c{i}" for i in range(64)) + " FROM px", "px"))
 def sink_matrix(spark, d):
     flags = V.px(spark, d).select((F.col("pix") + 1).alias("emb_idx"), F.transform("spectrum", lambda x: x > 0).alias("v"))
-    return files.matrix_lines(flags, 8)
+    path = output_folder(spark, "matrix")
+    files.sink_matrix(flags, path, V.BANDS)
+    read = files.scan_matrix(spark, path)
+    return read.select("emb_idx", *[F.get("v", F.lit(i)).cast("int").alias(f"c{i}") for i in range(V.BANDS)])
 
 
 @query("pack_samples", with_views("SELECT concat('/p/', pix, '.tif') AS path, label, CAST(len(spectrum) AS INT) AS width FROM px", "px"))
@@ -132,7 +153,9 @@ def pack_samples(spark, d):
     path = F.concat(F.lit("/p/"), "pix", F.lit(".tif"))
     samples = p.select(path.alias("path"), "label")
     cubes = p.select(path.alias("path"), F.col("spectrum").alias("cube"))
-    return samples.join(cubes, "path").select("path", "label", F.size("cube").alias("width"))
+    store = output_folder(spark, "packed-samples")
+    files.pack_samples(samples, cubes, store)
+    return spark.read.parquet(store).select("path", "label", F.size("cube").alias("width"))
 
 
 # --- row-local functions ---

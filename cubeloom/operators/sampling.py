@@ -130,7 +130,7 @@ def ppi(
     )
     on = list(keys) or ["_one"]
     source = df if keys else df.withColumn("_one", F.lit(0))
-    joined = source.select(*on, F.col(ident).cast("long").alias(ident), vector).join(keyed, on)
+    joined = source.select(*on, F.col(ident).cast("long").alias(ident), vector).join(keyed if keys else F.broadcast(keyed), on)
     schema = T.StructType([joined.schema[k] for k in on] + [T.StructField(ident, T.LongType()), T.StructField("count", T.LongType())])
 
     def count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
