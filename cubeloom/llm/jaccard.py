@@ -198,11 +198,14 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     sets = sets.withColumn("lead", (prefix - F.col("alone")).cast("int")).filter("lead > 0")
     sets = written(sets.select("ref", "cid", "n", "alone", "lead", F.transform("o", lambda x: x["shingle"]).alias("shingles")), "prefix-sets")
 
-    lists = sets.select("ref", "n", "alone", F.posexplode(F.slice("shingles", F.lit(1), F.col("lead"))).alias("at", "shingle"))
+    leads = F.slice("shingles", F.lit(1), F.col("lead"))
+    lists = sets.select("ref", "n", "alone", leads.alias("leads"), F.posexplode(leads).alias("at", "shingle"))
     central = F.struct((F.col("alone") / F.col("n")).alias("own"), "ref", "n")
     hubs = lists.groupBy("shingle").agg(F.count("*").alias("m"), F.min(central).alias("hub")).filter("m > 1")
     lists = lists.join(hubs.select("shingle", "m", F.col("hub.ref").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle")
-    lists = written(lists.withColumn("place", F.col("alone") + F.col("at")).drop("at"), "lists")
+    # the shingles before this one, for lists that are compared pair by pair
+    before = F.when(F.col("m") > 2, F.slice("leads", F.lit(1), F.col("at")))
+    lists = written(lists.withColumns({"place": F.col("alone") + F.col("at"), "before": before}).drop("at", "leads"), "lists")
 
     # every set of a list with the list's most central set
     hub_pairs = lists.filter((F.col("ref") != F.col("hub")) & _long_enough(F.col("n"), F.col("hub_n"), percent))
@@ -218,8 +221,8 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     more = more.withColumn("with_hub", F.when(F.col("ref") == F.col("hub"), F.col("n")).otherwise(F.col("with_hub")))
     # blocks of sizes: a partner lies in the same block or the next
     block = F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int")
-    more = more.select("shingle", "ref", "n", "place", "root", "alone", "with_hub", block.alias("block"))
-    names = ("ref", "n", "place", "root", "alone", "with_hub")
+    more = more.select("shingle", "ref", "n", "place", "root", "alone", "with_hub", "before", block.alias("block"))
+    names = ("ref", "n", "place", "root", "alone", "with_hub", "before")
     x = more.withColumn("block", F.explode(F.array("block", F.col("block") + 1))).select("shingle", "block", *[F.col(c).alias(f"x_{c}") for c in names])
     y = more.select("shingle", "block", *[F.col(c).alias(f"y_{c}") for c in names])
     need = F.col("x_n") * percent + F.col("y_n") * percent
@@ -233,6 +236,7 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_ref") < F.col("y_ref")))
     left = x.join(y, ["shingle", "block"]).filter(
         ahead & (F.col("x_root") != F.col("y_root")) & _long_enough(F.col("x_n"), F.col("y_n"), percent) & (reach * (100 + percent) >= need) & bound
+        & ~F.arrays_overlap("x_before", "y_before")  # a pair is made in the first list it shares
     )
     left = left.select(F.greatest("x_ref", "y_ref").alias("a"), F.least("x_ref", "y_ref").alias("b")).distinct()
     left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
