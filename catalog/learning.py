@@ -10,7 +10,7 @@ from catalog import views as V
 from catalog.registry import query, r6, with_views
 from catalog.relational import checks, located, patch_sql
 from cubeloom.functions.vectors import vsum
-from cubeloom.operators import classify, cluster, infer, layers, outlier, patches, sampling
+from cubeloom.operators import classify, cluster, infer, layers, outlier, patches, reduce, sampling
 from cubeloom.plans import sampling as plans
 
 P = 5
@@ -107,7 +107,7 @@ def augment_expand_turns(spark, d):
 
 @query("smacc")
 def smacc(spark, d):
-    data = V.px(spark, d).filter("valid").select("pix", F.slice("spectrum", 1, 12).alias("spectrum"))
+    data = V.px(spark, d).filter("valid").select("pix", "spectrum")
     shifted = data.withColumn("spectrum", F.transform("spectrum", lambda x: x + 1.0))
     abundances, _ = sampling.smacc(shifted, 6)
     return abundances.select("pix", "is_endmember", F.posexplode("f").alias("k", "_f")).select("pix", "is_endmember", "k", r6("_f").alias("f"))
@@ -117,15 +117,14 @@ def smacc(spark, d):
 def smacc_block_sampling(spark, d):
     p = V.px(spark, d)
     rows, cols = V.dims(p)
-    data = p.withColumn("spectrum", F.slice("spectrum", 1, 8))
-    return plans.smacc_block_sampling(data, rows, cols, (2, 2), 4, 16).select("block", "step", "pix")
+    return plans.smacc_block_sampling(p, rows, cols, (2, 2), 4, 16).select("block", "step", "pix")
 
 
 @query("slic")
 def slic(spark, d):
     p = V.px(spark, d).filter("valid")
     rows, cols = V.dims(p)
-    image = p.select("pix", "row", "col", F.slice("spectrum", 1, 3).alias("colour"))
+    image = reduce.pca(p.select("pix", "row", "col", "spectrum"), 3, out="colour").select("pix", "row", "col", "colour")
     return sampling.slic(image, "colour", rows, cols, 20, 10.0).select("pix", "seg")
 
 
@@ -138,14 +137,15 @@ def pipeline_superpixel_sampling(spark, d):
 
 # --- clustering and outliers ---
 
-def features(spark, d, width=4):
-    p = V.px(spark, d)
-    return p.select((F.col("pix") + 1).alias("emb_idx"), F.slice("spectrum", 1, width).alias("v"))
+def features(spark, d):
+    return V.px(spark, d).select((F.col("pix") + 1).alias("emb_idx"), F.col("spectrum").alias("v"))
 
 
 @query("gmm_cluster")
 def gmm_cluster(spark, d):
-    return cluster.gmm_cluster(features(spark, d), 4, seeds=(42, 7), max_iter=20).select("emb_idx", "label")
+    # the chain clusters reduced features: scores of all bands
+    scores = reduce.pca(features(spark, d), 8, vector="v")
+    return cluster.gmm_cluster(scores.select("emb_idx", F.col("scores").alias("v")), 4, seeds=(42, 7), max_iter=20).select("emb_idx", "label")
 
 
 @query("pipeline_cluster")
@@ -158,12 +158,12 @@ def pipeline_cluster(spark, d):
 
 def layered(spark, d):
     p = V.px(spark, d).filter("valid")
-    return p.select(F.col("pix").alias("fid"), F.concat(F.lit("class_"), F.col("label") % 3).alias("layer"), F.slice("spectrum", 1, 8).alias("spectrum"))
+    return p.select(F.col("pix").alias("fid"), F.concat(F.lit("class_"), F.col("label") % 3).alias("layer"), "spectrum")
 
 
 @query("isolation_forest")
 def isolation_forest(spark, d):
-    return outlier.isolation_forest(layered(spark, d), 0.2, trees=40).select("layer", "fid", r6("score").alias("score"), "flag")
+    return outlier.isolation_forest(layered(spark, d), 0.2).select("layer", "fid", r6("score").alias("score"), "flag")
 
 
 @query("mc_isolation")
@@ -173,27 +173,27 @@ def mc_isolation(spark, d):
 
 @query("clean_samples")
 def clean_samples(spark, d):
-    return outlier.clean_samples(layered(spark, d), "LF", 0.2, trees=40).select("layer", "fid", r6("score").alias("score"))
+    return outlier.clean_samples(layered(spark, d), "LF", 0.2).select("layer", "fid", r6("score").alias("score"))
 
 
 # --- classifiers ---
 
-def training(spark, d, width=8):
+def training(spark, d):
     p = V.px(spark, d).filter("valid")
-    return p.select("pix", (F.col("label") % 3).cast("int").alias("label"), F.slice("spectrum", 1, width).alias("spectrum"))
+    return p.select("pix", (F.col("label") % 3).cast("int").alias("label"), "spectrum")
 
 
 @query("random_forest")
 def random_forest(spark, d):
     data = training(spark, d)
-    model = classify.random_forest(data.filter("pix % 4 <> 0"), trees=20, depth=6)
+    model = classify.random_forest(data.filter("pix % 4 <> 0"))
     return model.transform(classify.with_features(data)).select("pix", F.col("prediction").cast("int").alias("label"))
 
 
 @query("svm_classifier")
 def svm_classifier(spark, d):
     data = training(spark, d)
-    model = classify.svm_classifier(data.filter("pix % 4 <> 0"), size=64, max_iter=15)
+    model = classify.svm_classifier(data.filter("pix % 4 <> 0"))
     return model.transform(data).select("pix", F.col("prediction").cast("int").alias("label"))
 
 
@@ -208,7 +208,7 @@ def grid_search(spark, d):
 
 @query("predict_map")
 def predict_map(spark, d):
-    model = classify.random_forest(training(spark, d, V.BANDS), trees=10, depth=5)
+    model = classify.random_forest(training(spark, d))
     p = V.px(spark, d)
     return classify.predict_map(model, p.drop("label")).select("pix", "row", "col", "label")
 
@@ -216,8 +216,8 @@ def predict_map(spark, d):
 # --- user models ---
 
 def band_sums(x: np.ndarray) -> np.ndarray:
-    """Example batch model: one score per leading band, its sum over the patch."""
-    return x[:, :6].sum(axis=(2, 3)) if x.ndim == 4 else x[:, :6]
+    """Example batch model: one score per band, its sum over the patch."""
+    return x.sum(axis=(2, 3)) if x.ndim == 4 else x
 
 
 _argmax = """SELECT row, col, CAST(CASE WHEN valid THEN list_position(t, list_max(t)) - 1 ELSE -1 END AS INT) AS label FROM
@@ -225,7 +225,7 @@ _argmax = """SELECT row, col, CAST(CASE WHEN valid THEN list_position(t, list_ma
 
 
 def _predict(p: int):
-    sums = ", ".join(f"sum(b.spectrum[{i}])" for i in range(1, 7))
+    sums = ", ".join(f"sum(b.spectrum[{i}])" for i in range(1, 65))
 
     @query("predict_patches" if p > 1 else "predict_pixels", with_views(_argmax.format(sums=sums, r=p // 2), "px"))
     def run(spark, d):
@@ -257,5 +257,4 @@ def reduce_points(spark, d):
 def clean_points(spark, d):
     """Outlier removal on the spectra under the points of every layer."""
     spectra = layers.points_to_spectra(located(spark, d), V.px(spark, d))
-    narrow = spectra.select("fid", "layer", F.slice("spectrum", 1, 6).alias("spectrum"))
-    return outlier.clean_samples(narrow, "Mccv_LF", 0.2, n_splits=2, trees=10).select("layer", "fid", r6("score").alias("score"))
+    return outlier.clean_samples(spectra.select("fid", "layer", "spectrum"), "Mccv_LF", 0.2, n_splits=2, trees=10).select("layer", "fid", r6("score").alias("score"))
