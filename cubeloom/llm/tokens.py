@@ -23,13 +23,13 @@ from tokenizers import Tokenizer
 # A cut lies before an ASCII blank that follows a character no white-space definition includes.
 CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 # A space after white space is no cut.
-RUN = re.compile(r"\s ")
+RUNS = tuple(chr(i) + " " for i in range(0x3001) if chr(i).isspace())
 BREAK = re.compile(r"[\t-\r]")
 # No token holds both a letter or digit and one of these marks behind it.
 STEM = re.compile(r"([^\W_]+)([,.;:!?*%$&#|]+)\Z")
 # Letters of long-standing Latin blocks: with a space before them they are one pre-token under any Unicode version.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-CACHE_ENTRIES = 300_000  # of each of two generations
+CACHE_ENTRIES = 600_000  # of each of two generations
 
 
 def byte_characters() -> dict[int, str]:
@@ -86,13 +86,16 @@ class SegmentEncoder:
     def _learn(self, new_spaced: set[str], new_plain: set[str]) -> None:
         """Encodes what the caches lack: each distinct segment once."""
         spaced, plain = self.spaced, self.plain
-        composed, cuts = [], {}
+        composed, cuts, letters = [], {}, []
         words, marks = set(), set()
         for p in new_spaced:
             old = self.older.get(p)
             if old is not None:
                 spaced[p] = old
                 continue
+            if LETTERS.fullmatch(p):
+                letters.append(p)
+                continue
             found = STEM.match(p)
             if found:
                 word, mark = found.groups()
@@ -107,7 +110,7 @@ class SegmentEncoder:
                 words.add(p)
         marks.update(s for found in cuts.values() for s in found if s not in plain)
         marks.update(new_plain)
-        letters = [w for w in words if LETTERS.fullmatch(w)]
+        letters.extend([w for w in words if LETTERS.fullmatch(w) and w not in new_spaced])
         words.difference_update(letters)
         spaced.update(zip(letters, self._encode_letters(letters)))
         single = [w for w in words if w and not w[-1].isspace()]
@@ -143,7 +146,7 @@ class SegmentEncoder:
             if not text:
                 split.append((None, (), [], []))
                 continue
-            single = RUN.search(text) is None
+            single = not any(run in text for run in RUNS)
             if single:
                 head, *pieces = text.split(" ")
                 if head and head not in plain:
@@ -151,7 +154,7 @@ class SegmentEncoder:
             else:
                 head, pieces = None, CUT.split(text)
             found = list(map((spaced if single else plain).get, pieces))
-            missing = [i for i, f in enumerate(found) if f is None] if None in found else []
+            missing = [i for i, f in enumerate(found) if f is None]
             (new_spaced if single else new_plain).update([pieces[i] for i in missing])
             split.append((head, pieces, found, missing))
         self._learn(new_spaced, new_plain)
@@ -177,7 +180,7 @@ def release() -> None:
         gc.collect()
 
 
-def text_chunks(column: pa.Array, size: int = 2_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+def text_chunks(column: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
     """(from, to, texts) of about ``size`` bytes each, so a batch of very long texts stays small in memory."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
