@@ -92,37 +92,41 @@ def span_cells(spans: DataFrame) -> DataFrame:
     return spans.select(*rest, F.explode(F.sequence("c0", "c1")).alias("col"))
 
 
-def polygon_to_mask(edges: DataFrame, gt: geo.GeoTransform, rows: int, cols: int, fill: int = 255) -> DataFrame:
-    """labels_grid(row, col, label): the constant inside any polygon; absent pixels are outside."""
-    cells = span_cells(interior_spans(edges, gt, rows, cols))
-    return cells.select("row", "col").distinct().withColumn("label", F.lit(fill))
+def polygon_to_mask(
+    edges: DataFrame, gt: geo.GeoTransform, rows: int, cols: int, fill: int = 255, keys: Sequence[str] = ()
+) -> DataFrame:
+    """labels_grid(keys..., row, col, label): the constant inside any polygon; absent pixels are outside."""
+    cells = span_cells(interior_spans(edges, gt, rows, cols, [*keys, "fid"]))
+    return cells.select(*keys, "row", "col").distinct().withColumn("label", F.lit(fill))
 
 
 def polygon_class_mask(
-    edges: DataFrame, gt: geo.GeoTransform, rows: int, cols: int, class_column: str = "class"
+    edges: DataFrame, gt: geo.GeoTransform, rows: int, cols: int, class_column: str = "class", keys: Sequence[str] = ()
 ) -> DataFrame:
-    """class_map(row, col, label): class of every touched pixel, the last polygon wins; absent = -1."""
+    """class_map(keys..., row, col, label): class of every touched pixel, the last polygon wins; absent = -1."""
     if class_column not in edges.columns:
         raise ValueError(f"the polygon layer has no field {class_column!r}")
     if dict(edges.dtypes)[class_column] not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"field {class_column!r} must be an integer")
-    ident = ["fid", class_column]
+    ident = [*keys, "fid", class_column]
     touched = interior_spans(edges, gt, rows, cols, ident).unionByName(outline_spans(edges, gt, rows, cols, ident))
-    return span_cells(touched).groupBy("row", "col").agg(F.max_by(class_column, "fid").cast("int").alias("label"))
+    return span_cells(touched).groupBy(*keys, "row", "col").agg(F.max_by(class_column, "fid").cast("int").alias("label"))
 
 
-def polygon_clip(pixels: DataFrame, mask: DataFrame, nodata: float = 0.0) -> DataFrame:
+def polygon_clip(pixels: DataFrame, mask: DataFrame, nodata: float = 0.0, keys: Sequence[str] = ()) -> DataFrame:
     """Raw spectra inside the mask, nodata outside."""
-    marked = mask.select("row", "col", F.lit(True).alias("_in"))
+    marked = mask.select(*keys, "row", "col", F.lit(True).alias("_in"))
     blank = F.transform("spectrum", lambda _: F.lit(nodata))
-    joined = pixels.join(marked, ["row", "col"], "left")
+    joined = pixels.join(marked, [*keys, "row", "col"], "left")
     return joined.withColumn("spectrum", F.when(F.col("_in"), F.col("spectrum")).otherwise(blank)).withColumn(
         "inside", F.coalesce(F.col("_in"), F.lit(False))
     ).drop("_in")
 
 
-def polygon_positions(mask: DataFrame, cols: int, sample_num: int = 10000, seed: int = 42) -> DataFrame:
-    """Pixels of a polygon mask, at most ``sample_num`` of them, drawn by a seeded key."""
+def polygon_positions(mask: DataFrame, cols: int, sample_num: int | None = None, seed: int = 42) -> DataFrame:
+    """Pixels of a polygon mask: all of them, or ``sample_num`` drawn by a seeded key."""
+    if sample_num is None:
+        return mask.withColumn("pix", geo.flat_index(F.col("row"), F.col("col"), cols))
     index = geo.flat_index(F.col("row"), F.col("col"), cols)
     flagged = flag_first(mask.withColumn("pix", index), [], arith_key(F.col("pix"), seed), F.col("pix"), sample_num)
     return flagged.filter("selected").drop("selected")

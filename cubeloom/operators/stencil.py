@@ -406,7 +406,8 @@ def axis_weights(spark: SparkSession, size: int, count: int, method: str, name:
     return taps.select(source.alias(name), f"out_{name}", weight.alias(f"w_{name}"))
 
 
-def downsample(df: DataFrame, rows: int, cols: int, factor: float, method: str = "NEAREST", value: str = "v") -> DataFrame:
+def downsample(df: DataFrame, rows: int, cols: int, factor: float, method: str = "NEAREST", value: str = "v",
+               keys: Sequence[str] = ()) -> DataFrame:
     """Resizes to int(rows / factor) x int(cols / factor).
 
     The weights of an axis are a table of one scene side; joining it drops every source line that
@@ -417,9 +418,9 @@ def downsample(df: DataFrame, rows: int, cols: int, factor: float, method: str =
     spark = df.sparkSession
     by_row = axis_weights(spark, rows, int(rows / factor), method, "row")
     by_col = axis_weights(spark, cols, int(cols / factor), method, "col")
-    fed = df.select("row", "col", F.col(value).cast("double").alias("_v")).join(by_row, "row").join(by_col, "col")
+    fed = df.select(*keys, "row", "col", F.col(value).cast("double").alias("_v")).join(by_row, "row").join(by_col, "col")
     if method == "NEAREST":
-        return fed.select(F.col("out_row").alias("row"), F.col("out_col").alias("col"), F.col("_v").alias(value))
-    return fed.groupBy(F.col("out_row").alias("row"), F.col("out_col").alias("col")).agg(
+        return fed.select(*keys, F.col("out_row").alias("row"), F.col("out_col").alias("col"), F.col("_v").alias(value))
+    return fed.groupBy(*keys, F.col("out_row").alias("row"), F.col("out_col").alias("col")).agg(
         F.sum(F.col("_v") * F.col("w_row") * F.col("w_col")).alias(value)
     )

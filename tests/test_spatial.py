@@ -322,3 +322,27 @@ def test_canny_keeps_weak_pixels_linked_to_strong_ones(spark):
         a[5:, c] = 30 + 8 * c
     edges = to_mask(structure.canny_edge(grid_df(spark, a, kind="int"), 20, 200, 500), a.shape)
     assert edges[4:6, 8:19].any(axis=0).all() and not edges[:3].any()
+
+
+def test_scenes_do_not_merge(spark):
+    from cubeloom.operators.polygons import polygon_clip
+    from cubeloom.plans import scenes as plans
+
+    sizes = spark.createDataFrame([("a", 4), ("b", 3)], "scene_id string, rows int")
+    cells = [("a", r, c, 1) for r in (0, 1) for c in (0, 1)] + [("b", r, c, 1) for r in (0, 1, 2) for c in (0, 1)]
+    classes = spark.createDataFrame(cells, "scene_id string, row int, col int, label int")
+    regions, rings = plans.polygonize_scenes(classes, sizes, 5, GT, tile=3)
+    assert {(r["scene_id"], r["region"], r["area"], r["perimeter"]) for r in regions.collect()} == {("a", 0, 4, 8), ("b", 0, 6, 10)}
+    alone = vectorize.polygonize(classes.filter("scene_id = 'b'").drop("scene_id"), 5, GT, tile=3)[1]
+    key = ("region", "ring", "hole", "seq", "x", "y")
+    assert sorted(tuple(r[k] for k in key) for r in rings.filter("scene_id = 'b'").collect()) == sorted(tuple(r[k] for k in key) for r in alone.collect())
+    path = spark.createDataFrame([(s, 1, c) for s in "ab" for c in (1, 2, 3)], "scene_id string, row int, col int")
+    lines = plans.lines_of_scenes(path, sizes, 5, GT, tile=3).collect()
+    one = vectorize.skeleton_to_lines(path.filter("scene_id = 'a'").drop("scene_id"), 5, GT, tile=3).collect()
+    for s in "ab":
+        assert sorted((r["id"], r["seq"], r["row"], r["col"], r["y"]) for r in lines if r["scene_id"] == s) == sorted((r["id"], r["seq"], r["row"], r["col"], r["y"]) for r in one)
+    grid = classes.withColumn("v", F.when(F.col("scene_id") == "a", 1.0).otherwise(2.0))
+    assert {(r["scene_id"], r["v"]) for r in stencil.downsample(grid, 4, 2, 2, "NEAREST", keys=["scene_id"]).collect()} == {("a", 1.0), ("b", 2.0)}
+    pixels = classes.withColumn("spectrum", F.array(F.lit(5.0)))
+    clipped = polygon_clip(pixels, classes.filter("scene_id = 'a'"), keys=["scene_id"]).groupBy("scene_id").agg(F.max("inside").alias("i")).collect()
+    assert {(r["scene_id"], r["i"]) for r in clipped} == {("a", True), ("b", False)}
