@@ -54,7 +54,7 @@ class Moments:
     cov: np.ndarray
 
 
-def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()) -> DataFrame:
+def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
     """sums(keys..., i, n, s, cross): per band i the count, the sum and the row of cross products.
 
     Every input partition emits B rows of B numbers per key, whatever its size; these add up in an
@@ -104,7 +104,7 @@ def moment_sums(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (
 
     key_types = [to_arrow_type(df.schema[k].dataType) for k in keys]
     parts = df.select(*keys, vector).mapInArrow(partial, schema)
-    width = vector_width(df, vector)
+    width = vector_width(df, vector) if width is None else width
     if width == 0:
         return parts
     summed = parts.groupBy(*keys, "i").agg(
@@ -121,12 +121,13 @@ def vector_width(df: DataFrame, vector: str) -> int:
     return 0 if first is None else int(first["w"])
 
 
-def covariance(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ()) -> DataFrame:
-    """cov(keys..., i, j, n, mean_i, mean_j, cov): sample covariance in long form."""
-    sums = moment_sums(df, vector, keys)
-    long = sums.select(*keys, "i", "n", "s", F.posexplode("cross").alias("j", "c"))
-    other = sums.select(*keys, F.col("i").alias("j"), F.col("s").alias("sj"))
-    joined = long.join(other, [*keys, "j"])
+def covariance(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = (), width: int | None = None) -> DataFrame:
+    """cov(keys..., i, j, n, mean_i, mean_j, cov): sample covariance in long form, in one pass over the vectors."""
+    sums = moment_sums(df, vector, keys, width)
+    # one row per band: each gets the sums of all bands
+    bands = Window.partitionBy(*keys)
+    sums = sums.withColumn("_s", F.array_sort(F.collect_list(F.struct("i", "s")).over(bands)))
+    joined = sums.select(*keys, "i", "n", "s", "_s", F.posexplode("cross").alias("j", "c")).withColumn("sj", F.get("_s", F.col("j"))["s"])
     n = F.col("n")
     return joined.select(
         *keys,
@@ -206,9 +207,9 @@ def _moments(rows: list) -> Moments:
     return Moments(n, s / n, (cov + cov.T) / 2)
 
 
-def collect_moments(df: DataFrame, vector: str = "spectrum") -> Moments:
+def collect_moments(df: DataFrame, vector: str = "spectrum", width: int | None = None) -> Moments:
     """Moments of one group on the driver: B rows of B numbers, independent of the pixel count."""
-    rows = moment_sums(df, vector).collect()
+    rows = moment_sums(df, vector, width=width).collect()
     if not rows:
         raise ValueError("no rows to take statistics of")
     return _moments(rows)
@@ -253,11 +254,13 @@ def noise_differences(
 
 def noise_moments(df: DataFrame, direction: str = "lowerright", **kw) -> Moments:
     """Noise statistics: moments of the differences with the covariance halved."""
-    m = collect_moments(noise_differences(df, direction, **kw), "delta")
+    width = vector_width(df, kw.get("vector", "spectrum"))  # of the input, not of the differences
+    m = collect_moments(noise_differences(df, direction, **kw), "delta", width)
     return Moments(m.n, m.mean, m.cov / 2.0)
 
 
 def noise_covariance(df: DataFrame, direction: str = "lowerright", **kw) -> DataFrame:
     """Long form of :func:`noise_moments`."""
-    cov = covariance(noise_differences(df, direction, **kw), "delta")
+    width = vector_width(df, kw.get("vector", "spectrum"))
+    cov = covariance(noise_differences(df, direction, **kw), "delta", width=width)
     return cov.withColumn("cov", F.col("cov") / 2.0)
