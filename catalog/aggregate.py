@@ -57,6 +57,15 @@ def pca(spark, d):
     return scored.select("pix", F.posexplode("scores").alias("component", "_v")).select("pix", "component", r6("_v").alias("score"))
 
 
+@query("pca_total_variance", with_views(
+    "SELECT CAST(max(n) AS BIGINT) AS n, round(sum(v), 6) AS total FROM (SELECT band, count(*) AS n, var_samp(v) AS v FROM lv GROUP BY band)", "lv"))
+def pca_total_variance(spark, d):
+    """All components together carry the variance of all bands."""
+    scores = reduce.pca(valid(spark, d), V.BANDS).select(F.posexplode("scores").alias("component", "v"))
+    by_component = scores.groupBy("component").agg(F.count("*").alias("n"), F.var_samp("v").alias("v"))
+    return by_component.agg(F.max("n").alias("n"), r6(F.sum("v")).alias("total"))
+
+
 @query("mnf")
 def mnf(spark, d):
     scored = reduce.mnf(V.px(spark, d), 5)
@@ -127,6 +136,14 @@ def dist_mahalanobis(spark, d):
     return reduce.dist_mahalanobis(valid(spark, d)).select("pix", r6("distance").alias("distance"))
 
 
+@query("mahalanobis_total", with_views(
+    "SELECT count(*) AS n, CAST((count(*) - 1) * least(64, count(*) - 1) AS DOUBLE) AS total FROM px WHERE valid", "px"))
+def mahalanobis_total(spark, d):
+    """The squared distances of all pixels sum to (pixels - 1) times the rank of the covariance."""
+    far = reduce.dist_mahalanobis(valid(spark, d))
+    return far.agg(F.count("*").alias("n"), F.round(F.sum(F.col("distance") * F.col("distance")), 3).alias("total"))
+
+
 # --- superpixels ---
 
 _stats = "SELECT seg, any_value(n) AS area, sum(vp) AS var_sum FROM (SELECT seg, i, count(*) AS n, var_pop(spectrum[i]) AS vp FROM (SELECT *, unnest(range(1, 65)) AS i FROM seg) GROUP BY seg, i) GROUP BY seg"
