@@ -32,6 +32,7 @@ HOT_SHARE = 0.02
 BUCKET_SHINGLES = 1_000_000
 LEAST_BUCKETS = 48
 SEEN = 200_000
+BEFORE = 3
 CHUNK_BYTES = 4_000_000
 HOT_DF = (1 << 31) - 1
 LOW48 = np.uint64((1 << 48) - 1)
@@ -130,8 +131,8 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
                     for b in range(buckets):
                         mine, warm = packed[edges[b] : edges[b + 1]], is_hot[edges[b] : edges[b + 1]]
                         if len(mine) or b == head_at:
-                            top = sizes.astype(np.int64).tobytes() if b == head_at else b""
-                            rows.append((b, ref, mine[~warm].tobytes(), mine[warm].tobytes(), heads.tobytes(), top))
+                            top = (heads.tobytes(), sizes.astype(np.int64).tobytes()) if b == head_at else (b"", b"")
+                            rows.append((b, ref, mine[~warm].tobytes(), mine[warm].tobytes(), *top))
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])],
@@ -143,24 +144,20 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
         own = {name: group.column(name).to_pylist() for name in group.column_names}
         rare = [np.frombuffer(x, np.uint64) for x in own["rare"]]
         values = np.concatenate(rare)
-        owner = (values >> np.uint64(48)).astype(np.int64)
-        where = np.repeat(np.array(own["ref"], np.int64), [len(x) for x in rare]) | owner
-        classes = np.concatenate([np.frombuffer(h, np.int64)[o] for h, o in zip(own["heads"], np.split(owner, np.cumsum([len(x) for x in rare])[:-1]))])
+        where = np.repeat(np.array(own["ref"], np.int64), [len(x) for x in rare]) | (values >> np.uint64(48)).astype(np.int64)
         names = values & LOW48
-        order = np.lexsort((classes, names))
-        names, where, classes = names[order], where[order], classes[order]
-        new_name = np.append(True, names[1:] != names[:-1])[: len(names)]
-        new_pair = new_name | np.append(True, classes[1:] != classes[:-1])[: len(names)]
-        first = np.flatnonzero(new_name)
+        order = np.argsort(names, kind="stable")
+        names, where = names[order], where[order]
+        first = np.flatnonzero(np.append(True, names[1:] != names[:-1])[: len(names)])
         lengths = np.diff(np.append(first, len(names)))
-        # equal sets count once
-        runs = np.repeat(np.add.reduceat(new_pair.astype(np.int64), first) if len(first) else first, lengths)
+        # equal sets of different tasks count one by one: the order stays the same for all, and only what no other set holds is left out
+        runs = np.repeat(lengths, lengths)
         keep = runs > 1
         refs.append(where[keep]), shingle.append(names[keep].astype(np.int64)), df.append(runs[keep])
         for ref, warm, heads, sizes in zip(own["ref"], own["warm"], own["heads"], own["sizes"]):
             w = np.frombuffer(warm, np.uint64)
             refs.append(ref | (w >> np.uint64(48)).astype(np.int64)), shingle.append((w & LOW48).astype(np.int64)), df.append(np.full(len(w), HOT_DF))
-            h = np.frombuffer(heads if sizes else b"", np.int64)
+            h = np.frombuffer(heads, np.int64)
             refs.append(ref | np.arange(len(h))), shingle.append(h), df.append(-np.frombuffer(sizes, np.int64))
         return pa.table([pa.array(np.concatenate(refs), pa.int64()), pa.array(np.concatenate(df), pa.int64()), pa.array(np.concatenate(shingle), pa.int64())],
                         names=["ref", "df", "shingle"])
@@ -200,12 +197,13 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
 
     leads = F.slice("shingles", F.lit(1), F.col("lead"))
     lists = sets.select("ref", "n", "alone", leads.alias("leads"), F.posexplode(leads).alias("at", "shingle"))
+    # the few shingles before this one tell most pairs that an earlier list has made
+    before = F.slice("leads", F.greatest(F.col("at") - BEFORE + 1, F.lit(1)), F.least(F.col("at"), F.lit(BEFORE)))
+    lists = lists.withColumn("before", before).drop("leads")
     central = F.struct((F.col("alone") / F.col("n")).alias("own"), "ref", "n")
     hubs = lists.groupBy("shingle").agg(F.count("*").alias("m"), F.min(central).alias("hub")).filter("m > 1")
     lists = lists.join(hubs.select("shingle", "m", F.col("hub.ref").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle")
-    # the shingles before this one, for lists that are compared pair by pair
-    before = F.when(F.col("m") > 2, F.slice("leads", F.lit(1), F.col("at")))
-    lists = written(lists.withColumns({"place": F.col("alone") + F.col("at"), "before": before}).drop("at", "leads"), "lists")
+    lists = written(lists.withColumn("place", F.col("alone") + F.col("at")).drop("at"), "lists")
 
     # every set of a list with the list's most central set
     hub_pairs = lists.filter((F.col("ref") != F.col("hub")) & _long_enough(F.col("n"), F.col("hub_n"), percent))
@@ -236,7 +234,7 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     ahead = (F.col("x_n") < F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_ref") < F.col("y_ref")))
     left = x.join(y, ["shingle", "block"]).filter(
         ahead & (F.col("x_root") != F.col("y_root")) & _long_enough(F.col("x_n"), F.col("y_n"), percent) & (reach * (100 + percent) >= need) & bound
-        & ~F.arrays_overlap("x_before", "y_before")  # a pair is made in the first list it shares
+        & ~F.arrays_overlap("x_before", "y_before")  # made in an earlier list: a similar pair passes every bound there as well
     )
     left = left.select(F.greatest("x_ref", "y_ref").alias("a"), F.least("x_ref", "y_ref").alias("b")).distinct()
     left = left.join(tried.select("a", "b"), ["a", "b"], "left_anti")
