@@ -50,11 +50,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs).select(*docs.columns)
 
 
+#: Words a worker keeps; fewer than when packing runs alone, as the stages before leave their memory in use.
+WORDS = 250_000
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship_package(spark)
-    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=WORDS)
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]

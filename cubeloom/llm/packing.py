@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import encoder, text_chunks
+from cubeloom.llm.tokens import CACHE_ENTRIES, encoder, text_chunks
 
 MAX_LEN = 2048
 END_ID = 1
@@ -57,7 +57,8 @@ def shortest_pack_first(histogram: Mapping[int, int], max_len: int) -> list[tupl
     return placed
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID,
+                  entries: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces of at most ``max_len`` ids of every document; ``ids`` holds little-endian unsigned 32-bit numbers.
 
     Null and empty texts are the end id alone. ``part`` and ``nth`` number equal lengths within a task; the table
@@ -65,7 +66,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_i
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, entries).ids
         part = TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         end = int(end_id).to_bytes(4, "little")
@@ -122,9 +123,9 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int =
     return place(cut_documents(docs, tokenizer, max_len, end_id), max_len)
 
 
-def packed_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
+def packed_digest(docs: DataFrame, tokenizer: str, entries: int = CACHE_ENTRIES) -> DataFrame:
     """The placement of every piece with a checksum of its ids instead of the ids."""
-    pieces = cut_documents(docs, tokenizer).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = cut_documents(docs, tokenizer, entries=entries).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return place(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -168,9 +168,9 @@ class SegmentEncoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> SegmentEncoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> SegmentEncoder:
     """The encoder of this Python worker."""
-    return SegmentEncoder(path)
+    return SegmentEncoder(path, entries)
 
 
 def release() -> None:
