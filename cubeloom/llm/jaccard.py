@@ -87,7 +87,12 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "kind int, doc_id long, n long, cid long")
 
 
-def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int = WORDS) -> DataFrame:
+def only_equal(size: int, percent: int) -> bool:
+    """Whether no other set, not even one with a single shingle more, is similar enough to a set of this size."""
+    return 100 * size < percent * (size + 1)
+
+
+def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """ref, df, shingle: the shingles that two sets or more hold; df -n marks a set's head row, whose shingle is its class."""
     told = docs.sparkSession.sparkContext.broadcast(hot)  # bounded by mean set size / HOT_SHARE
 
@@ -102,8 +107,7 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
                     sets, names = [], []
                     for text in texts[low : low + 60_000]:
                         found = shingles(text, words)
-                        # below six shingles only equal sets are similar enough
-                        if len(found) < 6 or (name := class_of(found)) in seen:
+                        if only_equal(len(found), percent) or (name := class_of(found)) in seen:
                             continue
                         if len(seen) >= SEEN:
                             seen.clear()
@@ -185,7 +189,7 @@ def link_classes(docs: DataFrame, described: DataFrame, words: int = WORDS, perc
     total, sets_ = described.filter("kind = 0 AND n > 0").agg(F.sum("n"), F.count("*")).first()
     hot = hot_rows.filter(F.col("n") >= HOT_SHARE / 2 * (sets_ or 0)).select("cid").toPandas()["cid"].to_numpy(np.int64)
     buckets = max(LEAST_BUCKETS, int(total or 0) // BUCKET_SHINGLES)
-    rows = written(shared_shingles(docs, np.sort(hot.view(np.uint64)), buckets, words), "shared-shingles")
+    rows = written(shared_shingles(docs, np.sort(hot.view(np.uint64)), buckets, words, percent), "shared-shingles")
     heads = rows.filter("df < 0").groupBy(F.col("shingle").alias("cid")).agg(F.min("ref").alias("ref"), F.max(-F.col("df")).alias("n"))
     own = rows.filter("df > 0").join(heads, "ref")
     ordered = F.array_sort(F.collect_list(F.struct("df", "shingle")))

@@ -175,6 +175,19 @@ def test_jaccard_matches_brute_force(spark, edge_docs, no_docs):
     assert jaccard.similar_documents(no_docs).count() == 0
 
 
+def test_small_sets_link_below_85_percent(spark):
+    """At 80 %: 4 of 5 and 5 of 6 shingles link, 3 of 4 do not; the limit follows the percentage."""
+    def text(name, count, words):
+        return " ".join(f"{name}{i}" for i in range(count + words - 1))
+
+    for words in (4, 5):
+        texts = [text("a", 4, words), text("a", 5, words), text("b", 5, words), text("b", 6, words), text("c", 3, words), text("c", 4, words)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df, words, 80).collect()}
+        assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert [jaccard.only_equal(n, 85) for n in range(1, 9)] == [True] * 5 + [False] * 3
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, i) for i in range(200, 260)] + [(1, 1), (300, 301), (301, 300), (259, 139), (400, 398), (400, 399)]
     got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
