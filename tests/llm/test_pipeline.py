@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, and on documents with nulls and repeated rows."""
 
 import os
+import random
 import re
 
 import pytest
@@ -38,6 +39,39 @@ def test_one_document_of_each_group_stays(spark, docs):
     assert kept.columns == docs.columns
 
 
+def brute_near_copies(texts):
+    """doc_id of the smallest document that each one is linked with by 5-word shingles at 0.8."""
+    sets = {}
+    for i, text in texts.items():
+        w = text.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    return least
+
+
+def test_near_copies_go_by_five_words_at_80_percent(spark):
+    base = [f"word{i}" for i in range(500)]
+    far, near = list(base), list(base)
+    for k in range(12):
+        far[20 + 40 * k] = f"far{k}"
+    for k in range(11):  # 441 of 551 shingles of five words, 453 of 541 of four words
+        near[20 + 40 * k] = f"near{k}"
+    texts = {1: " ".join(base), 2: " ".join(near), 3: " ".join(far), 4: " ".join(f"a{i}" for i in range(8)), 5: " ".join(f"a{i}" for i in range(9)), 6: "b c d"}
+    rng = random.Random(4)
+    for i in range(7, 47):
+        w = texts[rng.choice([1, 4, 5, 6, *range(7, i)])].split()
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"r{rng.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_copies(spark, df, FOLDER).collect()}
+    assert kept == set(brute_near_copies(texts).values()) and 2 not in kept and 3 in kept and 5 not in kept
+
+
 def test_secrets_are_masked_in_place(spark, docs):
     before, after = texts(docs), texts(corpus_pipeline.secrets(spark, docs, FOLDER))
     assert before.keys() == after.keys()
