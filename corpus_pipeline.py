@@ -3,7 +3,7 @@
 quality       documents that the co-trained classifier rejects go
 near_copies   of each group of documents linked by 5-word shingles at 80 % one stays, the one with the smallest doc_id
 secrets       secrets and linked credential parts are masked in place
-mixture       sources are mixed to their target weights; documents repeat or pause as the weights ask
+mixture       sources are mixed to their target weights; documents repeat or pause as the weights ask; rows come shard by shard, shuffled inside
 packing       the mixture is cut and packed into sequences of 2048 tokens
 """
 
@@ -50,6 +50,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows keep the order of mix(): whole shards in a partition, each by its places."""
     ship_package(spark)
     return mix(docs).select(*docs.columns)
 

@@ -189,25 +189,46 @@ def draw(docs: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:
     return joined.withColumn("_times", times).withColumn("draws", taken).drop("sid", "block", "blocks", "passes", "cutoff", "units", "_times")
 
 
+def mixed_rows(docs: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:
+    """The rows that ``plan`` takes, with shard and place: a partition holds whole shards, each in the order of its places."""
+    rows = draw(docs, plan, seed).select(*[docs[c] for c in docs.columns], "_key", F.explode("draws").alias("_draw"))
+    order = mixed_key(seed + 1, F.col("_draw")["pass"], "_key")
+    rows = rows.select(*docs.columns, F.col("_draw")["shard"].alias("shard"), order.alias("_order"))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("_order"))  # a shard has a bounded number of blocks
+    # the sort needs shard and place, so the rows are dealt and shuffled even where a caller drops both columns
+    return rows.withColumn("place", place).drop("_order").sortWithinPartitions("shard", "place")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = SEED, block_words: int = BLOCK_WORDS,
         blocks_per_shard: int = BLOCKS_PER_SHARD) -> DataFrame:
-    """The mixed rows (documents repeat as often as they are drawn) with shard and place in the shard.
+    """The mixed rows (documents repeat as often as they are drawn) with shard and place in the shard, dealt and sorted by them.
 
     Null texts have size 0; a source of size 0 has target 0; a null source is a source of its own, null ids are kept; repeated rows are
     rows and are taken alike; an empty table gives no rows. Extra columns are carried along; a column named like
     one this operator adds would clash, so pass the columns you need.
     """
-    plan = make_plan(docs, weights, seed, block_words, blocks_per_shard)
-    rows = draw(docs, plan, seed).select(*[docs[c] for c in docs.columns], "_key", F.explode("draws").alias("_draw"))
-    order = mixed_key(seed + 1, F.col("_draw")["pass"], "_key")
-    rows = rows.select(*docs.columns, F.col("_draw")["shard"].alias("shard"), order.alias("_order"))
-    place = F.row_number().over(Window.partitionBy("shard").orderBy("_order"))  # a shard has a bounded number of blocks
-    return rows.withColumn("place", place).drop("_order")
+    return mixed_rows(docs, make_plan(docs, weights, seed, block_words, blocks_per_shard), seed)
+
+
+def taken_words(docs: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken per row of doc_id, source, text: the words that the mixed rows hold of it, 0 if not drawn.
+
+    The mixed rows are made and written, and the words are counted in their texts; repeated rows share what is found of them.
+    """
+    row = ("doc_id", "source", "_key")
+    mixed = written(mixed_rows(docs.select("doc_id", "source", "text"), plan, seed), "mixed")
+    found = keyed(mixed, seed).groupBy(*[F.col(c).alias(f"_m_{c}") for c in row]).agg(F.sum("_size").alias("_words"))
+    every = _with_sources(keyed(docs, seed).select(*row, "_size"), plan.sources, plan.rows)
+    every = every.groupBy(*row, "_size", "source_size", "target").agg(F.count("*").alias("_copies"))
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in row]
+    joined = every.join(found, same[0] & same[1] & same[2], "left")
+    taken = F.coalesce(F.expr("_words div _copies"), F.lit(0)).cast("long")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    rows = joined.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"), each.alias("_copy"))
+    return rows.drop("_copy")
 
 
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    drawn = draw(docs, make_plan(docs))
-    taken = (F.col("_size") * F.size("draws")).cast("long")
-    return drawn.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken.alias("taken"))
+    return taken_words(docs, make_plan(docs))

@@ -7,7 +7,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from cubeloom.llm import credentials, jaccard, quality
+from cubeloom.llm import credentials, jaccard, mixing, quality
+from cubeloom.llm.common import work_path
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
@@ -91,6 +92,18 @@ def test_mixture_repeats_documents_whole(spark, docs):
     assert max(times.values()) <= 3
 
 
+def test_mixture_rows_follow_shard_and_place(spark, docs):
+    rows = mixing.mix(docs).select("doc_id", "shard", "place").collect()
+    want = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["place"]))]
+    stage = corpus_pipeline.mixture(spark, docs, FOLDER)
+    path = work_path(spark, "mixture-test")
+    stage.write.parquet(path)
+    got = [r["doc_id"] for r in spark.read.parquet(path).coalesce(1).collect()]
+    shards = {r["doc_id"]: r["shard"] for r in rows}
+    assert len(set(shards.values())) > 1 or got == want
+    assert sorted(got) == sorted(want) and got != [r["doc_id"] for r in docs.collect() for _ in range(want.count(r["doc_id"]))]
+
+
 def test_the_whole_run(spark, docs):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     ends = {}

@@ -129,6 +129,29 @@ def test_mixing_meets_its_targets(spark, edge_docs, no_docs):
     assert mixing.draw(plain, mixing.make_plan(plain)).count() == edge_docs.count()
 
 
+def test_mixed_rows_are_made_dealt_and_counted(spark, edge_docs):
+    docs = spark.range(600).select(
+        F.when(F.col("id") % 50 > 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 13 + 1).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 10 == 1, "small").otherwise(F.lit(None)).alias("source"),
+    )
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))  # repeated rows
+    mixed = mixing.mix(docs, block_words=100, blocks_per_shard=4)
+    # dropping both columns keeps the order: shards stay whole and their places in a row
+    rows = mixed.select("shard", "place", F.spark_partition_id().alias("task")).collect()
+    assert len({r["shard"] for r in rows}) > 3 and len({(r["shard"], r["task"]) for r in rows}) == len({r["shard"] for r in rows})
+    assert all(b["place"] == (a["place"] + 1 if a["shard"] == b["shard"] else 1) for a, b in zip(rows, rows[1:]))
+    assert "Window" in mixed.select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    plan = mixing.make_plan(docs, block_words=100, blocks_per_shard=4)
+    made = len(spark.sparkContext._cubeloom_work)
+    got = sorted(map(str, mixing.taken_words(docs, plan).collect()))
+    assert [p for p in spark.sparkContext._cubeloom_work[made:] if "/mixed-" in p]
+    drawn = mixing.draw(docs, plan)
+    taken = (F.col("_size") * F.size("draws")).cast("long").alias("taken")
+    assert got == sorted(map(str, drawn.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken).collect()))
+    plain = edge_docs.drop(*CLASH)
+    assert mixing.taken_words(plain, mixing.make_plan(plain)).count() == edge_docs.count()
+
+
 def brute_components(texts, percent=85):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
