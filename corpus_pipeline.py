@@ -4,7 +4,7 @@ quality       documents that the co-trained classifier rejects go
 near_copies   of each group of documents linked by 5-word shingles at 80 % one stays, the one with the smallest doc_id
 secrets       secrets and linked credential parts are masked in place
 mixture       sources are mixed to their target weights; documents repeat or pause as the weights ask; rows come shard by shard, shuffled inside
-packing       the mixture is cut and packed into sequences of 2048 tokens
+packing       the mixture is cut and packed into sequences of 2048 tokens; the rows hold the token ids and their places
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from cubeloom.llm.common import query, table, work_path
 from cubeloom.llm.credentials import mask_secrets
 from cubeloom.llm.jaccard import similar_documents
 from cubeloom.llm.mixing import mix
-from cubeloom.llm.packing import packed_digest
+from cubeloom.llm.packing import pack
 from cubeloom.llm.quality import keep_good
 from cubeloom.session import ship_package
 
@@ -63,7 +63,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship_package(spark)
-    return packed_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=WORDS)
+    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=WORDS)
+    return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]

@@ -114,13 +114,13 @@ def place(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID, entries: int = CACHE_ENTRIES) -> DataFrame:
     """Packed pieces: doc_id, start, length, doc_tokens, ids (binary), sequence_id, offset.
 
     A null or empty text is packed as its end id; a null doc_id is kept; repeated rows are packed one by one; an
     empty table gives no rows; columns besides doc_id and text are not read.
     """
-    return place(cut_documents(docs, tokenizer, max_len, end_id), max_len)
+    return place(cut_documents(docs, tokenizer, max_len, end_id, entries), max_len)
 
 
 def packed_digest(docs: DataFrame, tokenizer: str, entries: int = CACHE_ENTRIES) -> DataFrame:

@@ -113,6 +113,23 @@ def test_the_whole_run(spark, docs):
     assert rows and max(ends.values()) <= 2048
 
 
+def test_the_packed_rows_hold_the_tokens(spark, docs):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    some = docs.orderBy("doc_id").limit(40)
+    rows = corpus_pipeline.packing(spark, some, FOLDER).collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    before = texts(some)
+    found = {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and len(found.get(r["doc_id"], [])) == r["start"]
+        found[r["doc_id"]] = found.get(r["doc_id"], []) + ids
+    assert found == {i: [*whole.encode(t, add_special_tokens=False).ids, 1] for i, t in before.items()}
+
+
 def test_stages_bear_odd_rows(spark, edge_docs, no_docs):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         plain = edge_docs.select("doc_id", "text", "lang", "source", "n_chars")
