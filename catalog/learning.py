@@ -168,7 +168,7 @@ def isolation_forest(spark, d):
 
 @query("mc_isolation")
 def mc_isolation(spark, d):
-    return outlier.mc_isolation(layered(spark, d), 5, trees=20).select("layer", "fid", r6("score").alias("score"))
+    return outlier.mc_isolation(layered(spark, d)).select("layer", "fid", r6("score").alias("score"))
 
 
 @query("clean_samples")
@@ -201,7 +201,7 @@ def svm_classifier(spark, d):
 def grid_search(spark, d):
     data = training(spark, d)
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42)
-    best = classify.grid_search(data, forest, {"numTrees": [5, 10], "maxDepth": [3, 6]}, "pix")
+    best = classify.grid_search(data, forest, classify.FOREST_GRID, "pix")
     scored = best.transform(classify.with_features(data))
     return scored.select("pix", F.col("prediction").cast("int").alias("label"))
 
@@ -257,4 +257,4 @@ def reduce_points(spark, d):
 def clean_points(spark, d):
     """Outlier removal on the spectra under the points of every layer."""
     spectra = layers.points_to_spectra(located(spark, d), V.px(spark, d))
-    return outlier.clean_samples(spectra.select("fid", "layer", "spectrum"), "Mccv_LF", 0.2, n_splits=2, trees=10).select("layer", "fid", r6("score").alias("score"))
+    return outlier.clean_samples(spectra.select("fid", "layer", "spectrum"), "Mccv_LF", 0.2).select("layer", "fid", r6("score").alias("score"))

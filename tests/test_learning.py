@@ -1,12 +1,17 @@
+import inspect
+import os
+
 import numpy as np
 import pytest
 from helpers import cube_df
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling
 from cubeloom.plans import sampling as plans
 
+FOLDER = "/root/testdata/sf0.001"
 GT = (100.0, 10.0, 0.0, 200.0, 0.0, -10.0)
 
 
@@ -322,3 +327,27 @@ def test_reduced_points_carry_their_key(spark):
     assert [(r["emb_idx"], r["fid"]) for r in got] == [(1, 5), (2, 9)]
     scores = {r["pix"]: r["scores"] for r in reduce.pca(cube_df(spark, cube), 2).collect()}
     assert np.allclose(got[1]["v"], scores[7])
+
+
+class Asked(Exception):
+    """Carries what a query asks of its operator."""
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
+@pytest.mark.parametrize("name, module, operator", [("mc_isolation", outlier, "mc_isolation"), ("clean_points", outlier, "mc_isolation"), ("grid_search", classify, "grid_search")])
+def test_registered_queries_do_the_whole_work(spark, monkeypatch, name, module, operator):
+    sizes = inspect.signature(getattr(module, operator))
+
+    def asked(*args, **named):
+        full = sizes.bind(*args, **named)
+        full.apply_defaults()
+        raise Asked(full.arguments)
+
+    monkeypatch.setattr(module, operator, asked)
+    with pytest.raises(Asked) as found:
+        entry.queries()[name](spark, FOLDER)
+    got = found.value.args[0]
+    if name == "grid_search":
+        assert got["grid"] == classify.FOREST_GRID and got["folds"] == 3
+    else:
+        assert (got["n_splits"], got["trees"]) == (1000, 100)
