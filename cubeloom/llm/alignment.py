@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
-import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import byte_characters, encoder
+from cubeloom.llm.tokens import RUNS, encoder, token_cuts
 
 # Both sides end a token between a character that is not white space and a space.
 CLOSE = re.compile(r"(?<=\S)(?= )")
@@ -40,21 +39,14 @@ CHUNK_BYTES = 1 << 16
 #: Fragments that one step of the tree composes.
 FAN_IN = 8
 #: Segments that a worker keeps of each of two generations.
-SEGMENTS = 150_000
+SEGMENTS = 200_000
 #: An id pair that this share of the documents hold is looked up in the tasks; 1 / HOT_SHARE times the mean number of a document's pairs bounds them.
 HOT_SHARE = 1 / 500
 
 
-@dataclass(slots=True)
-class Segment:
-    """What a worker keeps of a segment: ids of both sides, groups as text, linked pairs."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    pairs: bytes  # one little-endian 64-bit number a << 32 | b for each link
-    whole: bool  # the pieces' bytes are the segment's bytes
+#: What a worker keeps of a segment: tokens of both sides, groups, the groups as text, linked pairs (one little-endian 64-bit number
+#: a << 32 | b for each link), and whether the pieces' bytes are the segment's bytes.
+Segment = tuple[int, int, int, str, bytes, bool]
 
 
 class Aligner:
@@ -63,44 +55,67 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str, segments: int = SEGMENTS):
         self.a = encoder(a_path, 1)  # its words are not kept twice
         self.b = SentencePieceProcessor(model_file=b_path)
-        characters = {c: b for b, c in byte_characters().items()}
-        special = {t["id"]: t["content"].encode() for t in json.loads(self.a.tokenizer.to_str())["added_tokens"]}
-        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=True)
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
-        for token, i in vocabulary.items():
-            self.a_bytes[i] = special[i] if i in special else bytes(characters[c] for c in token)
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
             for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size()))
         ]
         if any(re.search(f"[^{MARK}]{MARK}", self.b.id_to_piece(i)) for i in range(self.b.vocab_size()) if not self.b.is_control(i)):
             raise ValueError("a piece of the second vocabulary runs over a space")
-        self.a_sizes = np.array([len(t) for t in self.a_bytes], np.int64)
+        self.a_sizes = self.a.sizes
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
         self.blank = self.b.piece_to_id(MARK)
+        # an id as text with what may follow it in a group
+        self.a_texts, self.b_texts = (
+            [np.array([f"{i}{mark}" for i in range(n)], object) for mark in marks]
+            for n, marks in ((len(self.a_sizes), ",|"), (len(self.b_sizes), ",;"))
+        )
         self.segments = segments
         self.known: dict[str, Segment] = {}
         self.older: dict[str, Segment] = {}
 
-    def tokens(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; each segment begins with the space that the piece model adds by itself."""
+    def joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides and their number in each segment, for segments that end in no white space.
+
+        Many are encoded in one text, and its ids are parted by their bytes. The piece model adds the first space by itself.
+        """
+        sides = []
+        bare = [s[1:] for s in segments]
+        for sizes, size in ((self.a_sizes, 1024), (self.b_sizes, 16)):
+            parts = [bare[at : at + size] for at in range(0, len(bare), size)]
+            texts = [" ".join(p) for p in parts]
+            if size == 16:
+                found = self.b.encode(texts, num_threads=1)
+            else:
+                found = [f.ids for f in self.a.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(found), np.int64)
+            sides += [ids, np.diff(token_cuts(ids, sizes, bare), prepend=0)]
+        return tuple(sides)
+
+    def single(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for any segments, one by one."""
         left = [f.ids for f in self.a.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        right = self.b.encode([s[1:] for s in segments], num_threads=1)
-        return left, [ids or [self.blank] for ids in right]
+        right = [ids or [self.blank] for ids in self.b.encode([s[1:] for s in segments], num_threads=1)]
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
+        return a, np.array([len(x) for x in left]), b, np.array([len(x) for x in right])
 
     def learn(self, segments: list[str]) -> None:
         """Aligns segments that are not known yet."""
-        for at in range(0, len(segments), 4096):
-            part = segments[at : at + 4096]
-            for s, found in zip(part, self._align(part)):
-                self.known[s] = found
-
-    def _align(self, segments: list[str]) -> list[Segment]:
-        left, right = self.tokens(segments)
-        n_a, n_b = (np.array([len(x) for x in side]) for side in (left, right))
-        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (left, right))
-        whole = [b"".join([self.b_bytes[i] for i in ids]) == s.encode() for s, ids in zip(segments, right)]
-        sizes = np.array([len(s.encode()) for s in segments])
+        together = [s for s in segments if not s[-1].isspace() and MARK not in s]
+        others = [s for s in segments if s[-1].isspace() or MARK in s]
+        for part, encode in ((together, self.joined), (others, self.single)):
+            for at in range(0, len(part), 8192):
+                some = part[at : at + 8192]
+                self.known.update(zip(some, self._align(some, *encode(some))))
+
+    def _align(self, segments: list[str], a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Segment]:
+        sizes = np.fromiter(map(len, map(str.encode, segments)), np.int64, len(segments))
+        covered = np.concatenate([[0], np.cumsum(self.b_sizes[b])])[np.cumsum(n_b)]
+        if np.array_equal(covered, np.cumsum(sizes)) and b"".join([self.b_bytes[i] for i in b.tolist()]) == "".join(segments).encode():
+            whole = [True] * len(segments)
+        else:
+            stops = np.cumsum(n_b).tolist()
+            ids = b.tolist()
+            whole = [b"".join([self.b_bytes[i] for i in ids[x:y]]) == s.encode() for s, x, y in zip(segments, [0, *stops], stops)]
         # a segment whose pieces differ from it would shift what follows: such segments get no groups
         keep_a, keep_b = np.repeat(whole, n_a), np.repeat(whole, n_b)
         a, b = a[keep_a], b[keep_b]
@@ -108,7 +123,8 @@ class Aligner:
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         if len(ends_a) and ends_a[-1] != sizes.sum():
             raise ValueError("the first vocabulary does not keep every byte")
-        closes = np.intersect1d(ends_a, ends_b)
+        spot = np.minimum(np.searchsorted(ends_b, ends_a), max(len(ends_b) - 1, 0))
+        closes = ends_a[ends_b[spot] == ends_a] if len(ends_b) else ends_a
         group_a, group_b = np.searchsorted(closes, ends_a), np.searchsorted(closes, ends_b)
         count_a, count_b = np.bincount(group_a, minlength=len(closes)), np.bincount(group_b, minlength=len(closes))
         # every first-side token meets all second-side tokens of its group
@@ -120,22 +136,22 @@ class Aligner:
         last_group = np.searchsorted(closes, stops, "right")
         links = np.concatenate([[0], np.cumsum(count_a * count_b)])
         bytes_of = pairs.tobytes()
-        to_a, to_b = np.cumsum(count_a).tolist(), np.cumsum(count_b).tolist()
-        words_a, words_b = [str(i) for i in a.tolist()], [str(i) for i in b.tolist()]
-        texts = []
-        at_a = at_b = 0
-        for next_a, next_b in zip(to_a, to_b):
-            if next_a == at_a + 1 and next_b == at_b + 1:
-                texts.append(f"{words_a[at_a]}|{words_b[at_b]}")
-            else:
-                texts.append(f"{','.join(words_a[at_a:next_a])}|{','.join(words_b[at_b:next_b])}")
-            at_a, at_b = next_a, next_b
-        out = []
-        first = 0
-        for ok, x, y, last in zip(whole, n_a.tolist(), n_b.tolist(), last_group.tolist()):
-            out.append(Segment(x, y, last - first, ";".join(texts[first:last]), bytes_of[8 * links[first] : 8 * links[last]], ok))
-            first = last
-        return out
+        # the text of a group is a1,a2|b1,b2 and a mark that parts it from the next
+        tokens = np.empty(len(a) + len(b), object)
+        begin_a = np.cumsum(count_a) - count_a
+        last_a = np.arange(len(a)) + 1 == (begin_a + count_a)[group_a]
+        last_b = np.arange(len(b)) + 1 == (begin_b + count_b)[group_b]
+        tokens[np.arange(len(a)) + begin_b[group_a]] = np.where(last_a, self.a_texts[1][a], self.a_texts[0][a])
+        tokens[np.arange(len(b)) + (begin_a + count_a)[group_b]] = np.where(last_b, self.b_texts[1][b], self.b_texts[0][b])
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))])
+        ends = ends[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        text = "".join(tokens.tolist())
+        n_groups = np.diff(last_group, prepend=0).tolist()
+        cuts = (8 * links[np.concatenate([[0], last_group])]).tolist()
+        return [
+            (x, y, n, text[i : j - 1] if j > i else "", bytes_of[v:w], ok)
+            for x, y, n, i, j, v, w, ok in zip(n_a.tolist(), n_b.tolist(), n_groups, ends, ends[1:], cuts, cuts[1:], whole)
+        ]
 
     def align(self, texts: list[list[str]]) -> list[list[Segment]]:
         """Segments of each text."""
@@ -145,16 +161,15 @@ class Aligner:
             if len(self.known) > self.segments:
                 self.older, self.known = self.known, {}
             known = self.known
-            missing: dict[str, None] = {}
-            for pieces in texts:
-                for p in pieces:
-                    if p not in known:
-                        old = self.older.get(p)
-                        if old is None:
-                            missing[p] = None
-                        else:
-                            known[p] = old
-            self.learn(list(missing))
+            fresh = {p for pieces in texts for p in pieces if p not in known}
+            missing = []
+            for p in fresh:
+                old = self.older.get(p)
+                if old is None:
+                    missing.append(p)
+                else:
+                    known[p] = old
+            self.learn(missing)
             return [[known[p] for p in pieces] for pieces in texts]
         finally:
             if collecting:
@@ -167,6 +182,13 @@ def aligner(a_path: str, b_path: str, segments: int = SEGMENTS) -> Aligner:
     return Aligner(a_path, b_path, segments)
 
 
+def segments_of(text: str) -> list[str]:
+    """The segments of a whole text that begins with a space."""
+    if any(run in text for run in RUNS):
+        return CLOSE.split(text)
+    return list(map(" ".__add__, text[1:].split(" ")))  # each space is a place to close
+
+
 @dataclass(slots=True)
 class Closed:
     """Closed groups side by side; adding two of them joins them."""
@@ -180,8 +202,10 @@ class Closed:
 
     @staticmethod
     def of(segments: list[Segment]) -> Closed:
-        return Closed(sum([s.n_a for s in segments]), sum([s.n_b for s in segments]), [s.groups for s in segments],
-                      sum([s.n_groups for s in segments]), [s.pairs for s in segments], all([s.whole for s in segments]))
+        if not segments:
+            return Closed()
+        n_a, n_b, n_groups, groups, pairs, whole = zip(*segments)
+        return Closed(sum(n_a), sum(n_b), list(groups), sum(n_groups), list(pairs), all(whole))
 
     def __add__(self, other: Closed) -> Closed:
         return Closed(self.n_a + other.n_a, self.n_b + other.n_b, self.groups + other.groups, self.n_groups + other.n_groups,
@@ -309,7 +333,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int
                         parts = chunks_of(" " + text, chunk_bytes)
                         long.extend([(key, name, i, len(parts), p) for i, p in enumerate(parts)])
                     else:
-                        cut.append((key, name, CLOSE.split(" " + text)))
+                        cut.append((key, name, segments_of(" " + text)))
                 for (key, name, _), found in zip(cut, worker.align([c[2] for c in cut])):
                     rows.append(_digest(key, name, Closed.of(found)))
                 if rows:

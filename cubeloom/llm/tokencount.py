@@ -7,8 +7,6 @@ that crosses a boundary counts.
 
 from __future__ import annotations
 
-import functools
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +21,6 @@ RULES = ("first", "last", "most", "share")
 COUNTS = "doc_id long, section long, start long, end long, n_tokens double, n_crossing long, doc_tokens long"
 
 
-@functools.lru_cache(maxsize=2)
-def byte_lengths(path: str) -> np.ndarray:
-    """Bytes of every id: a byte-level token's text has one character per byte; special tokens stand for their own bytes."""
-    tokenizer = encoder(path).tokenizer
-    special = {t["id"] for t in json.loads(tokenizer.to_str())["added_tokens"]}
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
-    for token, i in vocabulary.items():
-        lengths[i] = len(token.encode()) if i in special else len(token)
-    return lengths
-
-
 def line_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Byte spans of the lines, each with its line end; together they cover the text."""
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10) + 1
@@ -85,7 +71,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
         raise ValueError(f"rule is one of {RULES}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sizes = encoder(tokenizer).ids, byte_lengths(tokenizer)
+        encode, sizes = encoder(tokenizer).ids, encoder(tokenizer).sizes
         for batch in batches:
             given = batch.column(2) if sections else None
             for lo, _, texts in text_chunks(batch.column(1)):

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import query, table, work_path
-from cubeloom.llm.tokens import encoder, text_chunks
+from cubeloom.llm.common import query, table, work_path, written
+from cubeloom.llm.tokens import encoder, release, text_chunks
 
 BLOCK = 256
 PERCENTILE = 95.0
@@ -151,26 +151,48 @@ def decode_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, ids
 
 
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, np.dtype]:
+    """(doc_id, tie, ids) of whole texts with the end id, encoded where the rows lie (written), and the width of an id.
+
+    Ids take two bytes while the vocabulary allows it. ``tie`` orders rows of one doc_id.
+    """
+    kind = np.dtype("<u2" if max(len(encoder(tokenizer).sizes) - 1, end_id) < 1 << 16 else "<u4")
+    release()  # the driver keeps no vocabulary
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = encoder(tokenizer).ids
+        end = int(end_id).to_bytes(4, "little")
+        for batch in batches:
+            for lo, hi, texts in text_chunks(batch.column(1)):
+                found = ids(texts)
+                data = np.frombuffer(end.join([*found, b""]), "<u4").astype(kind)
+                stops = np.cumsum([0, *[len(f) // 4 + 1 for f in found]]) * kind.itemsize
+                column = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.cast(pa.binary())], names=["doc_id", "ids"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary")
+    return written(rows.select("doc_id", F.xxhash64("ids").alias("tie"), "ids"), "token-ids"), kind
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
                       shard_tokens: int = SHARD_TOKENS, percentile: float = PERCENTILE) -> None:
     """Encodes whole texts and writes shards in ascending doc_id order (null first).
 
-    Null and empty texts are the end id alone; rows that repeat a doc_id stay side by side, ordered by text. A document longer
-    than ``shard_tokens`` has a shard to itself. Columns besides doc_id and text are not read.
+    Null and empty texts are the end id alone; rows that repeat a doc_id stay side by side, and one id's rows may fill many
+    shards. A document longer than ``shard_tokens`` has a shard to itself. Columns besides doc_id and text are not read.
     """
+    encoded, kind = encode_documents(docs, tokenizer, end_id)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
         part = TaskContext.get().partitionId()
-        end = int(end_id).to_bytes(4, "little")
         names: list = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         tokens = made = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal names, held, tokens, made
-            lengths = np.array([len(h) // 4 for h in held], np.uint32)
-            image = encode_shard(lengths, np.frombuffer(b"".join(held), "<u4"), percentile)
+            lengths = np.array([len(h) for h in held], np.uint32)
+            image = encode_shard(lengths, np.concatenate(held).astype(np.uint32), percentile)
             row = pa.RecordBatch.from_pylist(
                 [{"part": part, "shard": made, "n_docs": len(held), "n_tokens": tokens, "doc_ids": names, "image": image}],
                 pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
@@ -180,19 +202,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return row
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lo, hi, texts in text_chunks(batch.column(1)):
-                for key, found in zip(keys[lo:hi], encode(texts)):
-                    found += end
-                    if held and tokens + len(found) // 4 > shard_tokens:
-                        yield flush()
-                    names.append(key)
-                    held.append(found)
-                    tokens += len(found) // 4
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.frombuffer(data.as_buffer(), kind)
+                if held and tokens + len(ids) > shard_tokens:
+                    yield flush()
+                names.append(key)
+                held.append(ids)
+                tokens += len(ids)
         if held:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 

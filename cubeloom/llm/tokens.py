@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import json
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -24,11 +25,7 @@ from tokenizers import Tokenizer
 CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 # A space after white space is no cut.
 RUNS = tuple(chr(i) + " " for i in range(0x3001) if chr(i).isspace())
-BREAK = re.compile(r"[\t-\r]")
-# No token holds both a letter or digit and one of these marks behind it.
-STEM = re.compile(r"([^\W_]+)([,.;:!?*%$&#|]+)\Z")
-# Letters of long-standing Latin blocks: with a space before them they are one pre-token under any Unicode version.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+JOINED = 1024  # segments that are encoded as one text
 CACHE_ENTRIES = 600_000  # of each of two generations
 
 
@@ -39,6 +36,26 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def token_sizes(tokenizer: Tokenizer) -> np.ndarray:
+    """Bytes of every id: a byte-level token's text has one character per byte; special tokens stand for their own bytes."""
+    special = {t["id"] for t in json.loads(tokenizer.to_str())["added_tokens"]}
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token.encode()) if i in special else len(token)
+    return sizes
+
+
+def token_cuts(ids: np.ndarray, sizes: np.ndarray, pieces: list[str]) -> np.ndarray:
+    """How many ids lie before the end of each piece, when the ids encode the pieces with a space before each."""
+    stops = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)) + 1)
+    ends = np.cumsum(sizes[ids])
+    cuts = np.searchsorted(ends, stops)
+    if len(ends) == 0 or cuts[-1] != len(ends) - 1 or not np.array_equal(ends[cuts], stops):
+        raise ValueError("a token of the vocabulary runs over a space")
+    return cuts + 1
+
+
 class SegmentEncoder:
     """Encodes lists of texts to little-endian unsigned 32-bit ids."""
 
@@ -46,9 +63,7 @@ class SegmentEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.entries = entries
-        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.model = self.tokenizer.model
-        self.characters = byte_characters()
+        self.sizes = token_sizes(self.tokenizer)
         self.spaced: dict[str, bytes] = {}  # piece between single spaces, meant with the space before it
         self.plain: dict[str, bytes] = {}  # segment as it stands
         self.older: dict[str, bytes] = {}  # the generation before, from which words in use come back
@@ -60,69 +75,29 @@ class SegmentEncoder:
             out.extend([array("I", f.ids).tobytes() for f in found])
         return out
 
-    def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of letters, meant with a space before them: one pre-token each, so the model alone gives their ids."""
-        tokenize, characters = self.model.tokenize, self.characters
-        space = characters[32]
-        return [
-            array("I", [t.id for t in tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(characters)))]).tobytes()
-            for w in words
-        ]
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words meant with a space before them and without a line end, many in one text: the line ends between them part the ids."""
+    def encode_joined(self, pieces: list[str]) -> list[bytes]:
+        """Pieces meant with a space before them, which end in no white space: many in one text, parted by their bytes."""
         out = []
-        parts = [words[start : start + 512] for start in range(0, len(words), 512)]
-        for chunk, found in zip(parts, self.tokenizer.encode_batch_fast([" " + "\n ".join(c) for c in parts], add_special_tokens=False)):
+        parts = [pieces[start : start + JOINED] for start in range(0, len(pieces), JOINED)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) != len(chunk) - 1:
-                raise ValueError("the vocabulary joins a line end with other characters")
+            cuts = (4 * token_cuts(ids, self.sizes, part)).tolist()
             data = ids.tobytes()
-            cuts = (4 * ends).tolist()
-            out.extend([data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)])])
+            out.extend([data[a:b] for a, b in zip([0, *cuts], cuts)])
         return out
 
     def _learn(self, new_spaced: set[str], new_plain: set[str]) -> None:
         """Encodes what the caches lack: each distinct segment once."""
-        spaced, plain = self.spaced, self.plain
-        composed, cuts, letters = [], {}, []
-        words, marks = set(), set()
-        for p in new_spaced:
-            old = self.older.get(p)
-            if old is not None:
-                spaced[p] = old
-                continue
-            if LETTERS.fullmatch(p):
-                letters.append(p)
-                continue
-            found = STEM.match(p)
-            if found:
-                word, mark = found.groups()
-                composed.append((p, word, mark))
-                if word not in spaced:
-                    words.add(word)
-                if mark not in plain:
-                    marks.add(mark)
-            elif BREAK.search(p):
-                cuts[p] = CUT.split(" " + p)
-            else:
-                words.add(p)
-        marks.update(s for found in cuts.values() for s in found if s not in plain)
-        marks.update(new_plain)
-        letters.extend([w for w in words if LETTERS.fullmatch(w) and w not in new_spaced])
-        words.difference_update(letters)
-        spaced.update(zip(letters, self._encode_letters(letters)))
-        single = [w for w in words if w and not w[-1].isspace()]
-        others = [w for w in words if not w or w[-1].isspace()]
-        spaced.update(zip(single, self._encode_words(single)))
-        spaced.update(zip(others, self._encode([" " + w for w in others])))
-        names = list(marks)
-        plain.update(zip(names, self._encode(names)))
-        for p, word, mark in composed:
-            spaced[p] = spaced[word] + plain[mark]
-        for p, found in cuts.items():
-            spaced[p] = b"".join([plain[s] for s in found])
+        known = self.older
+        back = [p for p in new_spaced if p in known]
+        self.spaced.update(zip(back, map(known.__getitem__, back)))
+        fresh = [p for p in new_spaced if p not in known]
+        joined = [p for p in fresh if p and not p[-1].isspace()]
+        self.spaced.update(zip(joined, self.encode_joined(joined)))
+        single = [p for p in fresh if not p or p[-1].isspace()]
+        self.spaced.update(zip(single, self._encode([" " + p for p in single])))
+        names = list(new_plain)
+        self.plain.update(zip(names, self._encode(names)))
 
     def ids(self, texts: Sequence[str | None]) -> list[bytes]:
         """One byte string per text; null and empty texts give no ids."""

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from cubeloom.llm import packing, tokencount, tokenfile
 from cubeloom.llm.common import work_path
-from cubeloom.llm.tokens import SegmentEncoder, text_chunks
+from cubeloom.llm.tokens import SegmentEncoder, encoder, text_chunks
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -144,7 +144,7 @@ def test_tokens_are_attributed_by_the_rule(spark, whole, rule):
     spans = [(0, 5), (5, 13), (15, 31), (31, 40)]
     df = spark.createDataFrame([(1, text, [(s, e) for s, e in spans])], "doc_id long, text string, s array<struct<start:long,end:long>>")
     got = {r["section"]: r["n_tokens"] for r in tokencount.section_tokens(df, PATH, rule, "s").collect()}
-    want = brute_sections(text, spans, whole, rule, tokencount.byte_lengths(PATH))
+    want = brute_sections(text, spans, whole, rule, encoder(PATH).sizes)
     assert {k: v for k, v in got.items() if v} == pytest.approx(want)
 
 
