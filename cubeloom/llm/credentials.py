@@ -83,7 +83,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi, texts in text_chunks(batch.column(2)):
                 bases, weaks, counts = [], [], np.zeros((hi - lo, 3), np.int64)
-                for i, text in enumerate(texts):
+                for i, text in enumerate(texts.to_pylist()):
                     lower = text.lower() if text else ""
                     strong = strong_spans(text, lower) if text else []
                     weak = weak_spans(text, lower, strong) if text else []

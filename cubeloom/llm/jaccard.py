@@ -69,7 +69,7 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
         release()
         for batch in batches:
             for lo, _, texts in text_chunks(batch.column(1), CHUNK_BYTES):
-                sets = [shingles(t, words) for t in texts]
+                sets = [shingles(t, words) for t in texts.to_pylist()]
                 n = len(sets)
                 distinct = {class_of(s): s for s in sets if len(s)}
                 every, counts = np.unique(np.concatenate([*distinct.values(), np.zeros(0, np.uint64)]), return_counts=True)
@@ -105,7 +105,7 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
             for _, _, texts in text_chunks(batch.column(0), CHUNK_BYTES):
                 for low in range(0, len(texts), 60_000):  # a set has 16 bits
                     sets, names = [], []
-                    for text in texts[low : low + 60_000]:
+                    for text in texts.slice(low, 60_000).to_pylist():
                         found = shingles(text, words)
                         if only_equal(len(found), percent) or (name := class_of(found)) in seen:
                             continue

@@ -77,7 +77,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", section
             for lo, _, texts in text_chunks(batch.column(1)):
                 out: list[tuple[np.ndarray, ...]] = []
                 rows = []
-                for i, (text, found) in enumerate(zip(texts, encode(texts)), lo):
+                for i, (text, found) in enumerate(zip(texts.to_pylist(), encode(texts)), lo):
                     data = (text or "").encode()
                     widths = sizes[np.frombuffer(found, "<u4")]
                     ends = np.cumsum(widths)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import query, table, work_path, written
+from cubeloom.llm.common import query, table, work_path
 from cubeloom.llm.tokens import encoder, release, text_chunks
 
 BLOCK = 256
@@ -151,27 +151,43 @@ def decode_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, ids
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> tuple[DataFrame, np.dtype]:
-    """(doc_id, tie, ids) of whole texts with the end id, encoded where the rows lie (written), and the width of an id.
+def range_bounds(docs: DataFrame, parts: int) -> np.ndarray:
+    """Ids that cut the rows into ``parts`` nearly equal ranges; an id of many rows is several bounds."""
+    if parts < 2:
+        return np.zeros(0, np.int64)
+    steps = [i / parts for i in range(1, parts)]
+    found = docs.select(F.percentile_approx("doc_id", steps, 100 * parts)).first()[0]  # one number per part
+    return np.array(found or [], np.int64)
 
-    Ids take two bytes while the vocabulary allows it. ``tie`` orders rows of one doc_id.
+
+def encode_documents(docs: DataFrame, tokenizer: str, parts: int, end_id: int = END_ID) -> tuple[DataFrame, np.dtype]:
+    """(part, doc_id, ids) of whole texts with the end id, encoded where the rows lie, and the width of an id.
+
+    Ids take two bytes while the vocabulary allows it. Parts ascend with doc_id (null first); rows of an id that fills
+    more than a part are dealt to all of its parts.
     """
     kind = np.dtype("<u2" if max(len(encoder(tokenizer).sizes) - 1, end_id) < 1 << 16 else "<u4")
     release()  # the driver keeps no vocabulary
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    bounds = range_bounds(ordered, parts)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer).ids
-        end = int(end_id).to_bytes(4, "little")
+        flat_ids = encoder(tokenizer).flat_ids
         for batch in batches:
             for lo, hi, texts in text_chunks(batch.column(1)):
-                found = ids(texts)
-                data = np.frombuffer(end.join([*found, b""]), "<u4").astype(kind)
-                stops = np.cumsum([0, *[len(f) // 4 + 1 for f in found]]) * kind.itemsize
-                column = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(stops.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), column.cast(pa.binary())], names=["doc_id", "ids"])
+                names = batch.column(0).slice(lo, hi - lo)
+                ids, counts = flat_ids(texts)
+                ends = np.cumsum(counts + 1)
+                data = np.full(ends[-1], end_id, kind)
+                data[np.delete(np.arange(ends[-1]), ends - 1)] = ids
+                stops = np.concatenate([[0], ends]) * kind.itemsize
+                column = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(stops), pa.py_buffer(data)]).cast(pa.binary())
+                numbers = names.fill_null(-(1 << 63)).to_numpy()
+                first, last = (np.searchsorted(bounds, numbers, side) for side in ("left", "right"))
+                part = first + np.array([zlib.crc32(x.as_buffer()) for x in column]) % (last - first + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, column], names=["part", "doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, ids binary")
-    return written(rows.select("doc_id", F.xxhash64("ids").alias("tie"), "ids"), "token-ids"), kind
+    return ordered.mapInArrow(encode, "part int, doc_id long, ids binary"), kind
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
@@ -181,7 +197,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     Null and empty texts are the end id alone; rows that repeat a doc_id stay side by side, and one id's rows may fill many
     shards. A document longer than ``shard_tokens`` has a shard to itself. Columns besides doc_id and text are not read.
     """
-    encoded, kind = encode_documents(docs, tokenizer, end_id)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    encoded, kind = encode_documents(docs, tokenizer, parts, end_id)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -212,7 +229,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if held:
             yield flush()
 
-    ordered = encoded.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "ids")
+    ordered = encoded.repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
     ordered.mapInArrow(shards, SHARD).write.option("compression", "zstd").parquet(path)
 
 

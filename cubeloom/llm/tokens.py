@@ -11,20 +11,25 @@ from __future__ import annotations
 import functools
 import gc
 import json
+import os
 import re
-from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tokenizers import Tokenizer
+# a Spark task has its own core: threads of the tokenizers library would only contend with the other tasks
+os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+from tokenizers import Tokenizer  # noqa: E402
 
 # A cut lies before an ASCII blank that follows a character no white-space definition includes.
 CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 # A space after white space is no cut.
 RUNS = tuple(chr(i) + " " for i in range(0x3001) if chr(i).isspace())
+RUN = "[" + "".join(f"\\x{{{ord(r[0]):x}}}" for r in RUNS) + "] "
 JOINED = 1024  # segments that are encoded as one text
 CACHE_ENTRIES = 600_000  # of each of two generations
 
@@ -56,90 +61,141 @@ def token_cuts(ids: np.ndarray, sizes: np.ndarray, pieces: list[str]) -> np.ndar
     return cuts + 1
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The strings of a column without nulls; much faster than to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class Store:
+    """Ids of encoded segments: ``slots`` names a segment's place in the arrays."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)  # ends[i] and ends[i + 1] bound the ids of slot i
+
+    def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first = len(self.slots)
+        used = int(self.ends[first])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(keys) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[first + 1 : first + len(keys) + 1] = used + np.cumsum(counts)
+        self.slots.update(zip(keys, range(first, first + len(keys))))
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots in their order, and how many each has."""
+        starts = self.ends[slots]
+        counts = self.ends[slots + 1] - starts
+        places = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+        places += np.arange(len(places))
+        return self.ids[places], counts
+
+
 class SegmentEncoder:
-    """Encodes lists of texts to little-endian unsigned 32-bit ids."""
+    """Encodes lists or Arrow arrays of texts to little-endian unsigned 32-bit ids.
+
+    A text in which no white space stands before a space is cut at every space: its first piece is meant as it stands, every other
+    with a space before it. Any other text is cut at CUT. Segments meant as they stand are kept under a key with a space before it.
+    """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.entries = entries
         self.sizes = token_sizes(self.tokenizer)
-        self.spaced: dict[str, bytes] = {}  # piece between single spaces, meant with the space before it
-        self.plain: dict[str, bytes] = {}  # segment as it stands
-        self.older: dict[str, bytes] = {}  # the generation before, from which words in use come back
+        self.store = Store()
+        self.older = Store()  # the generation before, from which segments in use come back
 
-    def _encode(self, segments: list[str]) -> list[bytes]:
-        out = []
+    def _encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
         for start in range(0, len(segments), 8192):
-            found = self.tokenizer.encode_batch_fast(segments[start : start + 8192], add_special_tokens=False)
-            out.extend([array("I", f.ids).tobytes() for f in found])
-        return out
+            part = self.tokenizer.encode_batch_fast(segments[start : start + 8192], add_special_tokens=False)
+            found.extend([f.ids for f in part])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    def encode_joined(self, pieces: list[str]) -> list[bytes]:
+    def encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces meant with a space before them, which end in no white space: many in one text, parted by their bytes."""
-        out = []
-        parts = [pieces[start : start + JOINED] for start in range(0, len(pieces), JOINED)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
-            cuts = (4 * token_cuts(ids, self.sizes, part)).tolist()
-            data = ids.tobytes()
-            out.extend([data[a:b] for a, b in zip([0, *cuts], cuts)])
-        return out
-
-    def _learn(self, new_spaced: set[str], new_plain: set[str]) -> None:
-        """Encodes what the caches lack: each distinct segment once."""
-        known = self.older
-        back = [p for p in new_spaced if p in known]
-        self.spaced.update(zip(back, map(known.__getitem__, back)))
-        fresh = [p for p in new_spaced if p not in known]
-        joined = [p for p in fresh if p and not p[-1].isspace()]
-        self.spaced.update(zip(joined, self.encode_joined(joined)))
-        single = [p for p in fresh if not p or p[-1].isspace()]
-        self.spaced.update(zip(single, self._encode([" " + p for p in single])))
-        names = list(new_plain)
-        self.plain.update(zip(names, self._encode(names)))
-
-    def ids(self, texts: Sequence[str | None]) -> list[bytes]:
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = [" " + " ".join(pieces[start : start + JOINED]) for start in range(0, len(pieces), JOINED)]
+        found = [f.ids for f in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        return ids, np.diff(token_cuts(ids, self.sizes, pieces), prepend=0)
+
+    def _slots(self, keys: list[str]) -> np.ndarray:
+        """Slots of distinct keys; each one not known yet is encoded once."""
+        store = self.store
+        slots = list(map(store.slots.get, keys))
+        if None not in slots:
+            return np.array(slots, np.int64)
+        missing = [k for k, s in zip(keys, slots) if s is None]
+        old = list(map(self.older.slots.get, missing))
+        back = [k for k, s in zip(missing, old) if s is not None]
+        if back:
+            store.add(back, *self.older.gather(np.array([s for s in old if s is not None])))
+            missing = [k for k, s in zip(missing, old) if s is None]
+        joined = [k for k in missing if k and k[0] != " " and not k[-1].isspace()]
+        store.add(joined, *self.encode_joined(joined))
+        if len(joined) < len(missing):
+            whole = [k for k in missing if k and k[0] == " "]
+            spaced = [k for k in missing if not k or (k[0] != " " and k[-1].isspace())]
+            store.add(whole, *self._encode([k[1:] for k in whole]))
+            store.add(spaced, *self._encode([" " + k for k in spaced]))
+        return np.array(list(map(store.slots.__getitem__, keys)), np.int64)
+
+    def flat_ids(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and how many each text has; null and empty texts have none."""
+        if len(self.store.slots) > self.entries:
+            self.older, self.store = self.store, Store()
+        column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if len(column) == 0:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        runs = pc.match_substring_regex(column, RUN).to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(column.filter(pa.array(~runs)), " ")
+        ends = plain.offsets.to_numpy()
+        words = plain.flatten()
+        coded = words.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        heads = words.take(pa.array(ends[:-1])).dictionary_encode()
+        names = [*strings(coded.dictionary), *[" " + h for h in strings(heads.dictionary)]]
+        at[ends[:-1]] = heads.indices.to_numpy() + len(coded.dictionary)
+        pieces = np.zeros(len(column), np.int64)
+        pieces[~runs] = np.diff(ends)
+        if runs.any():
+            cut = [[" " + s for s in CUT.split(t)] for t in column.filter(pa.array(runs)).to_pylist()]
+            pieces[runs] = [len(c) for c in cut]
+            number = {k: len(names) + i for i, k in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            names += number
+            every = np.empty(pieces.sum(), np.int64)
+            mine = np.repeat(runs, pieces)
+            every[~mine] = at
+            every[mine] = [number[k] for c in cut for k in c]
+            at = every
+        distinct = list(dict.fromkeys(names))
+        slots = self._slots(distinct)
+        if len(distinct) < len(names):  # a head and a run's segment may be the same
+            place = dict(zip(distinct, slots.tolist()))
+            slots = np.array([place[n] for n in names], np.int64)
+        ids, counts = self.store.gather(slots[at])
+        sums = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(pieces)])]
+        return ids, np.diff(sums)
+
+    def ids(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """One byte string per text; null and empty texts give no ids."""
         collecting = gc.isenabled()
         gc.disable()  # only acyclic lists are made here, in great number
         try:
-            return self._ids(texts)
+            ids, counts = self.flat_ids(texts)
         finally:
             if collecting:
                 gc.enable()
-
-    def _ids(self, texts: Sequence[str | None]) -> list[bytes]:
-        if len(self.spaced) > self.entries:
-            self.older, self.spaced = self.spaced, {}
-        if len(self.plain) > self.entries:
-            self.plain.clear()
-        spaced, plain = self.spaced, self.plain
-        split = []
-        new_spaced, new_plain = set(), set()
-        for text in texts:
-            if not text:
-                split.append((None, (), [], []))
-                continue
-            single = not any(run in text for run in RUNS)
-            if single:
-                head, *pieces = text.split(" ")
-                if head and head not in plain:
-                    new_plain.add(head)
-            else:
-                head, pieces = None, CUT.split(text)
-            found = list(map((spaced if single else plain).get, pieces))
-            missing = [i for i, f in enumerate(found) if f is None]
-            (new_spaced if single else new_plain).update([pieces[i] for i in missing])
-            split.append((head, pieces, found, missing))
-        self._learn(new_spaced, new_plain)
-        out = []
-        for head, pieces, found, missing in split:
-            known = plain if head is None else spaced
-            for i in missing:
-                found[i] = known[pieces[i]]
-            out.append((plain[head] if head else b"") + b"".join(found))
-        return out
+        data = ids.astype("<u4").tobytes()
+        stops = (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *stops], stops)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -155,7 +211,7 @@ def release() -> None:
         gc.collect()
 
 
-def text_chunks(column: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int, list[str | None]]]:
+def text_chunks(column: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int, int, pa.Array]]:
     """(from, to, texts) of about ``size`` bytes each, so a batch of very long texts stays small in memory."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
@@ -163,5 +219,5 @@ def text_chunks(column: pa.Array, size: int = 3_000_000) -> Iterator[tuple[int,
         done = ends[start - 1] if start else 0
         end = max(int(np.searchsorted(ends, done + size)) + 1, start + 1)
         end = min(end, len(column))
-        yield start, end, column.slice(start, end - start).to_pylist()
+        yield start, end, column.slice(start, end - start)
         start = end

@@ -37,7 +37,7 @@ def test_segments_give_the_ids_of_the_whole_text(whole):
 def test_chunks_cover_every_text_once():
     texts = ["a" * n for n in (5, 0, 90, 3, 3, 200, 500)] + [None, "", None]
     parts = list(text_chunks(pa.array(texts), 100))
-    assert [t for _, _, part in parts for t in part] == texts and len(parts) >= 3
+    assert [t for _, _, part in parts for t in part.to_pylist()] == texts and len(parts) >= 3
     assert [i for lo, hi, _ in parts for i in range(lo, hi)] == list(range(len(texts)))
     assert list(text_chunks(pa.array([], pa.string()))) == []
 
@@ -112,6 +112,13 @@ def test_token_files_round_trip(spark, edge_docs, no_docs, whole):
             assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == whole(texts[r["doc_id"]]) + [0]
     digest = {(r["doc_id"], r["start"]): r["ids_crc32"] for r in tokenfile.token_file_digest(spark, path).collect()}
     assert digest == {(r["doc_id"], r["start"]): zlib.crc32(bytes(r["ids"])) for r in got}
+    hot = spark.createDataFrame([(7, f"text {i}") for i in range(50)] + [(i, "x") for i in range(14)], "doc_id long, text string").repartition(3)
+    folder = work_path(spark, "test-token-files")
+    tokenfile.write_token_files(hot, folder, PATH)
+    assert [r["doc_id"] for r in sorted(tokenfile.read_token_files(spark, folder).collect(), key=lambda r: r["start"])] == sorted(
+        [7] * 50 + [*range(14)]
+    )
+    assert spark.read.parquet(folder).count() > 1
     empty = work_path(spark, "test-token-files")
     tokenfile.write_token_files(no_docs, empty, PATH)
     assert tokenfile.read_token_files(spark, empty).count() == 0
