@@ -149,6 +149,15 @@ class SegmentEncoder:
 
     def flat_ids(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and how many each text has; null and empty texts have none."""
+        collecting = gc.isenabled()
+        gc.disable()  # only acyclic lists are made here, in great number
+        try:
+            return self._flat_ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _flat_ids(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.store.slots) > self.entries:
             self.older, self.store = self.store, Store()
         column = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
@@ -186,13 +195,7 @@ class SegmentEncoder:
 
     def ids(self, texts: Sequence[str | None] | pa.Array) -> list[bytes]:
         """One byte string per text; null and empty texts give no ids."""
-        collecting = gc.isenabled()
-        gc.disable()  # only acyclic lists are made here, in great number
-        try:
-            ids, counts = self.flat_ids(texts)
-        finally:
-            if collecting:
-                gc.enable()
+        ids, counts = self.flat_ids(texts)
         data = ids.astype("<u4").tobytes()
         stops = (4 * np.cumsum(counts)).tolist()
         return [data[a:b] for a, b in zip([0, *stops], stops)]
