@@ -243,13 +243,64 @@ def test_isolation_flags_the_planted_outliers(spark):
         outlier.clean_samples(df, "LOF")
 
 
-def test_forest_scoring_in_several_passes(spark, monkeypatch):
+def grow_by_hand(x, rows, key, tree):
+    """Depths of a tree's leaves by recursion, one row at a time: the twin of the arrays."""
+    limit = int(np.ceil(np.log2(max(len(rows), 2))))
+
+    def grow(rows, depth, place):
+        varied = [f for f in range(x.shape[1]) if len({x[r, f] for r in rows}) > 1]
+        if depth >= limit or len(rows) < 2 or not varied:
+            return depth + float(outlier.average_path(len(rows)))
+        f = int(outlier.unit(key, tree, place, 1) * x.shape[1])
+        if f not in varied:
+            f = varied[int(outlier.unit(key, tree, place, 2) * len(varied))]
+        low, high = min(x[r, f] for r in rows), max(x[r, f] for r in rows)
+        cut = low + float(outlier.unit(key, tree, place, 3)) * (high - low)
+        below = [r for r in rows if x[r, f] <= cut]
+        return f, cut, grow(below, depth + 1, 2 * place), grow([r for r in rows if x[r, f] > cut], depth + 1, 2 * place + 1)
+
+    return grow(list(rows), 0, 1)
+
+
+def depth_by_hand(node, v):
+    while isinstance(node, tuple):
+        node = node[2] if v[node[0]] <= node[1] else node[3]
+    return node
+
+
+def test_permutations_are_permutations():
+    for n in (1, 2, 3, 7, 100, 1000):
+        got = outlier.permuted(np.arange(n), n, 5)
+        assert sorted(got.tolist()) == list(range(n)) and outlier.permuted(got, n, 5, back=True).tolist() == list(range(n))
+    assert outlier.permuted(np.arange(1000), 1000, 5).tolist() != outlier.permuted(np.arange(1000), 1000, 6).tolist()
+
+
+@pytest.mark.parametrize("lot, block", [(25, 50_000), (2, 90)])
+def test_monte_carlo_scores_equal_brute_force(spark, monkeypatch, lot, block):
+    monkeypatch.setattr(outlier, "LOT", lot)
+    monkeypatch.setattr(outlier, "BLOCK_ROWS", block)
     rng = np.random.default_rng(10)
-    df = spark.createDataFrame([(i, "a", [float(v) for v in rng.normal(size=2)]) for i in range(60)], "fid long, layer string, spectrum array<double>")
-    one = {r["fid"]: r["score"] for r in outlier.isolation_forest(df, 0.2, trees=12).collect()}
-    monkeypatch.setattr(outlier, "TREES_PER_PASS", 5)
-    many = {r["fid"]: r["score"] for r in outlier.isolation_forest(df, 0.2, trees=12).collect()}
-    assert one.keys() == many.keys() and all(np.isclose(one[k], many[k]) for k in one)
+    layers = {"a": rng.normal(size=(30, 3)).round(1), "b": np.repeat(rng.normal(size=(4, 3)), 5, axis=0), "c": np.zeros((3, 3)), "d": np.zeros((1, 3))}
+    layers["a"][:, 1] = 4.0  # a feature that never varies
+    layers["e"] = rng.normal(size=(400, 2))  # more training rows than a tree takes
+    rows, want, splits, trees, test, seed = [], {}, 5, 3, 0.2, 42
+    for layer, x in layers.items():
+        first, n, key = len(rows), len(x), outlier.layer_key(layer, seed)
+        rows += [(first + i, layer, v.tolist()) for i, v in enumerate(x)]
+        scores, offsets = np.zeros((splits, n)), []
+        for s in range(splits):
+            drawn = outlier.tree_rows(n, key, s, trees, test)
+            grown = [grow_by_hand(x, drawn[t], int(outlier.mixed(key, s, 11)), t) for t in range(trees)]
+            depth = np.array([np.mean([depth_by_hand(g, v) for g in grown]) for v in x])
+            m = drawn.shape[1]
+            scores[s] = -(2.0 ** (-depth / float(outlier.average_path(m)))) if m > 1 else -1.0
+            trained = outlier.in_train(np.arange(n), n, key, s, test)
+            offsets.append(np.quantile(scores[s][trained], 0.1))
+            assert trained.sum() == outlier.train_size(n, test) and set(drawn.ravel()) <= set(np.flatnonzero(trained))
+        want |= {first + i: scores[:, i].mean() - np.mean(offsets) for i in range(n)}
+    df = spark.createDataFrame(rows, "fid long, layer string, spectrum array<double>").repartition(4)
+    got = {r["fid"]: r["score"] for r in outlier.mc_isolation(df, splits, test, trees=trees, seed=seed).collect()}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], atol=1e-12) for k in got)
 
 
 def test_average_path():
