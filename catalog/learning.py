@@ -145,7 +145,7 @@ def features(spark, d):
 def gmm_cluster(spark, d):
     # the chain clusters reduced features: scores of all bands
     scores = reduce.pca(features(spark, d), 8, vector="v")
-    return cluster.gmm_cluster(scores.select("emb_idx", F.col("scores").alias("v")), 4, seeds=(42, 7), max_iter=20).select("emb_idx", "label")
+    return cluster.gmm_cluster(scores.select("emb_idx", F.col("scores").alias("v")), 24, seeds=range(10)).select("emb_idx", "label")
 
 
 @query("pipeline_cluster")

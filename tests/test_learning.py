@@ -225,6 +225,47 @@ def test_mixture_labels_follow_the_means(spark):
     assert all(r["label"] == r["kind"] for r in got)
 
 
+def mixture_by_hand(x, means, steps, floor=1e-6):
+    """Plain mixture steps on the whole matrix; mean log-likelihoods."""
+    k, d = means.shape
+    weights, covs = np.full(k, 1 / k), [np.diag(x.var(axis=0)) + floor * np.eye(d)] * k
+    out = []
+    for _ in range(steps):
+        logs = np.stack([
+            np.log(w) - 0.5 * (np.linalg.slogdet(2 * np.pi * c)[1] + np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m))
+            for w, m, c in zip(weights, means, covs)
+        ], axis=1)
+        whole = np.log(np.exp(logs).sum(axis=1))
+        out.append(whole.mean())
+        shares = np.exp(logs - whole[:, None])
+        size = shares.sum(axis=0)
+        means = (shares.T @ x) / size[:, None]
+        covs = [((s[:, None] * (x - m)).T @ (x - m)) / n + floor * np.eye(d) for s, m, n in zip(shares.T, means, size)]
+        weights = size / len(x)
+    return out
+
+
+def test_mixture_steps_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 1 + m / 5, (60, 3)) for m in (0, 4, 9)])
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(4)
+    _, _, _, gains = cluster.mixture_fit(df, 3, (1, 2), max_iter=6, tol=-1.0)
+    for seed, found in zip((1, 2), gains):
+        want = mixture_by_hand(x, cluster.start_means(df, 3, (seed,))[0], 6)
+        assert np.allclose(found, want, atol=1e-9) and all(b >= a - 1e-9 for a, b in zip(found, found[1:]))
+
+
+def test_mixture_of_repeated_and_rank_deficient_rows(spark):
+    rng = np.random.default_rng(6)
+    flat = rng.normal(size=(80, 2)) @ rng.normal(size=(2, 6)) * 1e4  # rank 2 of 6, large values
+    x = np.concatenate([flat, np.zeros((30, 6)), np.ones((20, 6))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "emb_idx long, v array<double>").repartition(3)
+    got = {r["emb_idx"]: r["label"] for r in cluster.gmm_cluster(df, 5, seeds=(1, 2, 3), max_iter=30).collect()}
+    assert len(got) == len(x) and len({got[i] for i in range(80, 110)}) == 1 and set(got.values()) <= set(range(5))
+    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0])], "emb_idx long, v array<double>")
+    assert cluster.gmm_cluster(two, 3).count() == 2 and cluster.gmm_cluster(two.limit(0), 3).count() == 0
+
+
 def test_isolation_flags_the_planted_outliers(spark):
     rng = np.random.default_rng(9)
     rows = []
