@@ -71,6 +71,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it while a column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def mixed_key(seed: int, *parts: str | Column) -> Column:
     """Non-negative 63-bit hash of the parts: a function of the row and the seed, not of the partitioning."""
     columns = [F.col(p) if isinstance(p, str) else p for p in parts]

@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LOGINS = ("user", "login", "client_id", "account")
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_=-])")
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp|mongodb)://[^\s\"'<>]+|\b[a-z0-9.-]+\.amazonaws\.com\b")
 LOGIN = re.compile(r"""(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
 #: Roles: i = identifier, s = secret, e = endpoint. A strong span plays its role too.
@@ -35,6 +35,8 @@ ROLE = {"assign": "s", "access": "i", "hex": "s", "bare": "s", "endpoint": "e",
 #: A weak part counts when one of these sets of roles stands near it.
 COMPLEMENTS = {"bare": ("i", "e"), "endpoint": ("is",), "login": ("s",)}
 SPAN = "struct<kind:string,start:bigint,end:bigint>"
+#: Two hashes name a document: as wide as 128 bits, so that no other document's spans are taken for its own.
+KEY = "struct<a:bigint,b:bigint>"
 FOUND = f"doc_id long, n_assign long, n_access long, n_hex long, base array<{SPAN}>, weak array<{SPAN}>"
 
 
@@ -72,6 +74,10 @@ def weak_spans(text: str, lower: str, strong: list[tuple[str, int, int]]) -> lis
     return [s for s in spans if free(s[1], s[2])]
 
 
+def row_key() -> Column:
+    return F.struct(F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with _key, its strong spans (base) and weak parts; written, so the texts are read once.
 
@@ -97,8 +103,8 @@ def scan(docs: DataFrame) -> DataFrame:
                     names=["_key", "doc_id", "n_assign", "n_access", "n_hex", "base", "weak"],
                 )
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_key"), F.col("doc_id").cast("long"), "text")
-    return written(rows.mapInArrow(find, f"_key long, {FOUND}"), "secret-spans")
+    rows = docs.select(row_key().alias("_key"), F.col("doc_id").cast("long"), "text")
+    return written(rows.mapInArrow(find, f"_key {KEY}, {FOUND}"), "secret-spans")
 
 
 def _marked(weak: bool):
@@ -149,22 +155,25 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, sign: str = "*", scope: int = SCOPE) -> DataFrame:
-    """The documents with every code point of a base span or linked part replaced by ``sign``; the columns stay as they are."""
+    """The documents with every code point of a base span or linked part replaced by ``sign``; the columns stay as they are, whatever their names."""
     spans = F.array_sort(F.transform(F.concat("base", "linked"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     hits = _found(docs, scope).filter("size(base) + size(linked) > 0").select(F.col("_key").alias("_hit"), spans.alias("_spans"))
-    joined = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(hits.dropDuplicates(["_hit"]), F.col("_key") == F.col("_hit"), "left")
+    # the caller's columns travel in one struct, so that no name of theirs meets one of these
+    carried = docs.select(row_key().alias("_key"), F.struct(*docs.columns).alias("_row"))
+    joined = carried.join(hits.dropDuplicates(["_hit"]), F.col("_key") == F.col("_hit"), "left")
+    text = F.col("_row")["text"]
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, span: Column) -> Column:
         begin, end = F.greatest(state["at"], span["start"]), F.greatest(state["at"], span["end"])
-        plain = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
+        plain = F.substring(text, (state["at"] + 1).cast("int"), (begin - state["at"]).cast("int"))
         return F.struct(end.alias("at"), F.concat(state["out"], plain, F.repeat(F.lit(sign), (end - begin).cast("int"))).alias("out"))
 
     def finish(state: Column) -> Column:
-        return F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
+        return F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
 
-    hidden = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.aggregate("_spans", start, step, finish))
-    return joined.withColumn("text", hidden).select(*docs.columns)
+    hidden = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, finish))
+    return joined.select(*[hidden.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def _listed(spans: Column) -> Column:

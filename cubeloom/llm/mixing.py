@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import mixed_key, query, table, written
+from cubeloom.llm.common import free_name, mixed_key, query, table, written
 
 SEED = 20
 BLOCK_WORDS = 200_000
@@ -204,10 +204,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = SEED,
     """The mixed rows (documents repeat as often as they are drawn) with shard and place in the shard, dealt and sorted by them.
 
     Null texts have size 0; a source of size 0 has target 0; a null source is a source of its own, null ids are kept; repeated rows are
-    rows and are taken alike; an empty table gives no rows. Extra columns are carried along; a column named like
-    one this operator adds would clash, so pass the columns you need.
+    rows and are taken alike; an empty table gives no rows. Extra columns are carried along whatever their names; shard and place
+    get underscores before them while the table has a column of that name.
     """
-    return mixed_rows(docs, make_plan(docs, weights, seed, block_words, blocks_per_shard), seed)
+    used = ("doc_id", "source", "text")
+    others = [c for c in docs.columns if c not in used]
+    carried = docs.select(*used, F.struct(*others, F.lit(0).alias(free_name("_none", docs.columns))).alias("_carried"))
+    rows = mixed_rows(carried, make_plan(carried, weights, seed, block_words, blocks_per_shard), seed)
+    shard, place = (free_name(n, docs.columns) for n in ("shard", "place"))
+    own = [F.col(c) if c in used else F.col("_carried")[c].alias(c) for c in docs.columns]
+    return rows.select(*own, F.col("shard").alias(shard), F.col("place").alias(place))
 
 
 def taken_words(docs: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:

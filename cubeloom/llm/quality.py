@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import mixed_key, query, table
+from cubeloom.llm.common import free_name, mixed_key, query, table
 from cubeloom.llm.tokens import release
 
 SEED = 3
@@ -141,11 +141,17 @@ class Model:
 
 def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray,
             rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """The model of a labelled sample (y 0 or 1) and an unlabelled pool; without both classes every document scores 1."""
-    order = np.random.default_rng(seed).permutation(len(y))
-    held, train = order[: len(y) // 5], order[len(y) // 5 :]
-    if len(held) < 10 or any(len(np.unique(y[part])) < 2 for part in (held, train)):
+    """The model of a labelled sample (y 0 or 1) and an unlabelled pool; without labels of both classes every document scores 1.
+
+    Of each class a fifth, and one label at least, is held out to calibrate the views; a class of a single label trains and calibrates.
+    """
+    if len(np.unique(y)) < 2:
         return Model(None, None)
+    order = np.random.default_rng(seed).permutation(len(y))
+    classes = [order[y[order] == label] for label in (0, 1)]
+    cuts = [max(1, len(c) // 5) for c in classes]
+    held = np.concatenate([c[:n] for c, n in zip(classes, cuts)])
+    train = np.concatenate([c[n:] if len(c) > n else c for c, n in zip(classes, cuts)])
     views = (text, page)
     pools = (pool_text, pool_page)
     given: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0)) for _ in views]  # pool rows and pseudo-labels
@@ -188,7 +194,10 @@ def _sample_features(docs: DataFrame, ids: DataFrame, most: int) -> tuple[np.nda
                 yield pd.DataFrame({"quality": f["quality"], "x": [r.tobytes() for r in both.astype("<f4")]})
 
     rows = docs.select(F.col("doc_id").cast("long"), *_views(docs)).join(F.broadcast(ids), "doc_id")  # at most ``most`` ids
-    found = rows.drop("doc_id").mapInPandas(features, "quality double, x binary").limit(most).toPandas()
+    # one row of an id that repeats: the smallest, so that reruns agree and no more than ``most`` reach the driver
+    views = [c for c in rows.columns if c not in ("doc_id", "quality")]
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", *views)).alias("r")).select("doc_id", "r.*").orderBy("doc_id")
+    found = rows.select("quality", *views).mapInPandas(features, "quality double, x binary").toPandas()
     split = TEXT_FEATURES
     x = np.frombuffer(b"".join(found["x"]), "<f4").reshape(len(found), split + PAGE_FEATURES).astype(np.float64)
     return x[:, :split], x[:, split:], found["quality"].to_numpy(np.float64)
@@ -231,13 +240,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Null texts and metadata have features of their own and are scored like any other; null ids are kept; repeated rows get equal
     scores; without labels of both classes every document scores 1; columns besides those of documents are not read.
     """
-    scored = with_scores(docs, fit(docs, labels))
-    return scored.select("doc_id", "_quality.*", (F.col("_quality.score") >= threshold).alias("keep"))
+    name = free_name("_quality", docs.columns)
+    scored = with_scores(docs, fit(docs, labels), name)
+    return scored.select("doc_id", f"{name}.*", (F.col(name)["score"] >= threshold).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches ``threshold``, with their own columns."""
-    return with_scores(docs, fit(docs, labels)).filter(F.col("_quality.score") >= threshold).select(*docs.columns)
+    name = free_name("_quality", docs.columns)
+    return with_scores(docs, fit(docs, labels), name).filter(F.col(name)["score"] >= threshold).select(*docs.columns)
 
 
 @query("op3_quality")

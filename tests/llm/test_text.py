@@ -51,13 +51,33 @@ def test_rows_become_records_and_come_back(spark):
 
 def test_secrets_edge_cases(edge_docs, no_docs):
     got = {r["doc_id"]: r for r in credentials.find_secrets(edge_docs).collect() if r["doc_id"] is not None}
-    assert [(s["kind"], s["start"], s["end"]) for s in got[10]["base"]] == [("assign", 0, 23 - 1), ("access", 27, 47)] or got[10]["n_assign"] == 1
+    assert [(s["kind"], s["start"], s["end"]) for s in got[10]["base"]] == [("assign", 0, 25), ("access", 30, 50)]
     assert got[10]["n_access"] == 1 and got[1]["base"] == [] and got[11]["base"] == []
     assert credentials.find_secrets(edge_docs).count() == edge_docs.count()
     assert credentials.find_secrets(no_docs).count() == 0
     masked = {r["doc_id"]: r["text"] for r in credentials.mask_secrets(edge_docs).collect() if r["doc_id"] is not None}
     assert set(masked[10]) >= {"*"} and "AKIA" not in masked[10] and " and " in masked[10] and masked[1] is None and masked[11] == "x" * 50_000
+    same = [c for c in edge_docs.columns if c != "text"]
     assert credentials.mask_secrets(edge_docs).columns == edge_docs.columns
+    assert sorted(map(str, credentials.mask_secrets(edge_docs).select(same).collect())) == sorted(map(str, edge_docs.select(same).collect()))
+
+
+@pytest.mark.parametrize("bare", ["aB3" * 14, "aB3x" * 22, "aB3_-" * 9, "aB3+/" * 30 + "=="])
+def test_bare_keys_of_any_length_and_alphabet_are_linked_and_masked(spark, bare):
+    text = f"AKIA{'A1' * 9} key {bare} end"
+    df = spark.createDataFrame([(1, text), (2, f"key {bare} end")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in credentials.mask_secrets(df).collect()}
+    assert got[1] == "*" * 22 + " key " + "*" * len(bare) + " end" and got[2] == f"key {bare} end"
+
+
+def test_few_labels_are_enough():
+    rng = np.random.default_rng(3)
+    y = np.array([0.0] * 3 + [1.0] * 6)
+    x = rng.normal(size=(9, quality.TEXT_FEATURES)) * 0.01 + y[:, None]
+    page = rng.normal(size=(9, quality.PAGE_FEATURES))
+    model = quality.cotrain(x, page, y, x[:0], page[:0])
+    assert model.text is not None and model.page is not None
+    assert quality.cotrain(x, page, np.ones(9), x[:0], page[:0]) == quality.Model(None, None)
 
 
 def test_base_spans_are_leftmost_and_do_not_overlap(spark):
@@ -125,6 +145,9 @@ def test_mixing_meets_its_targets(spark, edge_docs, no_docs):
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, again.collect()))
     assert mixed.groupBy("shard").agg(F.max("place").alias("m"), F.count("*").alias("n")).filter("m <> n").isEmpty()
     assert mixing.mix(no_docs).count() == 0
+    every = mixing.mix(edge_docs)
+    assert every.columns == [*edge_docs.columns, "_shard", "_place"] and every.count() > 0
+    assert every.select(*CLASH).distinct().collect() == edge_docs.select(*CLASH).distinct().collect()
     plain = edge_docs.drop(*CLASH)
     assert mixing.draw(plain, mixing.make_plan(plain)).count() == edge_docs.count()
 
