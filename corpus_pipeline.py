@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubeloom.llm.common import query, table, work_path
+from cubeloom.llm.common import free_name, query, table, work_path
 from cubeloom.llm.credentials import mask_secrets
 from cubeloom.llm.jaccard import similar_documents
 from cubeloom.llm.mixing import mix
@@ -35,12 +35,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     found = similar_documents(docs, words=SHINGLE_WORDS, percent=NEAR_PERCENT)
     # the smaller side: the ids that go
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    lost, mark = free_name("_gone", docs.columns), free_name("_text", docs.columns)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(lost)).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col(lost), "left_anti")
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    named = kept.filter("doc_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    named = kept.filter("doc_id IS NOT NULL").withColumn(mark, F.md5("text")).dropDuplicates(["doc_id", mark]).drop(mark)
     return named.unionByName(kept.filter("doc_id IS NULL")).select(*docs.columns)
 
 
