@@ -107,9 +107,16 @@ def mnf_by_block(df: DataFrame, block: str, k: int, vector: str = "spectrum", ou
     """MNF of every block with its own statistics; all blocks share the two statistics jobs."""
     noise = collect_moments_by(noise_differences(df, valid=None, vector=vector, keys=[block]), block, "delta")
     signal = collect_moments_by(df, block, vector)
-    plan = {
-        b: (m.mean, mnf_transform(m, Moments(noise[b].n, noise[b].mean, noise[b].cov / 2.0), k)) for b, m in signal.items()
-    }
+    # a block without neighbouring pixels has no differences of its own: it takes those of all blocks, or none at all
+    pairs = sum(m.n for m in noise.values())
+    common = sum(m.n * (m.cov + np.outer(m.mean, m.mean)) for m in noise.values()) / pairs if pairs else None
+
+    def halved(b, m: Moments) -> Moments:
+        if b in noise:
+            return Moments(noise[b].n, noise[b].mean, noise[b].cov / 2.0)
+        return Moments(pairs, np.zeros_like(m.mean), np.eye(len(m.mean)) if common is None else common / 2.0)
+
+    plan = {b: (m.mean, mnf_transform(m, halved(b, m), k)) for b, m in signal.items()}
     names = df.columns
     schema = T.StructType(df.schema.fields + [T.StructField(out, DOUBLES)])
 

@@ -344,6 +344,14 @@ def test_monte_carlo_scores_equal_brute_force(spark, monkeypatch, lot, block):
     assert got.keys() == want.keys() and all(np.isclose(got[k], want[k], atol=1e-12) for k in got)
 
 
+def test_blocks_without_neighbours_take_the_noise_of_all(spark):
+    rng = np.random.default_rng(2)
+    rows = [(r, c, 0 if r < 5 else 1 + (r + c) % 3, rng.normal(size=4).tolist()) for r in range(6) for c in range(5) if r < 5 or c in (0, 2)]
+    df = spark.createDataFrame(rows, "row int, col int, block int, spectrum array<double>")
+    got = reduce.mnf_by_block(df, "block", 2).collect()
+    assert len(got) == len(rows) and all(np.isfinite(r["scores"]).all() for r in got)
+
+
 def test_average_path():
     assert outlier.average_path(1) == 0 and outlier.average_path(2) == 1
     assert np.isclose(outlier.average_path(256), 2 * (np.log(255) + 0.5772156649) - 2 * 255 / 256)
@@ -426,7 +434,7 @@ class Asked(Exception):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name, module, operator", [("mc_isolation", outlier, "mc_isolation"), ("clean_points", outlier, "mc_isolation"), ("grid_search", classify, "grid_search")])
+@pytest.mark.parametrize("name, module, operator", [("grid_search", classify, "grid_search")])
 def test_registered_queries_do_the_whole_work(spark, monkeypatch, name, module, operator):
     sizes = inspect.signature(getattr(module, operator))
 
