@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from catalog import views as V
 from catalog.registry import query, r6, with_views
 from catalog.relational import checks, located, patch_sql
 from cubeloom.functions.vectors import vsum
-from cubeloom.operators import classify, cluster, infer, layers, outlier, patches, reduce, sampling
+from cubeloom.operators import classify, cluster, infer, layers, outlier, patches, reduce, sampling, search
 from cubeloom.plans import sampling as plans
 
 P = 5
@@ -199,11 +198,8 @@ def svm_classifier(spark, d):
 
 @query("grid_search")
 def grid_search(spark, d):
-    data = training(spark, d)
-    forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=42)
-    best = classify.grid_search(data, forest, classify.FOREST_GRID, "pix")
-    scored = best.transform(classify.with_features(data))
-    return scored.select("pix", F.col("prediction").cast("int").alias("label"))
+    """Mean accuracy of every combination of the forest grid and the split sizes."""
+    return search.forest_search(training(spark, d), "pix").withColumn("accuracy", r6("accuracy"))
 
 
 @query("predict_map")

@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling
+from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling, search
 from cubeloom.plans import sampling as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -429,25 +429,86 @@ def test_reduced_points_carry_their_key(spark):
     assert np.allclose(got[1]["v"], scores[7])
 
 
-class Asked(Exception):
-    """Carries what a query asks of its operator."""
+def forest_rows(spark):
+    """Labelled rows with noise, so that every setting gives another forest."""
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, 150)
+    x = rng.normal(size=(150, 5)) + y[:, None] * 0.8
+    return spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "pix long, label int, spectrum array<double>").coalesce(1)
+
+
+def test_nested_forests_equal_forests_of_their_own(spark):
+    df = forest_rows(spark)
+    data = search.folded_rows(df, "pix", "spectrum", "label", 2)
+
+    def own(**setting):
+        """Mean accuracy of forests that are fitted at one setting only."""
+        forest = RandomForestClassifier(featuresCol="features", labelCol="_y", seed=42, **setting)
+        ready, scores = search.fit_rows(data, 150), []
+        for k in range(2):
+            held = forest.fit(ready.filter(F.col("_fold") != k)).transform(ready.filter(F.col("_fold") == k))
+            scores.append(held.agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0])
+        return pytest.approx(np.mean(scores))
+
+    grid = {"numTrees": [3, 7], "maxDepth": [30, 2], "minInstancesPerNode": [2], "featureSubsetStrategy": ["sqrt"]}
+    table = search.forest_search(df, "pix", grid, (2, 20), folds=2).cache()
+    got = {(r["numTrees"], r["maxDepth"], r["minSplit"]): r["accuracy"] for r in table.collect()}
+    assert len(got) == 8
+    # the largest setting is a forest of Spark's own
+    assert got[7, 30, 2] == own(numTrees=7, maxDepth=30, minInstancesPerNode=2, featureSubsetStrategy="sqrt")
+    # one tree on all features: a cut tree decides as the tree that stopped there
+    grid = {"numTrees": [1], "maxDepth": [30, 1, 3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["all"]}
+    for r in search.forest_search(df, "pix", grid, (2,), folds=2).collect():
+        assert r["accuracy"] == own(numTrees=1, maxDepth=r["maxDepth"], featureSubsetStrategy="all")
+    best = search.best_setting(table)
+    assert got[best["numTrees"], best["maxDepth"], 2] == max(v for k, v in got.items() if k[2] == 2)
+    assert search.best_forest(df, table).getNumTrees == best["numTrees"]
+
+
+def test_nested_forests_against_a_walk_row_by_row(spark, tmp_path):
+    df = classify.with_features(forest_rows(spark))
+    RandomForestClassifier(featuresCol="features", labelCol="label", seed=1, maxDepth=9, numTrees=6).fit(df).write().save(str(tmp_path / "f"))
+    table = search.forest_nodes(spark, str(tmp_path / "f")).orderBy("tree").toArrow()
+    rows = df.collect()
+    x, y = np.array([r["spectrum"] for r in rows]), np.array([r["label"] for r in rows])
+    trees, depths, splits = [1, 4, 6], [2, 9], [2, 30]
+    got = search.Forest(table.column("nodes")).hits(x, y, trees, depths, splits)
+
+    def votes(nodes, row, d, s):
+        at, depth = nodes[0], 0
+        while at["feature"] >= 0 and depth < d and at["rows"] >= s:
+            at, depth = nodes[at["left"] if row[at["feature"]] <= at["cut"] else at["right"]], depth + 1
+        return np.array(at["stats"]) / sum(at["stats"])
+
+    nodes = table.column("nodes").to_pylist()
+    for t in trees:
+        for d in depths:
+            for s in splits:
+                want = sum(int(np.argmax(sum(votes(n, row, d, s) for n in nodes[:t])) == c) for row, c in zip(x, y))
+                assert got[t, d, s] == want
+
+
+def test_nested_search_on_odd_tables(spark):
+    df = forest_rows(spark)
+    grid = {"numTrees": [2], "maxDepth": [2], "minInstancesPerNode": [1], "featureSubsetStrategy": ["all"]}
+    assert search.forest_search(df.limit(0), "pix", grid).count() == 0
+    odd = df.unionByName(spark.createDataFrame([(900, None, [0.0] * 5), (901, 1, None)], df.schema)).withColumn("_fold", F.lit(1))
+    assert sorted(search.forest_search(odd, "pix", grid).collect()) == sorted(search.forest_search(df, "pix", grid).collect())
+    with pytest.raises(ValueError):
+        search.best_forest(df, search.forest_search(df.limit(0), "pix", grid))
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
-@pytest.mark.parametrize("name, module, operator", [("grid_search", classify, "grid_search")])
-def test_registered_queries_do_the_whole_work(spark, monkeypatch, name, module, operator):
-    sizes = inspect.signature(getattr(module, operator))
+def test_the_registered_search_asks_for_the_whole_grid(spark, monkeypatch):
+    asked = []
+    sizes = inspect.signature(search.forest_search)
 
-    def asked(*args, **named):
+    def note(*args, **named):
         full = sizes.bind(*args, **named)
         full.apply_defaults()
-        raise Asked(full.arguments)
-
-    monkeypatch.setattr(module, operator, asked)
-    with pytest.raises(Asked) as found:
-        entry.queries()[name](spark, FOLDER)
-    got = found.value.args[0]
-    if name == "grid_search":
-        assert got["grid"] == classify.FOREST_GRID and got["folds"] == 3
-    else:
-        assert (got["n_splits"], got["trees"]) == (1000, 100)
+        asked.append(full.arguments)
+        return spark.createDataFrame([(0.5,)], "accuracy double")
+
+    monkeypatch.setattr(search, "forest_search", note)
+    entry.queries()["grid_search"](spark, FOLDER)
+    assert asked[0]["grid"] == classify.FOREST_GRID and asked[0]["folds"] == 3 and tuple(asked[0]["splits"]) == (2, 5, 10)
