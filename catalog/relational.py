@@ -12,6 +12,7 @@ from cubeloom.operators import infer, layers, patches, polygons, ranking, reduce
 from cubeloom.operators.cluster import standardize_labels
 from cubeloom.operators.quantiles import threshold_flag
 from cubeloom.plans import sampling as plans
+from cubeloom.session import output_folder
 
 
 def located(spark, d):
@@ -235,10 +236,11 @@ def argmax_pixel(spark, d):
 @query("merge_layers", with_views("SELECT fid, class, layer AS source_layer, CAST(row_number() OVER () * 0 + i AS INT) AS layer_order, 'class_1' AS merged_layer FROM pts JOIN (SELECT layer, dense_rank() OVER (ORDER BY layer) - 1 AS i FROM (SELECT DISTINCT layer FROM pts)) USING (layer)", "pts"))
 def merge_layers(spark, d):
     p = V.pts(spark, d)
-    names = ["class_5", "class_3", "class_1", "class_2", "class_4"]
-    times = {"class_1": 10, "class_2": 20, "class_3": 30, "class_4": 40, "class_5": 50}
-    parts = [(times[n], n, p.filter(F.col("layer") == n).select("fid", "class")) for n in names]
-    return layers.merge_layers(parts, ["fid", "class"])
+    folder = output_folder(spark, "layers")
+    names = [f"class_{i}" for i in range(1, 6)]
+    for name in names:  # written one after the other
+        p.filter(F.col("layer") == name).select("fid", "class").write.parquet(f"{folder}/{name}")
+    return layers.merge_layer_files(spark, {name: f"{folder}/{name}" for name in reversed(names)}, ["fid", "class"])
 
 
 @query("assemble_blocks", with_views("SELECT row, col, CAST(label * 2 AS INT) AS label FROM px WHERE valid", "px"))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key
 from cubeloom.operators.ranking import flag_first, number_rows
+from cubeloom.sources.files import modified_times
 
 
 def locate_points(points: DataFrame, gt: geo.GeoTransform, rows: int, cols: int, keep_outside: bool = False) -> DataFrame:
@@ -133,6 +134,12 @@ def merge_layers(layers: Sequence[tuple[int, str, DataFrame]], columns: Sequence
     return reduce(DataFrame.unionByName, parts).withColumn("merged_layer", F.lit(ordered[0][1]))
 
 
+def merge_layer_files(spark: SparkSession, folders: dict[str, str], columns: Sequence[str]) -> DataFrame:
+    """Merges Parquet layers given as name -> folder in the order in which they were written; equal times go by name."""
+    times = modified_times(spark, folders)
+    return merge_layers([(times[name], name, spark.read.parquet(path)) for name, path in folders.items()], columns)
+
+
 def split_count(wanted: float, total: Column, strict: bool = True) -> Column:
     """Rows to take: a share below 1, a count otherwise; more than there are is an error."""
     if wanted < 1:

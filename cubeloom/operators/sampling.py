@@ -21,6 +21,8 @@ from cubeloom.session import cut_lineage
 # Fixed value: guards the min-max normalisation.
 NORM_EPS = 1e-12
 MAX_SEGMENTS = 1_000_000
+#: Pixels of a group that meet its extremes in one task, on average.
+BLOCK_ROWS = 20_000
 
 
 def random_sample_mask(
@@ -113,37 +115,49 @@ def ppi(
 ) -> DataFrame:
     """purity(keys..., ident, count): how often a pixel is extreme; pixels never hit are absent.
 
-    With a threshold every pixel within it of an extreme counts: a second pass compares the
-    pixels with the (keys x directions) extremes and emits only hits.
+    With a threshold every pixel within it of an extreme counts: a second pass compares the pixels with the
+    (keys x directions) extremes, held once per task or block, and emits only hits. Rows whose key is null take no part then.
     """
     extremes = direction_extremes(df, directions, vector, ident, keys)
     if threshold == 0:
         hits = extremes.select(*keys, F.explode(F.array("hi_pix", "lo_pix")).alias(ident))
         return hits.groupBy(*keys, ident).agg(F.count("*").alias("count"))
-    bounds = extremes.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("dir", "hi", "lo"))).alias("_e")
-    )
-    keyed = bounds.select(
-        *(keys or [F.lit(0).alias("_one")]),
-        F.transform("_e", lambda e: e["hi"] - threshold).alias("_top"),
-        F.transform("_e", lambda e: e["lo"] + threshold).alias("_low"),
-    )
-    on = list(keys) or ["_one"]
-    source = df if keys else df.withColumn("_one", F.lit(0))
-    joined = source.select(*on, F.col(ident).cast("long").alias(ident), vector).join(keyed if keys else F.broadcast(keyed), on)
-    schema = T.StructType([joined.schema[k] for k in on] + [T.StructField(ident, T.LongType()), T.StructField("count", T.LongType())])
+    fields = [T.StructField(k, df.schema[k].dataType) for k in keys] + [T.StructField(ident, T.LongType()), T.StructField("count", T.LongType())]
+    schema = T.StructType(fields)
+    pixels = df.select(*keys, F.col(ident).cast("long").alias(ident), vector)
 
-    def count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            s = matrix_of(batch.column(vector)) @ directions.T
-            n = (s >= matrix_of(batch.column("_top"))).sum(axis=1) + (s <= matrix_of(batch.column("_low"))).sum(axis=1)
-            columns = [batch.column(k) for k in on] + [batch.column(ident), pa.array(n.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+    def hits(values: pa.ChunkedArray | pa.Array, hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+        s = matrix_of(values) @ directions.T
+        return pa.array(((s >= hi - threshold).sum(axis=1) + (s <= lo + threshold).sum(axis=1)).astype(np.int64))
+
+    if not keys:
+        # one row per direction, as the directions themselves
+        found = extremes.orderBy("dir").collect()
+        hi, lo = np.array([r["hi"] for r in found]), np.array([r["lo"] for r in found])
 
-    hits = joined.mapInArrow(count_hits, schema).filter(F.col("count") > 0)
-    return hits if keys else hits.drop("_one")
+        def count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(ident), hits(batch.column(vector), hi, lo)], names=schema.names)
+
+        return pixels.mapInArrow(count_hits, schema).filter(F.col("count") > 0)
+    # blocks of a group's pixels meet the group's extremes, which are held once per block
+    sizes = pixels.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_blocks"))
+    blocked = pixels.join(sizes, list(keys)).withColumn("_block", F.pmod(F.xxhash64(ident), "_blocks")).drop("_blocks")
+    copies = extremes.select(*keys, "dir", "hi", "lo").join(sizes, list(keys))
+    copies = copies.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
+
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def count_block(rows: pa.Table, bounds: pa.Table) -> pa.Table:
+        if rows.num_rows == 0:
+            return pa.table([pa.array([], type=t) for t in types], names=schema.names)
+        bounds = bounds.sort_by("dir")
+        counts = hits(rows.column(vector), bounds.column("hi").to_numpy(), bounds.column("lo").to_numpy())
+        return pa.table([*(rows.column(k) for k in keys), rows.column(ident), counts], names=schema.names)
+
+    on = [*keys, "_block"]
+    return blocked.groupBy(*on).cogroup(copies.groupBy(*on)).applyInArrow(count_block, schema).filter(F.col("count") > 0)
 
 
 def segment_stats(df: DataFrame, vector: str = "spectrum", keys: Sequence[str] = ("seg",)) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from cubeloom.operators.classify import FOREST_GRID, stratified_folds, with_features
 from cubeloom.operators.moments import matrix_of
 from cubeloom.operators.ranking import number_rows
-from cubeloom.session import cut_lineage, output_folder
+from cubeloom.session import cut_lineage, drop_folder, output_folder
 
 # The split sizes of the forest grid.
 SPLIT_SIZES = (2, 5, 10)
@@ -168,6 +168,7 @@ def forest_search(
     arrow = pa.schema([(f.name, {"string": pa.string(), "int": pa.int32()}.get(f.dataType.simpleString(), pa.int64())) for f in result])
     keys = ["_leaf", "_share", "_fold", "_block"]
     scored = cut_lineage(held.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInArrow(score, result))
+    drop_folder(spark, folder)  # the counts are checkpointed
     by_fold = scored.groupBy(*SETTINGS, "_fold").agg((F.sum("_right") / F.sum("_rows")).alias("_accuracy"))
     return by_fold.groupBy(*SETTINGS).agg(F.avg("_accuracy").alias("accuracy"))
 

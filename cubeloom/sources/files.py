@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,19 @@ def scan_files(spark: SparkSession, folder: str, suffixes: str | tuple[str, ...]
     return reader.option("pathGlobFilter", pattern).load(folder).select("path", "length")
 
 
+def modified_times(spark: SparkSession, folders: dict[str, str]) -> dict[str, int]:
+    """Microseconds since 1970 at which each named folder or file was last written (its newest file; contents are not read)."""
+    frames = [
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.lit(name).alias("name"), "modificationTime")
+        for name, path in folders.items()
+    ]
+    newest = reduce(DataFrame.unionByName, frames).groupBy("name").agg(F.unix_micros(F.max("modificationTime")).alias("time"))
+    times = {r["name"]: r["time"] for r in newest.collect()}
+    if missing := sorted(set(folders) - set(times)):
+        raise FileNotFoundError(f"no files in {', '.join(missing)}")
+    return times
+
+
 def parse_samples(lines: DataFrame, line: str = "line", folder: str | None = None) -> DataFrame:
     """samples(path, label) of "path label" lines; ``folder`` re-roots the file names."""
     path = text.sample_path(F.col(line))

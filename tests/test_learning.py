@@ -136,6 +136,25 @@ def test_purity_counts(spark):
     assert got == {i: int(n) for i, n in enumerate(near) if n}
 
 
+@pytest.mark.parametrize("block", [7, 20_000])
+def test_purity_near_the_extremes_of_every_group(spark, monkeypatch, block):
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", block)
+    x = np.random.default_rng(4).normal(size=(8, 9, 4))
+    flat, seg = x.reshape(-1, 4), np.arange(72) % 20 // 15  # 54 pixels or so against 18
+    df = cube_df(spark, x).withColumn("seg", F.floor(F.col("pix") % 20 / 15).cast("int"))
+    directions = sampling.random_directions(50, 4, 1)
+    want = {}
+    for g in (0, 1):
+        pix = np.flatnonzero(seg == g)
+        s = flat[pix] @ directions.T
+        near = (s >= s.max(axis=0) - 0.2).sum(axis=1) + (s <= s.min(axis=0) + 0.2).sum(axis=1)
+        want |= {(g, int(p)): int(n) for p, n in zip(pix, near) if n}
+    found = sampling.ppi(df, directions, 0.2, keys=["seg"])
+    assert {(r["seg"], r["pix"]): r["count"] for r in found.collect()} == want
+    assert sampling.ppi(df.limit(0), directions, 0.2, keys=["seg"]).count() == 0
+    assert sampling.ppi(df.limit(0), directions, 0.2).count() == 0
+
+
 def brute_smacc(h, n):
     r, q, fs = h.copy(), [], []
     norms = np.sqrt((h * h).sum(axis=1))

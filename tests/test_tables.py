@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -221,6 +222,20 @@ def test_merge_needs_equal_widths_and_orders_by_time(spark):
         layers.merge_layers([(1, "a", a), (2, "c", b.select("id"))], ["fid", "class"])
 
 
+def test_written_layers_merge_by_their_age(spark, tmp_path):
+    folders = {name: str(tmp_path / name) for name in ("a", "b", "c")}
+    for i, name in enumerate(("b", "c", "a")):
+        spark.createDataFrame([(i, 7)], f"{name}1 long, {name}2 long").write.parquet(folders[name])
+        files = [os.path.join(folders[name], f) for f in os.listdir(folders[name])]
+        for f in files:
+            os.utime(f, (1_000_000 + i, 1_000_000 + i))
+    merged = layers.merge_layer_files(spark, folders, ["fid", "class"]).orderBy("layer_order").collect()
+    assert [(r["fid"], r["source_layer"], r["merged_layer"]) for r in merged] == [(0, "b", "b"), (1, "c", "b"), (2, "a", "b")]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(FileNotFoundError):
+        layers.merge_layer_files(spark, folders | {"empty": str(tmp_path / "empty")}, ["fid", "class"])
+
+
 def test_valid_features_box_is_closed(spark):
     points = spark.createDataFrame([(1, 0.0, 0.0, 4), (2, 140.0, 160.0, 0), (3, 140.1, 160.0, None)], "fid long, x double, y double, emb_idx long")
     assert {r["fid"] for r in layers.valid_features(points, GT, 4, 4).collect()} == {1, 2}
