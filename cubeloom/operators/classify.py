@@ -17,8 +17,8 @@ from cubeloom.operators.moments import collect_moments
 from cubeloom.operators.ranking import number_rows
 from cubeloom.operators.reduce import DOUBLES, map_vectors
 
-# The forest grid. A split-size limit has no counterpart in Spark's trees, so the
-# grid has 108 of the usual 324 combinations; unlimited depth becomes Spark's maximum of 30.
+# The forest grid. A split-size limit has no counterpart in Spark's trees (search.py cuts trees instead);
+# unlimited depth becomes Spark's maximum of 30.
 FOREST_GRID = {
     "numTrees": [50, 100, 200],
     "maxDepth": [30, 10, 20],
