@@ -9,7 +9,7 @@ from catalog import views as V
 from catalog.registry import query, r6, with_views
 from catalog.relational import checks, located, patch_sql
 from cubeloom.functions.vectors import vsum
-from cubeloom.operators import classify, cluster, infer, layers, outlier, patches, reduce, sampling, search
+from cubeloom.operators import classify, cluster, infer, layers, margins, outlier, patches, reduce, sampling, search
 from cubeloom.plans import sampling as plans
 
 P = 5
@@ -202,6 +202,13 @@ def grid_search(spark, d):
     return search.forest_search(training(spark, d), "pix").withColumn("accuracy", r6("accuracy"))
 
 
+@query("svm_grid_search")
+def svm_grid_search(spark, d):
+    """Mean accuracy of every combination of the reduced margin grid."""
+    found = margins.margin_search(training(spark, d), "pix", grid=classify.SVM_GRID_SMALL)
+    return found.withColumn("accuracy", r6("accuracy"))
+
+
 @query("predict_map")
 def predict_map(spark, d):
     model = classify.random_forest(training(spark, d))

@@ -157,22 +157,11 @@ def svm_grid_search(
     train: DataFrame, ident: str, vector: str = "spectrum", label: str = "label", grid: dict = SVM_GRID,
     folds: int = 3, size: int = 256, max_iter: int = 50,
 ) -> list[tuple[dict, float]]:
-    """(parameters, mean accuracy) over stratified folds, best first. Without the poly kernel degree is not varied."""
-    import itertools
-
-    folded = stratified_folds(train, ident, label, folds).persist()
-    results = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
-        if "degree" in grid and params.get("kernel", "rbf") != "poly" and params["degree"] != grid["degree"][0]:
-            continue
-        scores = []
-        for k in range(folds):
-            model = svm_classifier(folded.filter(F.col("fold") != k), vector, label, size=size, max_iter=max_iter, **params)
-            held = model.transform(folded.filter(F.col("fold") == k))
-            scores.append(held.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0])
-        results.append((params, float(np.mean(scores))))
-    folded.unpersist()
+    """(parameters, mean accuracy) over stratified folds, best first; all combinations are trained together (margins.py)."""
+    from cubeloom.operators.margins import margin_search
+
+    scores = margin_search(train, ident, vector, label, grid, folds, size, max_iter=max_iter).collect()
+    results = [({name: r[name] for name in r.asDict() if name != "accuracy"}, r["accuracy"]) for r in scores]
     return sorted(results, key=lambda r: -r[1])
 
 
