@@ -9,7 +9,7 @@ from catalog import views as V
 from catalog.registry import query, r6, with_views
 from catalog.relational import checks, located, patch_sql
 from cubeloom.functions.vectors import vsum
-from cubeloom.operators import classify, cluster, infer, layers, margins, outlier, patches, reduce, sampling, search
+from cubeloom.operators import classify, cluster, components, infer, layers, margins, outlier, patches, reduce, sampling, search, superpixels
 from cubeloom.plans import sampling as plans
 
 P = 5
@@ -124,7 +124,20 @@ def slic(spark, d):
     p = V.px(spark, d).filter("valid")
     rows, cols = V.dims(p)
     image = reduce.pca(p.select("pix", "row", "col", "spectrum"), 3, out="colour").select("pix", "row", "col", "colour")
-    return sampling.slic(image, "colour", rows, cols, 20, 10.0).select("pix", "seg")
+    return superpixels.slic(image, "colour", rows, cols, 20, 10.0).select("pix", "seg")
+
+
+@query("slic_connected", with_views(
+    "SELECT count(*) AS n_pixels, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_without FROM px WHERE valid", "px"))
+def slic_connected(spark, d):
+    """Every valid pixel has a segment and no segment has two pieces."""
+    p = V.px(spark, d).filter("valid")
+    rows, cols = V.dims(p)
+    found = superpixels.slic(p.select("pix", "row", "col", "spectrum"), "spectrum", rows, cols)
+    pieces = components.connected_components(found, cols, 4, value="seg", out="piece")
+    kinds = pieces.groupBy("seg").agg(F.count("*").alias("n"), F.countDistinct("piece").alias("k"))
+    total = kinds.agg(F.sum("n").alias("n_pixels"), F.sum((F.col("k") > 1).cast("long")).alias("n_split"), F.sum(F.col("seg").isNull().cast("long")).alias("n_without"))
+    return total
 
 
 @query("pipeline_superpixel_sampling")

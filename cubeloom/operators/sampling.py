@@ -1,4 +1,4 @@
-"""Pixel purity, superpixel statistics, SMACC and SLIC."""
+"""Pixel purity, superpixel statistics and SMACC."""
 
 from __future__ import annotations
 
@@ -12,15 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.storagelevel import StorageLevel
 
-from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key, dot, sqnorm
-from cubeloom.operators.moments import HELD_KEYS, band_sums, group_slices, list_array, matrix_of, moment_sums, vector_width
+from cubeloom.operators.moments import HELD_KEYS, band_sums, group_slices, list_array, matrix_of, moment_sums
 from cubeloom.operators.ranking import flag_first, top_per_group
 from cubeloom.session import cut_lineage
 
 # Fixed value: guards the min-max normalisation.
 NORM_EPS = 1e-12
-MAX_SEGMENTS = 1_000_000
 #: Pixels of a group that meet its extremes in one task, on average.
 BLOCK_ROWS = 20_000
 
@@ -351,76 +349,3 @@ def _smacc_step(active: dict, ident: str, names: list[str]):
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in names], names=names)
 
     return run
-
-
-# --- SLIC ---------------------------------------------------------------------------------------
-
-
-def slic(
-    df: DataFrame,
-    channels: str,
-    rows: int,
-    cols: int,
-    n_segments: int = 512,
-    compactness: float = 10.0,
-    rounds: int = 10,
-) -> DataFrame:
-    """Superpixels by local k-means on colour and position: adds seg (1-based).
-
-    Only the centres (n_segments rows) are state; each round assigns every pixel to the nearest
-    centre whose grid cell touches its own and averages the members, so a round is one aggregate
-    and nothing accumulates. Masked pixels must be filtered out before.
-    """
-    if not 1 <= n_segments <= MAX_SEGMENTS:
-        raise ValueError(f"n_segments must be between 1 and {MAX_SEGMENTS}")
-    step = max(1.0, float(np.sqrt(rows * cols / n_segments)))
-    grid_rows, grid_cols = max(1, round(rows / step)), max(1, round(cols / step))
-    width = vector_width(df, channels)
-    cell = F.struct(
-        F.least(F.floor(F.col("row") * grid_rows / rows), F.lit(grid_rows - 1)).cast("int").alias("gr"),
-        F.least(F.floor(F.col("col") * grid_cols / cols), F.lit(grid_cols - 1)).cast("int").alias("gc"),
-    )
-    means = [F.avg(F.get(F.col(channels), F.lit(b)).cast("double")).alias(f"c{b}") for b in range(width)]
-    start = df.groupBy(cell.alias("cell")).agg(F.avg("row").alias("cr"), F.avg("col").alias("cc"), *means).collect()
-    ordered = sorted(start, key=lambda r: (r["cell"]["gr"], r["cell"]["gc"]))
-    centres = np.array([[r["cr"], r["cc"], *[r[f"c{b}"] for b in range(width)]] for r in ordered])
-    home = np.full((grid_rows + 2, grid_cols + 2), -1)
-    for i, r in enumerate(ordered):
-        home[r["cell"]["gr"] + 1, r["cell"]["gc"] + 1] = i
-    weight = (compactness / 100.0 / step) ** 2
-    names, schema = df.columns, T.StructType(df.schema.fields + [T.StructField("seg", T.IntegerType())])
-
-    def assign(current: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                r = batch.column("row").to_numpy().astype(float)
-                c = batch.column("col").to_numpy().astype(float)
-                x = matrix_of(batch.column(channels))
-                gr = np.minimum(np.floor(r * grid_rows / rows), grid_rows - 1).astype(int)
-                gc = np.minimum(np.floor(c * grid_cols / cols), grid_cols - 1).astype(int)
-                best = np.full(len(r), np.inf)
-                seg = np.zeros(len(r), dtype=np.int32)
-                for dr in (0, 1, 2):
-                    for dc in (0, 1, 2):
-                        candidate = home[gr + dr, gc + dc]
-                        k = current[candidate]
-                        d = ((x - k[:, 2:]) ** 2).sum(axis=1) + weight * ((r - k[:, 0]) ** 2 + (c - k[:, 1]) ** 2)
-                        better = (candidate >= 0) & (d < best)
-                        best[better] = d[better]
-                        seg[better] = candidate[better] + 1
-                yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(seg)], names=names + ["seg"])
-
-        return run
-
-    for _ in range(rounds):
-        members = df.mapInArrow(assign(centres), schema)
-        updated = members.groupBy("seg").agg(F.avg("row").alias("cr"), F.avg("col").alias("cc"), *means).collect()
-        fresh = centres.copy()
-        for r in updated:
-            fresh[r["seg"] - 1] = [r["cr"], r["cc"], *[r[f"c{b}"] for b in range(width)]]
-        if np.allclose(fresh, centres, rtol=0, atol=1e-9):
-            break
-        centres = fresh
-    return df.mapInArrow(assign(centres), schema)

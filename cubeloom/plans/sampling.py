@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubeloom.functions import geo
-from cubeloom.operators import cluster, layers, patches, reduce, sampling
+from cubeloom.operators import cluster, layers, patches, reduce, sampling, superpixels
 from cubeloom.sources.files import sample_lines
 
 
@@ -37,7 +37,7 @@ def superpixel_sampling(pixels: DataFrame, rows: int, cols: int, max_samples: in
     scores = reduce.pca(pixels.filter("valid"), max(k, 3))
     image = rgb_compose(scores, 1, 2, 3, vector="scores", order="bgr")
     colours = image.withColumn("colour", F.array("c1", "c2", "c3"))
-    segments = sampling.slic(colours.select("scene_id", "row", "col", "colour"), "colour", rows, cols, n_segments, compactness)
+    segments = superpixels.slic(colours.select("scene_id", "row", "col", "colour"), "colour", rows, cols, n_segments, compactness)
     enhanced = reduce.enhance(pixels, method, k).select("scene_id", "row", "col", "pix", "scores")
     joined = enhanced.join(segments.select("scene_id", "row", "col", "seg"), ["scene_id", "row", "col"])
     directions = sampling.random_directions(niters, k, seed)

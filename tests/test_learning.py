@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling, search
+from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling, search, superpixels
 from cubeloom.plans import sampling as plans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -209,13 +209,13 @@ def test_smacc_stops_at_the_rank_or_the_residual(spark):
 def test_superpixels_partition_two_halves(spark):
     cube = np.zeros((12, 20, 1))
     cube[:, 10:] = 1.0
-    seg = sampling.slic(cube_df(spark, cube), "spectrum", 12, 20, 8, 0.1)
+    seg = superpixels.slic(cube_df(spark, cube), "spectrum", 12, 20, 8, 0.1)
     labels = {}
     for r in seg.collect():
         labels.setdefault(r["seg"], set()).add(r["spectrum"][0])
     assert all(len(v) == 1 for v in labels.values()) and min(labels) >= 1 and 4 <= len(labels) <= 10
     with pytest.raises(ValueError):
-        sampling.slic(cube_df(spark, cube), "spectrum", 12, 20, 0)
+        superpixels.slic(cube_df(spark, cube), "spectrum", 12, 20, 0)
 
 
 def test_equal_segments_score_alike(spark):
