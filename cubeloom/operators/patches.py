@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key
 from cubeloom.operators.moments import DOUBLES, list_array, matrix_of, vector_width
+from cubeloom.operators.tiles import TILE
 
 
 def patch_gather(
@@ -25,53 +26,64 @@ def patch_gather(
     fill: float = 0.0,
     bands: int | None = None,
 ) -> DataFrame:
-    """Adds cube (band-major, p*p per band) and n_inside to every centre.
+    """Adds cube (band-major, p*p per band) and n_inside to every centre; cells without a pixel are padded.
 
-    The p*p window cells of the centres are joined with the pixels, so only pixels near a centre
-    move; a centre's group has at most p*p rows. Cells outside the scene are padded.
+    Pixels move once, as halo tiles that hold a centre; a patch is cut once per pixel inside its tile, and the centres meet their
+    patch by pixel. Tiles are as wide as PATCH_BYTES of patches allow, so a task's group is bounded. Of repeated pixels one is taken;
+    a centre without row or column has no patch.
     """
-    before = geo.patch_radius(p)[0]
+    before, after = geo.patch_radius(p)
     width = bands or vector_width(pixels, "spectrum")
     names = list(dict.fromkeys([*keys, *ident, "row", "col"]))
-    cells = centres.select(*names, F.explode(F.sequence(F.lit(0), F.lit(p * p - 1))).alias("_k"))
-    cells = cells.withColumn("_r", F.col("row") + F.floor(F.col("_k") / p).cast("int") - before).withColumn(
-        "_c", F.col("col") + F.pmod(F.col("_k"), F.lit(p)) - before
-    )
-    source = pixels.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("spectrum").alias("_s"))
-    found = cells.join(source, [*keys, "_r", "_c"], "left")
-    held = F.struct("_k", F.col("_s").cast("array<double>").alias("_s"))
-    grouped = found.groupBy(*names).agg(F.collect_list(F.when(F.col("_s").isNotNull(), held)).alias("_cells"))
-    packed = grouped.select(
-        *names,
-        F.size("_cells").cast("int").alias("n_inside"),
-        F.lit(p).alias("p"),
-        F.transform("_cells", lambda c: c["_k"]).alias("_at"),
-        F.flatten(F.transform("_cells", lambda c: c["_s"])).alias("_values"),
-    )
-    return _assemble(packed, [*names, "n_inside", "p"], p * p, width, fill)
-
-
-def _assemble(packed: DataFrame, names: Sequence[str], cells: int, width: int, fill: float) -> DataFrame:
-    """Places the found spectra of each patch into its cube, whole batches at a time."""
-    names = list(names)
-    schema = T.StructType([packed.schema[n] for n in names] + [T.StructField("cube", DOUBLES)])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0:
-                continue
-            at = batch.column("_at")
-            owner = np.repeat(np.arange(n), at.value_lengths().to_numpy(zero_copy_only=False))
-            where = at.flatten().to_numpy()
-            values = batch.column("_values").flatten().to_numpy().reshape(len(where), width) if len(where) else None
-            cube = np.full((n, width, cells), float(fill))
-            if values is not None:
-                cube[owner, :, where] = values
-            columns = [batch.column(c) for c in names] + [list_array(cube.reshape(n, -1))]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return packed.mapInArrow(place, schema)
+    place = [*keys, "row", "col"]
+    tile = int(np.clip((PATCH_BYTES / (8.0 * p * p * max(1, width))) ** 0.5, 1, TILE))
+    tiles = [*keys, "tile_row", "tile_col"]
+    # named anew: centres are often taken from the pixels themselves
+    wanted = centres.filter("row IS NOT NULL AND col IS NOT NULL").select(*[F.col(c).alias(c) for c in place]).distinct()
+    for axis in ("row", "col"):
+        wanted = wanted.withColumn(f"tile_{axis}", F.floor(F.col(axis) / tile).cast("int"))
+    source = pixels.filter(F.col("spectrum").isNotNull()).select(*place, F.col("spectrum").cast("array<double>").alias("_s"))
+
+    def owners(axis: str) -> Column:
+        # the tiles whose centres see this pixel; centres may lie outside the scene
+        low, high = F.floor((F.col(axis) - after) / tile).cast("int"), F.floor((F.col(axis) + before) / tile).cast("int")
+        return F.explode(F.sequence(low, high))
+
+    copies = source.withColumn("tile_row", owners("row")).withColumn("tile_col", owners("col"))
+    copies = copies.join(wanted.select(*tiles).distinct(), tiles, "left_semi")
+    cut = _cut_patches(wanted, copies, tiles, place, p, before, width, fill)
+    return centres.select(*names).distinct().join(cut, place).select(*names, "n_inside", F.lit(p).alias("p"), "cube")
+
+
+#: Bytes of the patches of one tile.
+PATCH_BYTES = 128_000_000
+
+
+def _cut_patches(wanted: DataFrame, copies: DataFrame, tiles: Sequence[str], place: Sequence[str], p: int, before: int, width: int,
+                 fill: float) -> DataFrame:
+    """(place, n_inside, cube) of every wanted pixel, tile by tile."""
+    place = list(place)
+    schema = T.StructType([wanted.schema[c] for c in place] + [T.StructField("n_inside", T.IntegerType()), T.StructField("cube", DOUBLES)])
+
+    def cut(centres: pa.Table, pixels: pa.Table) -> pa.Table:
+        r, c = (centres.column(axis).to_numpy() for axis in ("row", "col"))
+        n = len(r)
+        # row of each pixel's spectrum in a dense grid around the centres; the last spectrum is the filling
+        low = (r.min() - before, c.min() - before) if n else (0, 0)
+        grid = np.full((int(r.max() - r.min()) + p, int(c.max() - c.min()) + p) if n else (p, p), len(pixels))
+        if len(pixels):
+            i, j = (pixels.column(axis).to_numpy() - l for axis, l in zip(("row", "col"), low))
+            held = np.flatnonzero((i >= 0) & (j >= 0) & (i < grid.shape[0]) & (j < grid.shape[1]))
+            grid[i[held], j[held]] = held
+            spectra = np.vstack([matrix_of(pixels.column("_s")), np.full((1, width), float(fill))])
+        else:
+            spectra = np.full((1, width), float(fill))
+        window = np.lib.stride_tricks.sliding_window_view(grid, (p, p))[r - low[0] - before, c - low[1] - before].reshape(n, p * p)
+        cube = spectra[window].transpose(0, 2, 1).reshape(n, width * p * p)
+        inside = (window < len(pixels)).sum(axis=1).astype(np.int32)
+        return pa.table([centres.column(name) for name in place] + [pa.array(inside), list_array(cube)], names=schema.names)
+
+    return wanted.groupBy(*tiles).cogroup(copies.groupBy(*tiles)).applyInArrow(cut, schema)
 
 
 def patch_gather_points(
