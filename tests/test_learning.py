@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling, search, superpixels
 from cubeloom.plans import sampling as plans
+from cubeloom.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
 GT = (100.0, 10.0, 0.0, 200.0, 0.0, -10.0)
@@ -531,3 +532,32 @@ def test_the_registered_search_asks_for_the_whole_grid(spark, monkeypatch):
     monkeypatch.setattr(search, "forest_search", note)
     entry.queries()["grid_search"](spark, FOLDER)
     assert asked[0]["grid"] == classify.FOREST_GRID and asked[0]["folds"] == 3 and tuple(asked[0]["splits"]) == (2, 5, 10)
+
+
+def test_bracketed_offsets_equal_exact_ones_and_no_row_is_copied_per_lot(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(i, "a" if i < 700 else "b", np.round(rng.normal(size=3), 1).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "fid long, layer string, spectrum array<double>").repartition(3)
+    kept = []
+
+    def counted(frame):
+        kept.append(cut_lineage(frame))
+        return kept[-1]
+
+    exact = {r["fid"]: r["score"] for r in outlier.mc_isolation(df, 30, 0.2, trees=5).collect()}
+    monkeypatch.setattr(outlier, "PILOT_ROWS", 300)
+    monkeypatch.setattr(outlier, "LOT", 2)
+    monkeypatch.setattr(outlier, "cut_lineage", counted)
+    got = {r["fid"]: r["score"] for r in outlier.mc_isolation(df, 30, 0.2, trees=5).collect()}
+    assert got.keys() == exact.keys() and all(np.isclose(got[k], exact[k], atol=1e-12) for k in got)
+    # 15 lots of splits: rows leave once, with a few rows per split
+    assert all(frame.count() <= 900 + 30 * 2 * 4 for frame in kept)
+
+
+def test_quantile_of_distinct_values():
+    values = np.sort(np.random.default_rng(3).integers(0, 40, 301) / 7.0)
+    for share in (0.0, 0.1, 0.37, 1.0):
+        low, high = outlier.bracket(values, share)
+        held, counts = np.unique(values[(values >= low) & (values <= high)], return_counts=True)
+        assert np.isclose(outlier.quantile_of(held, counts, int((values < low).sum()), 301, share), np.quantile(values, share))
+    assert outlier.quantile_of(values[:3], np.ones(3, int), 0, 301, 0.5) is None
