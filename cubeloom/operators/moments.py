@@ -28,6 +28,19 @@ def matrix_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+#: Bytes of vectors that a function takes at once: batches are counted in rows, and rows may be wide.
+SLICE_BYTES = 16_000_000
+
+
+def vector_slices(batches: Iterator[pa.RecordBatch], vector: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches that hold at most SLICE_BYTES of vectors; a batch is let go before the next one is read."""
+    for batch in batches:
+        step = max(1, SLICE_BYTES * batch.num_rows // max(1, 8 * len(batch.column(vector).flatten())))
+        for lo in range(0, batch.num_rows, step):
+            yield batch.slice(lo, step)
+        del batch
+
+
 def list_array(matrix: np.ndarray) -> pa.ListArray:
     """(rows, width) matrix -> ARRAY<DOUBLE> column without a Python loop."""
     matrix = np.ascontiguousarray(matrix, dtype=np.float64)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from cubeloom.functions import geo
 from cubeloom.functions.vectors import arith_key
-from cubeloom.operators.moments import DOUBLES, list_array, matrix_of, vector_width
+from cubeloom.operators.moments import DOUBLES, list_array, matrix_of, vector_slices, vector_width
 from cubeloom.operators.tiles import TILE
 
 
@@ -56,7 +56,7 @@ def patch_gather(
 
 
 #: Bytes of the patches of one tile.
-PATCH_BYTES = 128_000_000
+PATCH_BYTES = 64_000_000
 
 
 def _cut_patches(wanted: DataFrame, copies: DataFrame, tiles: Sequence[str], place: Sequence[str], p: int, before: int, width: int,
@@ -79,7 +79,10 @@ def _cut_patches(wanted: DataFrame, copies: DataFrame, tiles: Sequence[str], pla
         else:
             spectra = np.full((1, width), float(fill))
         window = np.lib.stride_tricks.sliding_window_view(grid, (p, p))[r - low[0] - before, c - low[1] - before].reshape(n, p * p)
-        cube = spectra[window].transpose(0, 2, 1).reshape(n, width * p * p)
+        cube = np.empty((n, width, p * p))
+        for lo in range(0, n, 1024):
+            cube[lo : lo + 1024] = spectra[window[lo : lo + 1024]].transpose(0, 2, 1)
+        cube = cube.reshape(n, width * p * p)
         inside = (window < len(pixels)).sum(axis=1).astype(np.int32)
         return pa.table([centres.column(name) for name in place] + [pa.array(inside), list_array(cube)], names=schema.names)
 
@@ -162,12 +165,11 @@ def map_cubes(df: DataFrame, ident: str | None, function: CubeMap, seed: int = 0
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in vector_slices(batches, cube):
             result = function(matrix_of(batch.column(cube)), batch.column("_h").to_numpy().view(np.uint64))
             columns = [list_array(result) if n == cube else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+            del batch, result, columns
 
     schema = T.StructType([T.StructField(f.name, DOUBLES) if f.name == cube else f for f in df.schema.fields])
     return prepared.mapInArrow(run, schema)

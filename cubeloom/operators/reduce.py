@@ -22,6 +22,7 @@ from cubeloom.operators.moments import (
     matrix_of,
     noise_differences,
     noise_moments,
+    vector_slices,
 )
 
 REDUCTIONS = ("PCA", "MNF")
@@ -33,12 +34,11 @@ def map_vectors(df: DataFrame, vector: str, out: str, function, out_type: T.Data
     schema = T.StructType(df.schema.fields + [T.StructField(out, out_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in vector_slices(batches, vector):
             result = function(matrix_of(batch.column(vector)))
             extra = list_array(result) if isinstance(out_type, T.ArrayType) else pa.array(result)
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [extra], names=names + [out])
+            del batch, result, extra
 
     return df.mapInArrow(run, schema)
 

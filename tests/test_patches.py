@@ -1,8 +1,11 @@
 """Patches cut in halo tiles: tile borders, shared pixels, centres outside, and the plan."""
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cubeloom.operators import patches
+from cubeloom.operators import moments, patches, reduce
 from tests.helpers import cube_df
 
 
@@ -31,3 +34,20 @@ def test_spectra_are_shuffled_once(spark):
     plan = gathered._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == 1 and "collect_list" not in plan
     assert patches.patch_gather(df.filter("false").select("scene_id", "row", "col"), df, 3, bands=2).count() == 0
+
+
+def test_wide_vectors_reach_functions_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(moments, "SLICE_BYTES", 8 * 50 * 7)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array([[float(i)] * 50 for i in range(20)])], names=["i", "v"])
+    parts = list(moments.vector_slices(iter([batch, batch.slice(0, 0)]), "v"))
+    assert [p.num_rows for p in parts] == [7, 7, 6]
+    assert moments.matrix_of(parts[1].column("v"))[:, 0].tolist() == [7, 8, 9, 10, 11, 12, 13]
+
+
+def test_functions_over_cubes_see_few_patches_at_once(spark):
+    """One batch of wide cubes; the function tells how many it was given."""
+    df = spark.range(0, 600, 1, 1).withColumn("cube", F.array_repeat(F.col("id").cast("double"), 8000))
+    seen = reduce.map_vectors(df, "cube", "n", lambda x: np.full(len(x), float(len(x))), T.DoubleType()).select("id", "n").collect()
+    assert sorted(r["id"] for r in seen) == list(range(600)) and max(r["n"] for r in seen) * 64_000 <= moments.SLICE_BYTES
+    flipped = patches.map_cubes(df, None, lambda x, _: x + len(x) * 0.0).agg(F.sum(F.element_at("cube", 1))).first()[0]
+    assert flipped == sum(range(600))
