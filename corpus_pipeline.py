@@ -57,14 +57,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Words a worker keeps; fewer than when packing runs alone, as the stages before leave their memory in use.
-WORDS = 250_000
+WORDS = 100_000
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship_package(spark)
-    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=WORDS)
+    packed = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), entries=WORDS, frugal=True)
     return packed.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import text_chunks
+from cubeloom.llm.tokens import lean, text_chunks
 
 SCOPE = 400
 KINDS = ("assign", "access", "hex")
@@ -104,7 +104,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select(row_key().alias("_key"), F.col("doc_id").cast("long"), "text")
-    return written(rows.mapInArrow(find, f"_key {KEY}, {FOUND}"), "secret-spans")
+    return written(rows.mapInArrow(lean(find), f"_key {KEY}, {FOUND}"), "secret-spans")
 
 
 def _marked(weak: bool):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
 from cubeloom.llm.graph import components
-from cubeloom.llm.tokens import release, text_chunks
+from cubeloom.llm.tokens import lean, text_chunks
 
 WORDS = 4
 PERCENT = 85
@@ -66,7 +66,6 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """kind, doc_id, n, cid per document, and per chunk of documents the shingles that many of its sets hold (kind 1)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
             for lo, _, texts in text_chunks(batch.column(1), CHUNK_BYTES):
                 sets = [shingles(t, words) for t in texts.to_pylist()]
@@ -84,7 +83,7 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     names=["kind", "doc_id", "n", "cid"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "kind int, doc_id long, n long, cid long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(read), "kind int, doc_id long, n long, cid long")
 
 
 def only_equal(size: int, percent: int) -> bool:
@@ -100,7 +99,6 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
         common = told.value
         part, made = TaskContext.get().partitionId(), 0
         seen: set[int] = set()
-        release()
         for batch in batches:
             for _, _, texts in text_chunks(batch.column(0), CHUNK_BYTES):
                 for low in range(0, len(texts), 60_000):  # a set has 16 bits
@@ -166,7 +164,7 @@ def shared_shingles(docs: DataFrame, hot: np.ndarray, buckets: int, words: int =
         return pa.table([pa.array(np.concatenate(refs), pa.int64()), pa.array(np.concatenate(df), pa.int64()), pa.array(np.concatenate(shingle), pa.int64())],
                         names=["ref", "df", "shingle"])
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket int, ref long, rare binary, warm binary, heads binary, sizes binary")
+    dealt = docs.select("text").mapInArrow(lean(deal), "bucket int, ref long, rare binary, warm binary, heads binary, sizes binary")
     return dealt.groupBy("bucket").applyInArrow(count, "ref long, df long, shingle long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import query, table, written
-from cubeloom.llm.tokens import CACHE_ENTRIES, encoder, text_chunks
+from cubeloom.llm.tokens import CACHE_ENTRIES, encoder, lean, text_chunks
 
 MAX_LEN = 2048
 END_ID = 1
@@ -58,11 +58,11 @@ def shortest_pack_first(histogram: Mapping[int, int], max_len: int) -> list[tupl
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID,
-                  entries: int = CACHE_ENTRIES) -> DataFrame:
+                  entries: int = CACHE_ENTRIES, frugal: bool = False) -> DataFrame:
     """Pieces of at most ``max_len`` ids of every document; ``ids`` holds little-endian unsigned 32-bit numbers.
 
     Null and empty texts are the end id alone. ``part`` and ``nth`` number equal lengths within a task; the table
-    is written, so these numbers stay as they are if an executor is lost.
+    is written, so these numbers stay as they are if an executor is lost. ``frugal`` tasks leave no words in their worker.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_i
                     names=["doc_id", "start", "length", "doc_tokens", "part", "nth", "ids"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut) if frugal else cut, PIECES)
     return written(rows, "pieces")
 
 
@@ -114,13 +114,14 @@ def place(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     )
 
 
-def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID, entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, end_id: int = END_ID, entries: int = CACHE_ENTRIES,
+         frugal: bool = False) -> DataFrame:
     """Packed pieces: doc_id, start, length, doc_tokens, ids (binary), sequence_id, offset.
 
     A null or empty text is packed as its end id; a null doc_id is kept; repeated rows are packed one by one; an
     empty table gives no rows; columns besides doc_id and text are not read.
     """
-    return place(cut_documents(docs, tokenizer, max_len, end_id, entries), max_len)
+    return place(cut_documents(docs, tokenizer, max_len, end_id, entries, frugal), max_len)
 
 
 def packed_digest(docs: DataFrame, tokenizer: str, entries: int = CACHE_ENTRIES) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubeloom.llm.common import free_name, mixed_key, query, table
-from cubeloom.llm.tokens import release
+from cubeloom.llm.tokens import lean
 
 SEED = 3
 #: Labelled and unlabelled documents that the classifiers are fitted on.
@@ -223,13 +223,15 @@ def with_scores(docs: DataFrame, model: Model, name: str = "_quality") -> DataFr
 
     @F.pandas_udf(SCORES)
     def score(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        release()
-        for batch in columns:
-            parts = []
-            for at in range(0, max(len(batch[0]), 1), ROWS):
-                text, *page = (c.iloc[at : at + ROWS].tolist() for c in batch)
-                parts.append(np.column_stack(told.value.score(text_view(text), page_view(*page))))
-            yield pd.DataFrame(np.concatenate(parts), columns=["text_score", "page_score", "score"])
+        def scored(columns: Iterator) -> Iterator[pd.DataFrame]:
+            for batch in columns:
+                parts = []
+                for at in range(0, max(len(batch[0]), 1), ROWS):
+                    text, *page = (c.iloc[at : at + ROWS].tolist() for c in batch)
+                    parts.append(np.column_stack(told.value.score(text_view(text), page_view(*page))))
+                yield pd.DataFrame(np.concatenate(parts), columns=["text_score", "page_score", "score"])
+
+        yield from lean(scored)(columns)
 
     return docs.withColumn(name, score(*_views(docs)))
 

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from cubeloom.llm import credentials, jaccard, mixing, quality
+from cubeloom.llm import credentials, jaccard, mixing, quality, tokens
 from cubeloom.llm.common import work_path
 
 FOLDER = "/root/testdata/sf0.001"
@@ -139,3 +139,20 @@ def test_stages_bear_odd_rows(spark, edge_docs, no_docs):
     kept = corpus_pipeline.near_copies(spark, edge_docs.select("doc_id", "text", "lang", "source", "n_chars"), FOLDER).collect()
     ids = sorted(r["doc_id"] for r in kept if r["doc_id"] is not None)
     assert ids == [1, 2, 3, 4, 5, 7, 9, 10, 11] and sum(r["doc_id"] is None for r in kept) == 2
+
+
+def test_tasks_leave_no_words_in_their_worker():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def task(batches):
+        for text in batches:
+            yield tokens.encoder(path, 10).ids([text])
+
+    assert [len(found) for found in tokens.lean(task)(["one two", "three"])] == [1, 1]
+    assert tokens.encoder.cache_info().currsize == 0
+    stopped = tokens.lean(task)(["one two", "three"])
+    next(stopped)
+    stopped.close()
+    assert tokens.encoder.cache_info().currsize == 0
