@@ -16,7 +16,7 @@ import json
 import os
 import re
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,16 @@ import pyarrow.compute as pc
 # a Spark task has its own core: threads of the tokenizers library would only contend with the other tasks
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
-from tokenizers import Tokenizer  # noqa: E402
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
 
 # A cut lies before an ASCII blank that follows a character no white-space definition includes.
 CUT = re.compile(r"(?<=\S)(?=[ \t-\r])")
 # A space after white space is no cut.
 RUNS = tuple(chr(i) + " " for i in range(0x3001) if chr(i).isspace())
 RUN = "[" + "".join(f"\\x{{{ord(r[0]):x}}}" for r in RUNS) + "] "
+# What may follow a word's letters in a piece; an apostrophe may be part of a pre-token with letters.
+TAIL = "".join(c for c in map(chr, range(128)) if not c.isalpha() and c != "'")
+KNOWN = "\u0250"  # letters below are letters in every Unicode version
 JOINED = 1024  # segments that are encoded as one text
 CACHE_ENTRIES = 600_000  # of each of two generations
 
@@ -63,6 +66,13 @@ def token_cuts(ids: np.ndarray, sizes: np.ndarray, pieces: list[str]) -> np.ndar
     return cuts + 1
 
 
+def byte_level(text: str, shown: dict[int, str]) -> str:
+    """Words with a space before each as byte-level characters, parted by spaces."""
+    if text.isascii():  # letters stand for themselves
+        return text.replace(" ", " " + shown[32])
+    return text.encode().decode("latin-1").translate(shown).replace(shown[32], " " + shown[32])
+
+
 def strings(column: pa.Array) -> list[str]:
     """The strings of a column without nulls; much faster than to_pylist."""
     return column.to_numpy(zero_copy_only=False).tolist()
@@ -76,6 +86,10 @@ class Store:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # ends[i] and ends[i + 1] bound the ids of slot i
 
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Slots of the keys, -1 where a key is not known."""
+        return np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+
     def add(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         first = len(self.slots)
         used = int(self.ends[first])
@@ -101,6 +115,8 @@ class SegmentEncoder:
 
     A text in which no white space stands before a space is cut at every space: its first piece is meant as it stands, every other
     with a space before it. Any other text is cut at CUT. Segments meant as they stand are kept under a key with a space before it.
+    Where the pre-tokenizer is the usual byte-level one, letters and what follows them in a piece are looked up apart, and pieces of
+    letters alone, which are one pre-token each, meet the model without being searched for pre-tokens.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
@@ -108,6 +124,14 @@ class SegmentEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.entries = entries
         self.sizes = token_sizes(self.tokenizer)
+        shape = json.loads(self.tokenizer.to_str())
+        split = shape["pre_tokenizer"] or {}
+        self.parted = shape["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        with contextlib.suppress(AttributeError):
+            self.tokenizer.model._resize_cache(0)  # words are kept here, and come once
+        self.shown = byte_characters()
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.store = Store()
         self.older = Store()  # the generation before, from which segments in use come back
 
@@ -119,35 +143,79 @@ class SegmentEncoder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    def encode_joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_joined(self, pieces: list[str], letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Pieces meant with a space before them, which end in no white space: many in one text, parted by their bytes."""
         if not pieces:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         parts = [" " + " ".join(pieces[start : start + JOINED]) for start in range(0, len(pieces), JOINED)]
-        found = [f.ids for f in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        if letters:
+            parts = [byte_level(p, self.shown) for p in parts]
+        tokenizer = self.letters if letters else self.tokenizer
+        found = [f.ids for f in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.uint32)
         return ids, np.diff(token_cuts(ids, self.sizes, pieces), prepend=0)
 
+    def _add_pieces(self, pieces: list[str]) -> None:
+        """Adds new pieces that end in no white space."""
+        if not self.parted:
+            self.store.add(pieces, *self.encode_joined(pieces))
+            return
+        letters: list[str] = []
+        other: list[str] = []
+        tailed: dict[str, tuple[str, ...]] = {}
+        lines: dict[str, tuple[str, ...]] = {}
+        for piece in pieces:
+            stem = piece.rstrip(TAIL)
+            if stem.isalpha() and (stem.isascii() or max(stem) < KNOWN):
+                if len(stem) == len(piece):
+                    letters.append(piece)
+                else:
+                    tailed[piece] = stem, " " + piece[len(stem) :]
+                continue
+            line, end, after = piece.partition("\n")
+            if end and line and not line[-1].isspace() and after[0].isalpha() and after[0] < KNOWN:
+                lines[piece] = line, " \n", " " + after  # one line end before a letter is a pre-token
+            else:
+                other.append(piece)
+        self.store.add(letters, *self.encode_joined(letters, letters=True))
+        self.store.add(other, *self.encode_joined(other))
+        self._add_cut(tailed)
+        self._add_cut(lines)  # a line may be one of the pieces above
+
+    def _add_cut(self, cuts: dict[str, tuple[str, ...]]) -> None:
+        """Adds new pieces whose ids are those of their parts."""
+        if not cuts:
+            return
+        parts = list(dict.fromkeys(chain.from_iterable(cuts.values())))
+        slots = self._slots(parts)
+        place = dict(zip(parts, slots.tolist()))
+        ids, counts = self.store.gather(np.fromiter(map(place.__getitem__, chain.from_iterable(cuts.values())), np.int64))
+        self.store.add(list(cuts), ids, counts.reshape(len(cuts), -1).sum(axis=1))
+
     def _slots(self, keys: list[str]) -> np.ndarray:
         """Slots of distinct keys; each one not known yet is encoded once."""
         store = self.store
-        slots = list(map(store.slots.get, keys))
-        if None not in slots:
-            return np.array(slots, np.int64)
-        missing = [k for k, s in zip(keys, slots) if s is None]
-        old = list(map(self.older.slots.get, missing))
-        back = [k for k, s in zip(missing, old) if s is not None]
-        if back:
-            store.add(back, *self.older.gather(np.array([s for s in old if s is not None])))
-            missing = [k for k, s in zip(missing, old) if s is None]
-        joined = [k for k in missing if k and k[0] != " " and not k[-1].isspace()]
-        store.add(joined, *self.encode_joined(joined))
-        if len(joined) < len(missing):
-            whole = [k for k in missing if k and k[0] == " "]
-            spaced = [k for k in missing if not k or (k[0] != " " and k[-1].isspace())]
+        slots = store.find(keys)
+        places = np.flatnonzero(slots < 0)
+        if len(places) == 0:
+            return slots
+        missing = [keys[i] for i in places.tolist()]
+        old = self.older.find(missing)
+        back = old >= 0
+        if back.any():
+            store.add(list(compress(missing, back)), *self.older.gather(old[back]))
+        new = list(compress(missing, ~back)) if back.any() else missing
+        joined = [k for k in new if k and k[0] != " " and not k[-1].isspace()]
+        self._add_pieces(joined)
+        if len(joined) < len(new):
+            # a piece's tail may be among these, and is known by now
+            new = [k for k in new if k not in store.slots]
+            whole = [k for k in new if k and k[0] == " "]
+            spaced = [k for k in new if not k or (k[0] != " " and k[-1].isspace())]
             store.add(whole, *self._encode([k[1:] for k in whole]))
             store.add(spaced, *self._encode([" " + k for k in spaced]))
-        return np.array(list(map(store.slots.__getitem__, keys)), np.int64)
+        slots[places] = store.find(missing)
+        return slots
 
     def flat_ids(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and how many each text has; null and empty texts have none."""
@@ -186,7 +254,7 @@ class SegmentEncoder:
             every[~mine] = at
             every[mine] = [number[k] for c in cut for k in c]
             at = every
-        distinct = list(dict.fromkeys(names))
+        distinct = list(dict.fromkeys(names)) if runs.any() else names
         slots = self._slots(distinct)
         if len(distinct) < len(names):  # a head and a run's segment may be the same
             place = dict(zip(distinct, slots.tolist()))

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from cubeloom.llm import packing, tokencount, tokenfile
 from cubeloom.llm.common import work_path
@@ -34,6 +34,37 @@ def test_segments_give_the_ids_of_the_whole_text(whole):
             assert np.frombuffer(ids, "<u4").tolist() == whole(text)
 
 
+def test_letters_are_encoded_once_whatever_follows_them(whole):
+    encoder, met = SegmentEncoder(PATH), []
+    joined, single = encoder.encode_joined, encoder._encode
+    encoder.encode_joined = lambda pieces, *how, **named: (met.extend(pieces), joined(pieces, *how, **named))[1]
+    encoder._encode = lambda pieces: (met.extend(pieces), single(pieces))[1]
+    text = "a zorbalique, zorbalique. zorbalique.%%% x\n(y zorbalique.\nThe zorbaliqué, zorbalique"
+    assert np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == whole(text)
+    assert met.count("zorbalique") == 1 and sum("zorbalique" in piece for piece in met) == 1
+
+
+def test_cut_pieces_give_the_ids_of_the_whole_text(whole):
+    random.seed(9)
+    stems = ["of", "Été", "ªº", "straßɏ", "naı̈ve", "ɐb", "中文", "don't", "x1", "²", "", "Ǆa", "'s", "’s", "_"]
+    tails = ["", ".", ",", ".\n", "\n", "\n\n", "\r\n", ".%%%", "12", "'", "'s", "'.", ".'ll", "\x1c", "\x00", "\u00a0", "\u0301", "<|endoftext|>", "\t"]
+    texts = [" ".join("".join(random.choice(part) for part in (stems, tails) * 2) for _ in range(random.randint(1, 9))) for _ in range(3000)]
+    encoder = SegmentEncoder(PATH, entries=300)
+    for lo in range(0, len(texts), 100):
+        for text, ids in zip(texts[lo : lo + 100], encoder.ids(texts[lo : lo + 100])):
+            assert np.frombuffer(ids, "<u4").tolist() == whole(text)
+
+
+def test_other_pre_tokenizers_see_whole_pieces(tmp_path):
+    other = Tokenizer.from_file(PATH)
+    runs = pre_tokenizers.Split(Regex(r" ?[\p{L}.]+|\s+|[^\s]"), "isolated")  # letters and dots are one pre-token
+    other.pre_tokenizer = pre_tokenizers.Sequence([runs, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    text = "an end. an end, the.end.\nThe end.. end"
+    encoder = SegmentEncoder(str(tmp_path / "other.json"))
+    assert not encoder.parted and np.frombuffer(encoder.ids([text])[0], "<u4").tolist() == other.encode(text).ids
+
+
 def test_chunks_cover_every_text_once():
     texts = ["a" * n for n in (5, 0, 90, 3, 3, 200, 500)] + [None, "", None]
     parts = list(text_chunks(pa.array(texts), 100))
