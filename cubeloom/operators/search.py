@@ -133,9 +133,10 @@ def forest_search(
 
     def fit(kind: tuple) -> DataFrame:
         leaf, share, fold = kind
+        # every row keeps its node per tree: else each step's tasks carry all trees grown so far
         forest = RandomForestClassifier(
             featuresCol="features", labelCol="_y", numTrees=max(grid["numTrees"]), maxDepth=max(grid["maxDepth"]), seed=seed,
-            minInstancesPerNode=leaf, featureSubsetStrategy=share, maxMemoryInMB=FIT_MB)
+            minInstancesPerNode=leaf, featureSubsetStrategy=share, maxMemoryInMB=FIT_MB, cacheNodeIds=True)
         path = f"{folder}/{leaf}-{share}-{fold}"
         forest.fit(ready.filter(F.col("_fold") != fold)).write().save(path)
         return forest_nodes(spark, path).select(F.lit(leaf).alias("_leaf"), F.lit(share).alias("_share"), F.lit(fold).alias("_fold"), "tree", "nodes")

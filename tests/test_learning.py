@@ -518,6 +518,25 @@ def test_nested_search_on_odd_tables(spark):
         search.best_forest(df, search.forest_search(df.limit(0), "pix", grid))
 
 
+def test_nodes_kept_beside_the_rows_give_the_same_search(spark, monkeypatch):
+    df, asked = forest_rows(spark), []
+    grid = {"numTrees": [2, 5], "maxDepth": [30, 3], "minInstancesPerNode": [1], "featureSubsetStrategy": ["sqrt", "all"]}
+
+    def noted(**setting):
+        asked.append(setting)
+        return RandomForestClassifier(**setting)
+
+    def carried(**setting):
+        return RandomForestClassifier(**setting | {"cacheNodeIds": False})
+
+    monkeypatch.setattr(search, "RandomForestClassifier", noted)
+    kept = sorted(search.forest_search(df, "pix", grid, (2, 10), folds=2).collect())
+    # tasks do not carry the trees, whose size would be added to every step
+    assert len(asked) == 4 and all(setting["cacheNodeIds"] for setting in asked)
+    monkeypatch.setattr(search, "RandomForestClassifier", carried)
+    assert kept == sorted(search.forest_search(df, "pix", grid, (2, 10), folds=2).collect()) and len(kept) == 16
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 def test_the_registered_search_asks_for_the_whole_grid(spark, monkeypatch):
     asked = []
