@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, sampling, search, superpixels
+from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, rowmasks, sampling, search, superpixels
 from cubeloom.plans import sampling as plans
 from cubeloom.session import cut_lineage
 
@@ -336,6 +336,48 @@ def test_permutations_are_permutations():
     assert outlier.permuted(np.arange(1000), 1000, 5).tolist() != outlier.permuted(np.arange(1000), 1000, 6).tolist()
 
 
+@pytest.mark.parametrize("rows", [1, 64, 700, 1100])
+def test_rows_walk_forests_as_bits_like_one_by_one(monkeypatch, rows):
+    monkeypatch.setattr(outlier, "STRETCH", 1024)
+    rng = np.random.default_rng(rows)
+    x = rng.normal(size=(rows, 5)).round(1)
+    x[::7, 2], x[::11, 3], x[::13] = np.nan, np.inf, x[0]
+    trained = rng.normal(size=(900, 5)).round(1)
+    drawn = [outlier.tree_rows(900, 3, s, 9, 0.2) for s in range(3)]
+    forests = [outlier.grow_forest(trained, d, 50 + s) for s, d in enumerate(drawn)]
+    forests.append(outlier.grow_forest(np.zeros((900, 5)), drawn[0], 1))  # leaves alone
+
+    def depth(forest, v, at):
+        while forest["feature"][at] >= 0:
+            at = forest["left"][at] + (v[forest["feature"][at]] > forest["cut"][at])
+        return forest["cut"][at]
+
+    masks = outlier.row_masks(x)
+    assert [size for m in masks for size in m.sizes] == [512] * (rows // 512) + [rows % 512]
+    scale = float(outlier.average_path(256))
+    walks = [rowmasks.Walk(*(forest[name] for name, _ in outlier.FIELDS), 9) for forest in forests]
+    walks = [rowmasks.Walk.unpacked(walk.packed()) for walk in walks]
+    for forest, got in zip(forests, outlier.forest_values(masks, walks, 720), strict=True):
+        want = -np.exp2(-np.array([[depth(forest, v, t) for t in range(9)] for v in x]).mean(axis=1) / scale)
+        assert np.array_equal(got, want)
+
+
+def test_a_block_of_rows_may_span_batches(spark, monkeypatch):
+    """A block reads the forests once, however small Arrow's batches are."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, "ab"[i % 2], rng.normal(size=3).tolist()) for i in range(600)], "fid long, layer string, spectrum array<double>")
+    want = sorted(outlier.mc_isolation(df, 4, 0.2, trees=5).collect())
+    monkeypatch.setattr(outlier, "MASK_BYTES", 1)
+    small = sorted(outlier.mc_isolation(df, 4, 0.2, trees=5).collect())
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        assert sorted(outlier.mc_isolation(df, 4, 0.2, trees=5).collect()) == want == small
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 @pytest.mark.parametrize("lot, block", [(25, 50_000), (2, 90)])
 def test_monte_carlo_scores_equal_brute_force(spark, monkeypatch, lot, block):
     monkeypatch.setattr(outlier, "LOT", lot)
