@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cubeloom.operators import classify, cluster, evaluate, infer, outlier, patches, reduce, rowmasks, sampling, search, superpixels
+from cubeloom.operators import classify, cluster, evaluate, forests, infer, outlier, patches, reduce, rowmasks, sampling, search, superpixels
 from cubeloom.plans import sampling as plans
 from cubeloom.session import cut_lineage
 
@@ -550,6 +550,88 @@ def test_nested_forests_against_a_walk_row_by_row(spark, tmp_path):
                 assert got[t, d, s] == want
 
 
+def in_order(nodes, at=0):
+    """(feature, cut, stats) of a tree's nodes, left before right; nodes are (feature, cut, left, right, stats)."""
+    feature, cut, left, right, stats = nodes[at]
+    below = [] if feature < 0 else in_order(nodes, left) + in_order(nodes, right)
+    return [(feature, cut if feature >= 0 else None, [float(n) for n in stats]), *below]
+
+
+@pytest.mark.parametrize("leaf, depth, decimals", [(1, 30, 9), (3, 30, 1), (1, 3, 0)])
+def test_trees_grown_in_tasks_are_trees_of_spark(spark, tmp_path, monkeypatch, leaf, depth, decimals):
+    monkeypatch.setattr(forests, "FIRST_FEATURES", 2)
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 400)
+    x = (rng.normal(size=(400, 6)) + 0.5 * y[:, None]).round(decimals)  # few decimals: ties, fewer values than bins
+    x[:, 4] = 1.5
+    df = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(y, x)], "label int, spectrum array<double>").coalesce(1)
+    fit = RandomForestClassifier(labelCol="label", numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxDepth=depth, minInstancesPerNode=leaf, seed=1)
+    fit.fit(classify.with_features(df)).write().save(str(tmp_path / "f"))
+    spark_nodes = search.forest_nodes(spark, str(tmp_path / "f")).first()["nodes"]
+    want = in_order([(n["feature"], n["cut"], n["left"], n["right"], n["stats"]) for n in spark_nodes])
+    cuts = [forests.thresholds(*np.unique(x[:, j], return_counts=True)) for j in range(6)]
+    bins = np.stack([np.searchsorted(cuts[j], x[:, j]) for j in range(6)]).astype(np.uint8)
+    for values in (1 << 17, 500):
+        monkeypatch.setattr(forests, "SORT_VALUES", values)
+        tree = forests.grow_tree(bins, y, np.ones(400, np.int64), 3, 6, leaf, depth)
+        nodes = [(int(f), float(cuts[f][c]) if f >= 0 else None, int(left), int(left) + 1, n) for f, c, left, n in zip(*(tree[p] for p in search.PARTS))]
+        assert in_order(nodes) == want and len(want) > 5
+
+
+def test_draws_of_grown_trees():
+    seen = np.concatenate([forests.repeats(np.arange(4000), t, 42) for t in range(5)])
+    assert abs(seen.mean() - 1) < 0.03 and abs(seen.var() - 1) < 0.06 and abs((seen == 0).mean() - np.exp(-1)) < 0.02
+    assert [forests.share_size(s, 64, 200) for s in ("sqrt", "log2", "all", "auto", "onethird", "0.5")] == [8, 6, 64, 8, 22, None]
+    level = forests.Level(np.arange(900), np.ones(900, int), np.ones((2, 900), int), np.arange(1, 901, dtype=np.uint64))
+    chosen = forests.node_features(level, 20, 5, 0, 42)
+    assert chosen.shape == (900, 5) and all(len(set(row)) == 5 for row in chosen.tolist())
+    shares = np.bincount(chosen.ravel(), minlength=20) / 900
+    assert np.all(abs(shares - 0.25) < 0.07) and not np.array_equal(chosen, forests.node_features(level, 20, 5, 1, 42))
+
+
+def test_search_in_tasks_equals_a_walk_row_by_row(spark, monkeypatch):
+    """Forests of more rows are grown in tasks: no fit of Spark's, the same table however the rows lie."""
+    df = forest_rows(spark)
+    grid = {"numTrees": [3, 7], "maxDepth": [30, 2], "minInstancesPerNode": [1, 3], "featureSubsetStrategy": ["sqrt", "all"]}
+    of_spark = {tuple(r)[:5]: r["accuracy"] for r in search.forest_search(df, "pix", grid, (2, 12), folds=2).collect()}
+    monkeypatch.setattr(search, "SPARK_ROWS", 100)
+    monkeypatch.setattr(search, "RandomForestClassifier", None)
+    got = {tuple(r)[:5]: r["accuracy"] for r in search.forest_search(df, "pix", grid, (2, 12), folds=2).collect()}
+    monkeypatch.setattr(search, "LOT_TREES", 2)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 20)
+    assert got == {tuple(r)[:5]: pytest.approx(r["accuracy"]) for r in search.forest_search(df.repartition(5), "pix", grid, (2, 12), folds=2).collect()}
+    assert got.keys() == of_spark.keys() and len(got) == 32
+    assert abs(np.mean(list(got.values())) - np.mean(list(of_spark.values()))) < 0.05
+    rows = [r.asDict() for r in search.folded_rows(df, "pix", "spectrum", "label", 2).collect()]
+
+    def right(size, leaf, depth, trees, least):
+        """Mean accuracy by walking one row at a time down trees grown on each fold's rows."""
+        scores = []
+        for fold in range(2):
+            train, held = [[r for r in rows if (r["_fold"] == fold) == mine] for mine in (False, True)]
+            x, y = np.array([r["_x"] for r in train]), np.array([r["_y"] for r in train])
+            cuts = [forests.thresholds(*np.unique(x[:, j], return_counts=True)) for j in range(5)]
+            bins = np.stack([np.searchsorted(cuts[j], x[:, j]) for j in range(5)]).astype(np.uint8)
+            draws = outlier.mixed([r["_fold"] for r in train], [r["_i"] for r in train]).view(np.int64)
+            grown = [forests.grow_tree(bins, y, forests.repeats(draws, t, 42), 3, size, leaf, 30, t, 42) for t in range(trees)]
+            good = 0
+            for r in held:
+                votes = np.zeros(3)
+                for tree in grown:
+                    at = level = 0
+                    while tree["feature"][at] >= 0 and level < depth and tree["stats"][at].sum() >= least:
+                        f = tree["feature"][at]
+                        at, level = tree["left"][at] + (r["_x"][f] > cuts[f][tree["cut"][at]]), level + 1
+                    votes += tree["stats"][at] / tree["stats"][at].sum()
+                good += int(votes.argmax() == r["_y"])
+            scores.append(good / len(held))
+        return pytest.approx(np.mean(scores))
+
+    assert got[7, 30, 1, "sqrt", 2] == right(3, 1, 30, 7, 2)
+    assert got[3, 2, 3, "all", 12] == right(5, 3, 2, 3, 12)
+    assert got[7, 30, 3, "sqrt", 12] == right(3, 3, 30, 7, 12)
+
+
 def test_nested_search_on_odd_tables(spark):
     df = forest_rows(spark)
     grid = {"numTrees": [2], "maxDepth": [2], "minInstancesPerNode": [1], "featureSubsetStrategy": ["all"]}
